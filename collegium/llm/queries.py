@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from collegium.llm.common import read_documents
 from collegium.llm.exact_dedup import exact_dedup
 from collegium.llm.mixing import mix_report
+from collegium.llm.packing import pack
+from collegium.llm.simhash import near_dedup
+from collegium.llm.token_files import token_report
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -59,3 +62,18 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@_query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_documents(spark, sf_dir))
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_documents(spark, sf_dir))
+
+
+@_query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(read_documents(spark, sf_dir))
