@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
-import numpy as np
+#: Chunks that a Python worker remembers.
+REMEMBERED = 600_000
 
-#: Chunks that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 20
+#: Letters that normalise to themselves and whose lower case is one letter.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+
+
+def _shown() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible ones as themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+SHOWN = _shown()
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +39,8 @@ class Encoder:
     `keeps_space` says whether a space belongs to the chunk behind it (byte-level) or is dropped (word-level).
     With keeps_space, a text with white space beside a space or at its ends, where the pre-splitting looks
     further, is encoded whole. Special tokens' strings count as ordinary text.
+
+    Chunks are remembered in two generations: a full one becomes the old one, from which what recurs is taken over.
     """
 
     def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED) -> None:
@@ -35,10 +50,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.remembered = keeps_space, remembered
-        self.known: dict[str, bytes] = {} if keeps_space else {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = {mark: self._ids([mark])[0] for mark in ".,"}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
         chunks = text.split(" ")
@@ -47,21 +66,53 @@ class Encoder:
             if not chunks[0] or chunks[0][-1].isspace():
                 return self._ids([text])[0]
             first = self._ids([chunks.pop(0)])[0]
-        known = self.known
-        found = [known.get(c) for c in chunks]
-        if None in found:
-            new = list({c for c, f in zip(chunks, found) if f is None})
-            if self.keeps_space and any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-                return self._ids([text])[0]
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                if not self.keeps_space:
-                    known[""] = b""
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self._ids([f" {c}" for c in new] if self.keeps_space else new)))
-            found = [known[c] for c in chunks]
+        found = list(map(self.known.get, chunks))
+        if None in found and not self._fill(chunks, found):
+            return self._ids([text])[0]
         return first + b"".join(found)
 
+    def _fill(self, chunks: list[str], found: list[bytes | None]) -> bool:
+        """Puts the ids of chunks that aren't known in their places; False if the text must be encoded whole."""
+        missing, at = [], -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            missing.append(at)
+        here: dict[str, bytes] = {}
+        rest = []
+        for c in {chunks[i] for i in missing}:
+            ids = self.old.get(c) or self._letters(c)
+            if ids:
+                here[c] = ids
+            elif self.keeps_space and (not c or c[0].isspace() or c[-1].isspace()):
+                return False
+            else:
+                rest.append(c)
+        if rest:
+            here.update(zip(rest, self._ids([f" {c}" for c in rest] if self.keeps_space else rest)))
+        if len(self.known) + len(here) > self.remembered // 2:
+            self.known, self.old = {}, self.known
+        self.known.update(here)
+        for i in missing:
+            found[i] = here[chunks[i]]
+        return True
+
+    def _letters(self, chunk: str) -> bytes | None:
+        """The ids of a chunk of Latin letters, with a full stop or comma behind it or not, else None.
+
+        Such a chunk is one word of the pre-splitting (and the mark another), so the model is asked directly.
+        """
+        mark = self.marks.get(chunk[-1:])
+        word = chunk if mark is None else chunk[:-1]
+        if not LATIN(word):
+            return None
+        ids = mark is not None and (self.known.get(word) or self.old.get(word))
+        if not ids:
+            shown = word if self.keeps_space else word.lower()
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(SHOWN)
+            ids = array("I", [t.id for t in self.model.tokenize(f"\u0120{shown}" if self.keeps_space else shown)]).tobytes()
+        return ids if mark is None else ids + mark
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 

@@ -31,6 +31,9 @@ def test_chunks_give_the_librarys_ids(file, keeps, spark):
     texts = [*ODD, *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab'sé1 \n\t .,-́Σ") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    letters = [chr(c) for c in range(0xC0, 0x250)] + list("abcXYZ.,'! ")
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    texts += [f"{a}b{chr(c)}{b} x{chr(c)}." for c in range(0xC0, 0x250) for a, b in (("", "."), ("a", ""), ("É", ","))]
     for text in texts:
         assert own.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
