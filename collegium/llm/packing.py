@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from collegium.llm.common import materialise, running_total
+from collegium.llm.common import materialise, running_total, slices
 from collegium.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 #: Tokens of a sequence, the id behind each document, tokens that a length class spans.
@@ -26,7 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(path, False).encode, np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview(encode(text) + tail)
@@ -133,7 +133,7 @@ def seats(patterns: list[Pattern], units: np.ndarray) -> dict[int, np.ndarray]:
 
 def _seated(table: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             units, rank = batch.column("units").to_numpy(), batch.column("rank").to_numpy()
             sequence = np.zeros(len(units), np.int64)
             for u in np.unique(units):

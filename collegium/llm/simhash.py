@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise
+from collegium.llm.common import materialise, slices
 from collegium.llm.components import connected_components
 
 BITS = 64
@@ -49,7 +49,7 @@ def fingerprint(raw: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [fingerprint(x.as_py()) for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 

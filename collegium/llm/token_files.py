@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from collegium.llm.common import shared_dir
+from collegium.llm.common import shared_dir, slices
 from collegium.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 #: Appended to each document.
@@ -23,7 +23,7 @@ SCHEMA = "doc_id long, skip long, ids array<int>"
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail, skip = encoder(path, True).encode, np.array([end], "<u4").tobytes(), 0
-        for batch in batches:
+        for batch in slices(batches):
             found = [encode(x) + tail for x in batch.column("text").to_pylist()]
             ends = skip + np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64)
             ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
@@ -55,13 +55,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.max(F.col("skip") + F.size("ids")).alias("n"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("skip")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # Two longs for each file, of which there are as many as the write had partitions.
+    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("before") + F.col("skip")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column("ids")
-        values, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
