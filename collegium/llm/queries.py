@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collegium.llm.common import read_documents
+from collegium.llm.common import read_documents, read_labels
 from collegium.llm.exact_dedup import exact_dedup
+from collegium.llm.fingerprints import document_fingerprints
+from collegium.llm.line_dedup import line_report
 from collegium.llm.mixing import mix_report
 from collegium.llm.packing import pack
+from collegium.llm.quality import fit_quality, score_quality
 from collegium.llm.simhash import near_dedup
 from collegium.llm.token_files import token_report
+from collegium.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -77,3 +81,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read_documents(spark, sf_dir))
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, read_labels(spark, sf_dir)))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, read_labels(spark, sf_dir)))
+
+
+@_query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(read_documents(spark, sf_dir))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_documents(spark, sf_dir))
