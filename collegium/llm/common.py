@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that a Python task turns into objects at a time.
 SLICE = 512
 
+#: Rows of a written table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 _own_dir: str | None = None
 
 
@@ -67,6 +70,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins rows with a written side: broadcast if it has at most `limit` rows, by a shuffle of both beyond that.
+
+    For sides that are narrow, or whose rows are as wide as a document's share of them, so that the limit bounds
+    what each executor gets.
+    """
+    few = side.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(side) if few else side, keys, how)
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of value over the rows before this one in its group (a long, 0 for the first).
 

@@ -12,6 +12,7 @@ from collegium.llm.mixing import mix_report
 from collegium.llm.packing import pack
 from collegium.llm.quality import fit_quality, score_quality
 from collegium.llm.simhash import near_dedup
+from collegium.llm.suffix_dedup import suffix_report
 from collegium.llm.token_files import token_report
 from collegium.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -103,3 +104,8 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_documents(spark, sf_dir))
+
+
+@_query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(read_documents(spark, sf_dir))
