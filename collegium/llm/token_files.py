@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = rows.mapInArrow(_encode(tokenizer or tokenizer_path(BYTE_BPE), end), SCHEMA)
-    options = {"compression": "zstd", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes)}
+    options = {"compression": "lz4", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes)}
     encoded.write.options(**options).orc(path)
 
 

@@ -52,6 +52,7 @@ class Encoder:
         self.keeps_space, self.remembered = keeps_space, remembered
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.marks = {mark: self._ids([mark])[0] for mark in ".,"}
 
@@ -65,12 +66,21 @@ class Encoder:
         if self.keeps_space:
             if not chunks[0] or chunks[0][-1].isspace():
                 return self._ids([text])[0]
-            first = self._ids([chunks.pop(0)])[0]
+            first = self._first(chunks.pop(0))
         found = list(map(self.known.get, chunks))
         if None in found and not self._fill(chunks, found):
             return self._ids([text])[0]
         return first + b"".join(found)
 
+    def _first(self, chunk: str) -> bytes:
+        """The ids of a text's first chunk, which has no space before it."""
+        ids = self.firsts.get(chunk)
+        if ids is None:
+            ids = self._ids([chunk])[0]
+            if len(self.firsts) < self.remembered // 10:
+                self.firsts[chunk] = ids
+        return ids
+
     def _fill(self, chunks: list[str], found: list[bytes | None]) -> bool:
         """Puts the ids of chunks that aren't known in their places; False if the text must be encoded whole."""
         missing, at = [], -1
