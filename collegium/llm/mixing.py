@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import WORD, in_order, materialise, running_total
+from collegium.llm.common import WORD, in_order, materialise, meet, running_total
 
 #: Words of a block, the unit of the schedule.
 BLOCK = 1024
@@ -14,7 +14,7 @@ WEIGHTS = (5, 2, 1)
 #: What all sources take together, and what one may take at most, as multiples of sizes.
 SHARE, EPOCHS = 1.5, 2
 #: Rows that a bucket of a group holds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Slots that a chunk of the schedule holds when slots are ranked.
 CHUNK = 1 << 16
 
@@ -138,3 +138,18 @@ def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rest = documents.where("size = 0 or words <= start").withColumn("taken", F.lit(0))
     columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return took.select(*columns).unionByName(rest.select(*columns))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs as the mix takes them: a row for each time that a document is taken, with docs' columns.
+
+    What a source's target cuts in the middle keeps its first words, joined by spaces; all other texts are whole.
+    Documents that the mix does not take go. Rows that repeat an id are each taken as often as the id is.
+    """
+    _, parts = mix(docs, block)
+    took = parts.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "no", "start", "size", "epoch").agg(F.sum("taken").alias("_taken"))
+    took = materialise(took.select("_id", "_none", F.when(F.col("_taken") < F.col("size"), F.col("_taken").cast("int")).alias("_cut")), "took")
+    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
+    met = meet(rows, took, ["_id", "_none"])
+    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut")), " ")
+    return met.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(first).alias(c) if c == text_col else F.col(c) for c in docs.columns])
