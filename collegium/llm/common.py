@@ -18,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that a Python task turns into objects at a time.
 SLICE = 512
 
-#: Rows of a written table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows (and items of arrays) of a written table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 _own_dir: str | None = None
 
@@ -71,12 +71,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins rows with a written side: broadcast if it has at most `limit` rows, by a shuffle of both beyond that.
+    """Joins rows with a written side: broadcast if it is small, by a shuffle of both beyond that.
 
-    For sides that are narrow, or whose rows are as wide as a document's share of them, so that the limit bounds
-    what each executor gets.
+    Small is `limit` rows at most, the items of arrays counted as rows; the columns that these join are narrow.
     """
-    few = side.limit(limit + 1).count() <= limit
+    items = sum((F.coalesce(F.size(c), F.lit(0)) for c, kind in side.dtypes if kind.startswith("array")), F.lit(1))
+    few = (side.agg(F.sum(items)).first()[0] or 0) <= limit
     return rows.join(F.broadcast(side) if few else side, keys, how)
 
 

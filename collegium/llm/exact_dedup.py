@@ -10,7 +10,7 @@ from collegium.llm.common import materialise
 #: Code points of a text's start that the second pass hashes.
 PREFIX = 256
 #: Pairs of length and prefix hash (two longs each) that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from collegium.llm.common import materialise, slices
 
 #: Ids (longs) that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def canonical(text: str) -> bytes:

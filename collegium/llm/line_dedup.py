@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, slices
+from collegium.llm.common import materialise, meet, slices
 
 #: Words of a line for near matches at least; shorter lines match when equal only. One edit in five is a likeness of 0.8.
 LEAST_WORDS = 5
@@ -39,8 +38,9 @@ def split_lines(raw: bytes) -> list[tuple[int, list[bytes]]]:
 
 
 def copy_of(raw: bytes) -> int:
-    """Tells rows apart that repeat an id with different texts."""
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+    """Tells rows apart that repeat an id with different texts; the same as Spark's xxhash64 of the text."""
+    value = xxhash.xxh64_intdigest(raw, 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +175,20 @@ def _verified(rows: DataFrame, likely: DataFrame, before: DataFrame) -> DataFram
     return materialise(both.select("digest", "content", F.col("other_content").alias("other")).mapInArrow(_verify, "digest binary").distinct(), "near")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        texts = []
-        for raw, gone in zip(batch.column("raw").to_pylist(), batch.column("gone").to_pylist()):
-            if gone:
-                gone = set(gone)
-                raw = b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in gone)
-            texts.append(raw.decode())
-        kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("raw", "gone")]
-        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(texts, pa.string())], names=[*(n for n, _ in kept), "_text"])
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, copy and the sorted numbers of the lines that go, for documents that lose any."""
+    lines, _ = repeated_lines(docs, id_col, text_col)
+    return lines.where("dropped").groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the lines cut out of the texts that line_report drops; other columns and rows stay as they are."""
+    gone = materialise(dropped_lines(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "copy", "dropped"), "dropped")
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"))
+    rows = meet(rows, gone, ["_id", "copy"], "left")
+    kept = F.array_join(F.filter(F.split(F.col("_row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    text = F.when(F.col("dropped").isNull(), F.col("_row")[text_col]).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +200,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
     is empty.
     """
-    lines, _ = repeated_lines(docs, id_col, text_col)
-    by_doc = lines.where("dropped").groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    by_doc = dropped_lines(docs, id_col, text_col)
     every = materialise(_rows(docs, id_col, text_col).mapInArrow(_counts, "doc_id long, copy long, n_lines long"), "counts")
     found = every.join(by_doc.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (every["copy"] == by_doc["copy"]), "left")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))

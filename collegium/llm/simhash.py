@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, slices
+from collegium.llm.common import materialise, meet, slices
 from collegium.llm.components import connected_components
 
 BITS = 64
@@ -204,3 +204,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that name their component: those with the least id. Of rows that repeat such an id, one stays."""
+    named = near_dedup(docs, id_col, text_col, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(named.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
+    once = meet(rows, kept, ["_id", "_none"])
+    if not kept.where("_rows > 1").limit(1).count():
+        return once.select(*docs.columns)
+    repeated = once.where("_rows > 1").dropDuplicates(["_id", "_none"])
+    return once.where("_rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from collegium.llm.common import materialise, slices
 from collegium.llm.statistics import BANGS, LOWER, SENTENCE, SYMBOLS, UPPER, both_labels, id_remainder, labelled, share, stable_seed
@@ -32,7 +33,6 @@ TREES, DEPTH = 20, 3
 SECOND_PERSON = ["you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "tus"]
 
 FEATURES = ["hits_per_word", "hits", "distinct_hits", "near_second_person", "second_person", "capitals", "shouting", "sentence", "bangs", "symbols", "obfuscated", "n_words"]
-SCHEMA = ", ".join(f"{n} double" for n in FEATURES)
 
 _word = re.compile(r"[^\W_]+")
 
@@ -146,7 +146,8 @@ def _features(lexicon: list[str]):
 def toxic_features(docs: DataFrame, lexicon: list[str], *keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the columns of keep and those of FEATURES for each row; null text is empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInArrow(_features(lexicon), ", ".join([*(f"{n} {t}" for n, t in rows.drop("_text").dtypes), SCHEMA]))
+    schema = T.StructType([*rows.drop("_text").schema.fields, *(T.StructField(n, T.DoubleType()) for n in FEATURES)])
+    return rows.mapInArrow(_features(lexicon), schema)
 
 
 @dataclass
@@ -196,6 +197,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus
     return model
 
 
+def without_toxic(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below THRESHOLD, scored where they are read, so that no text is shuffled."""
+    whole = docs.select(F.col(id_col).alias("_key"), F.struct("*").alias("_row"), F.col(text_col).alias("_words"))
+    scored = model.score(toxic_features(whole, model.lexicon, "_row", id_col="_key", text_col="_words"))
+    return scored.where(F.col("score") < THRESHOLD).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts have all features 0."""
     found = model.score(toxic_features(docs, model.lexicon, id_col=id_col, text_col=text_col))

@@ -67,7 +67,7 @@ def test_token_files_have_bloom_filters(spark, tmp_path):
     assert spark.read.orc(f"file://{tmp_path}/t").where("doc_id = 7").count() == 1
 
 
-def check_packing(result, rows, length=2048):
+def check_packing(result, rows, length=2048, gapless=True):
     t = library("word_bpe_49k.json")
     by_doc, by_sequence = {}, {}
     for r in result:
@@ -80,7 +80,7 @@ def check_packing(result, rows, length=2048):
             assert r.start == at and r.ids_crc32 == crc(ids[at : at + r.length]) and r.doc_tokens == len(ids)
             at += r.length
         assert at == len(ids)
-    for parts in by_sequence.values():
+    for parts in by_sequence.values() if gapless else ():
         at = 0
         for r in sorted(parts, key=lambda r: r.offset):
             assert r.offset == at
