@@ -7,10 +7,10 @@ import re
 from array import array
 
 #: Chunks that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
-#: Letters that normalise to themselves and whose lower case is one letter.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+#: Letters that normalise to themselves and whose lower case is one letter, then ASCII marks other than apostrophes.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def _shown() -> dict[int, str]:
@@ -54,7 +54,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.marks = {mark: self._ids([mark])[0] for mark in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -90,7 +90,7 @@ class Encoder:
         here: dict[str, bytes] = {}
         rest = []
         for c in {chunks[i] for i in missing}:
-            ids = self.old.get(c) or self._letters(c)
+            ids = self.old.get(c) or self._simple(c)
             if ids:
                 here[c] = ids
             elif self.keeps_space and (not c or c[0].isspace() or c[-1].isspace()):
@@ -106,22 +106,35 @@ class Encoder:
             found[i] = here[chunks[i]]
         return True
 
-    def _letters(self, chunk: str) -> bytes | None:
-        """The ids of a chunk of Latin letters, with a full stop or comma behind it or not, else None.
+    def _simple(self, chunk: str) -> bytes | None:
+        """The ids of a chunk of Latin letters, with ASCII marks behind them or not, or of such chunks on two lines.
 
-        Such a chunk is one word of the pre-splitting (and the mark another), so the model is asked directly.
+        The pre-splitting makes one word of the letters and one of the marks, so the model is asked directly. None
+        for any other chunk.
         """
-        mark = self.marks.get(chunk[-1:])
-        word = chunk if mark is None else chunk[:-1]
-        if not LATIN(word):
-            return None
-        ids = mark is not None and (self.known.get(word) or self.old.get(word))
+        match = SIMPLE(chunk)
+        if match is None:
+            above, line, below = chunk.partition("\n")
+            if not line or SIMPLE(above) is None or SIMPLE(below) is None:
+                return None
+            above = self.known.get(above) or self.old.get(above) or self._simple(above)
+            return above + self._mark(line) + self._first(below) if self.keeps_space else above + self._simple(below)
+        word, mark = match.groups()
+        ids = mark and (self.known.get(word) or self.old.get(word))
         if not ids:
             shown = word if self.keeps_space else word.lower()
             if not shown.isascii():
                 shown = shown.encode().decode("latin-1").translate(SHOWN)
             ids = array("I", [t.id for t in self.model.tokenize(f"\u0120{shown}" if self.keeps_space else shown)]).tobytes()
-        return ids if mark is None else ids + mark
+        return ids + self._mark(mark) if mark else ids
+
+    def _mark(self, mark: str) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self._ids([mark])[0]
+            if len(self.marks) < self.remembered // 10:
+                self.marks[mark] = ids
+        return ids
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -34,6 +34,8 @@ def test_chunks_give_the_librarys_ids(file, keeps, spark):
     letters = [chr(c) for c in range(0xC0, 0x250)] + list("abcXYZ.,'! ")
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     texts += [f"{a}b{chr(c)}{b} x{chr(c)}." for c in range(0xC0, 0x250) for a, b in (("", "."), ("a", ""), ("É", ","))]
+    alphabet = ["a", "The", "é", "!!", "%%%", ".", ",", "\n", "\n\n", " ", " ", " ", "'", "'s", "1", "\t", "_", "|", "\r\n", "*", "\u00a0"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(6000)]
     for text in texts:
         assert own.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
