@@ -1 +1,3 @@
 """Registered queries; importing a module of this package registers its queries."""
+
+from collegium.plans import grading  # noqa: F401
