@@ -1,3 +1,3 @@
 """Registered queries; importing a module of this package registers its queries."""
 
-from collegium.plans import changes, grading, notices  # noqa: F401
+from collegium.plans import catalogue, changes, grading, notices, texts  # noqa: F401
