@@ -74,7 +74,13 @@ def mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-VARIANTS = "key long, role byte, digest binary"
+VARIANTS = "key long, role byte, tag long"
+
+
+def tag_of(digest: bytes) -> int:
+    """A line's short name; the same as Spark's xxhash64 of its digest."""
+    value = xxhash.xxh64_intdigest(digest, 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +88,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, copy, wanted in zip(*(batch.column(n).to_pylist() for n in ("raw", "copy", "wanted"))):
             if copy_of(raw) != copy:
                 continue
-            keys, roles, digests = [], [], []
+            keys, roles, tags = [], [], []
             lines = dict(split_lines(raw))
             for i in wanted:
                 words = lines[i]
@@ -90,10 +96,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.arange(len(words), dtype=np.uint64)
                 keys += [mixed(deleted + mixed(place + np.uint64(1))), mixed(deleted), mixed(np.array([whole], np.uint64))]
                 roles += [np.full(len(words), SUBSTITUTE, np.int8), np.full(len(words), DELETED, np.int8), np.full(1, WHOLE, np.int8)]
-                digests += [xxhash.xxh3_128_digest(b" ".join(words))] * (2 * len(words) + 1)
-            if digests:
-                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "role", "digest"])
+                tags.append(np.full(2 * len(words) + 1, tag_of(xxhash.xxh3_128_digest(b" ".join(words)))))
+            if tags:
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(tags))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "role", "tag"])
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -130,7 +136,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _read_lines(rows: DataFrame, first: DataFrame, function, schema: str) -> DataFrame:
     """Applies function to the documents that hold the lines of first (struct doc_id, copy, line), read once each."""
     wanted = first.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("copy")).agg(F.collect_list("first.line").alias("wanted"))
-    met = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = materialise(wanted.withColumn("_id", F.coalesce("_id", F.lit(0))), "wanted")
+    met = meet(rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))), wanted, ["_id"])
     return met.select("raw", "copy", "wanted").mapInArrow(function, schema)
 
 
@@ -146,14 +153,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The halves follow from the digest, so any of a line's rows has them.
     distinct = materialise(lines.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("halves").alias("halves")), "distinct")
     half = distinct.select("digest", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").count().where("count > 1").select("half")
-    likely = half.join(shared, "half").select("digest").distinct()
-    likely = materialise(distinct.join(likely, "digest").select("digest", "first"), "likely")
+    shared = materialise(half.groupBy("half").count().where("count > 1").select("half"), "halves")
+    likely = materialise(meet(half, shared, ["half"]).select("digest").distinct(), "likely")
+    likely = materialise(meet(distinct, likely, ["digest"]).select("digest", "first", F.xxhash64("digest").alias("tag")), "likely")
     emitted = _read_lines(rows, likely, _variants, VARIANTS)
     # A key that one line alone has joins nothing; most go here, combined before the shuffle.
     emitted = materialise(emitted, "variants")
-    shared = emitted.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
-    met = materialise(emitted.join(shared, "key").join(likely, "digest"), "met")
+    shared = materialise(emitted.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("key"), "shared")
+    met = materialise(meet(emitted, shared, ["key"]).join(likely, "tag"), "met")
     # Lines with one word replaced at one place, or a line and those that one deletion turns into it: each needs the
     # earliest of the others only, a least that is combined before the shuffle.
     part = F.when(F.col("role") == SUBSTITUTE, F.lit("same")).when(F.col("role") == DELETED, F.lit("longer")).otherwise(F.lit("shorter"))
@@ -168,7 +175,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _verified(rows: DataFrame, likely: DataFrame, before: DataFrame) -> DataFrame:
     """The digests of before whose line is one edit from the other's, by their words; hashes alone decide nothing."""
-    pairs = before.join(likely, "digest").join(likely.select(F.col("digest").alias("other_digest"), F.col("first").alias("other")), "other")
+    pairs = before.join(likely.drop("tag"), "digest").join(likely.select(F.col("digest").alias("other_digest"), F.col("first").alias("other")), "other")
     needed = pairs.select(F.col("first")).unionByName(pairs.select(F.col("other").alias("first"))).distinct()
     texts = materialise(_read_lines(rows, needed, _texts, "digest binary, content binary"), "texts").dropDuplicates(["digest"])
     both = pairs.join(texts, "digest").join(texts.select(F.col("digest").alias("other_digest"), F.col("content").alias("other_content")), "other_digest")
