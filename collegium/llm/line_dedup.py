@@ -77,29 +77,18 @@ def mixed(value: np.ndarray) -> np.ndarray:
 VARIANTS = "key long, role byte, tag long"
 
 
-def tag_of(digest: bytes) -> int:
-    """A line's short name; the same as Spark's xxhash64 of its digest."""
-    value = xxhash.xxh64_intdigest(digest, 42)
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        for raw, copy, wanted in zip(*(batch.column(n).to_pylist() for n in ("raw", "copy", "wanted"))):
-            if copy_of(raw) != copy:
-                continue
-            keys, roles, tags = [], [], []
-            lines = dict(split_lines(raw))
-            for i in wanted:
-                words = lines[i]
-                deleted, whole = variants(words)
-                place = np.arange(len(words), dtype=np.uint64)
-                keys += [mixed(deleted + mixed(place + np.uint64(1))), mixed(deleted), mixed(np.array([whole], np.uint64))]
-                roles += [np.full(len(words), SUBSTITUTE, np.int8), np.full(len(words), DELETED, np.int8), np.full(1, WHOLE, np.int8)]
-                tags.append(np.full(2 * len(words) + 1, tag_of(xxhash.xxh3_128_digest(b" ".join(words)))))
-            if tags:
-                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(tags))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "role", "tag"])
+        keys, roles, tags = [], [], []
+        for tag, content in zip(batch.column("tag").to_pylist(), batch.column("content").to_pylist()):
+            deleted, whole = variants(content.split(b" "))
+            place = np.arange(len(deleted), dtype=np.uint64)
+            keys += [mixed(deleted + mixed(place + np.uint64(1))), mixed(deleted), mixed(np.array([whole], np.uint64))]
+            roles += [np.full(len(deleted), SUBSTITUTE, np.int8), np.full(len(deleted), DELETED, np.int8), np.full(1, WHOLE, np.int8)]
+            tags.append(np.full(2 * len(deleted) + 1, tag))
+        if tags:
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(tags))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "role", "tag"])
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -117,10 +106,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for raw, copy, wanted in zip(*(batch.column(n).to_pylist() for n in ("raw", "copy", "wanted"))):
-            if copy_of(raw) == copy:
+            if any(w["copy"] == copy for w in wanted) and copy_of(raw) == copy:
                 lines = dict(split_lines(raw))
-                rows += [(xxhash.xxh3_128_digest(x := b" ".join(lines[i])), x) for i in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [(), ()])], names=["digest", "content"])
+                rows += [(w["tag"], b" ".join(lines[w["line"]])) for w in wanted if w["copy"] == copy]
+        tags, contents = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(contents, pa.binary())], names=["tag", "content"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +123,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
 
 
-def _read_lines(rows: DataFrame, first: DataFrame, function, schema: str) -> DataFrame:
-    """Applies function to the documents that hold the lines of first (struct doc_id, copy, line), read once each."""
-    wanted = first.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("copy")).agg(F.collect_list("first.line").alias("wanted"))
-    wanted = materialise(wanted.withColumn("_id", F.coalesce("_id", F.lit(0))), "wanted")
-    met = meet(rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))), wanted, ["_id"])
-    return met.select("raw", "copy", "wanted").mapInArrow(function, schema)
+def _contents(rows: DataFrame, likely: DataFrame) -> DataFrame:
+    """tag, content (words joined by a space) of likely lines, each read in the document that has it first."""
+    line = F.struct(F.col("first.copy").alias("copy"), F.col("first.line").alias("line"), "tag")
+    wanted = likely.groupBy(F.coalesce("first.doc_id", F.lit(0)).alias("_id")).agg(F.collect_list(line).alias("wanted"))
+    met = meet(rows.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "copy": F.xxhash64(F.col("raw").cast("string"))}), materialise(wanted, "wanted"), ["_id"])
+    return materialise(met.select("raw", "copy", "wanted").mapInArrow(_texts, "tag long, content binary").dropDuplicates(["tag"]), "contents")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -156,9 +146,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialise(half.groupBy("half").count().where("count > 1").select("half"), "halves")
     likely = materialise(meet(half, shared, ["half"]).select("digest").distinct(), "likely")
     likely = materialise(meet(distinct, likely, ["digest"]).select("digest", "first", F.xxhash64("digest").alias("tag")), "likely")
-    emitted = _read_lines(rows, likely, _variants, VARIANTS)
+    contents = _contents(rows, likely)
     # A key that one line alone has joins nothing; most go here, combined before the shuffle.
-    emitted = materialise(emitted, "variants")
+    emitted = materialise(contents.mapInArrow(_variants, VARIANTS), "variants")
     shared = materialise(emitted.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("key"), "shared")
     met = materialise(meet(emitted, shared, ["key"]).join(likely, "tag"), "met")
     # Lines with one word replaced at one place, or a line and those that one deletion turns into it: each needs the
@@ -167,19 +157,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = met.groupBy("key", part.alias("part")).agg(F.min("first").alias("other"))
     facing = least.withColumn("part", F.when(F.col("part") == "longer", F.lit("shorter")).when(F.col("part") == "shorter", F.lit("longer")).otherwise(F.col("part")))
     before = met.withColumn("part", part).join(facing, ["key", "part"]).where("other < first").groupBy("digest").agg(F.min("other").alias("other"))
-    near = _verified(rows, likely, materialise(before, "before"))
+    near = _verified(contents, likely, materialise(before, "before"))
     firsts = distinct.select("digest", "first").join(near.withColumn("near", F.lit(True)), "digest", "left")
     dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
     return lines.join(firsts, "digest").select("doc_id", "copy", "line", "digest", dropped.alias("dropped")), near
 
 
-def _verified(rows: DataFrame, likely: DataFrame, before: DataFrame) -> DataFrame:
+def _verified(contents: DataFrame, likely: DataFrame, before: DataFrame) -> DataFrame:
     """The digests of before whose line is one edit from the other's, by their words; hashes alone decide nothing."""
-    pairs = before.join(likely.drop("tag"), "digest").join(likely.select(F.col("digest").alias("other_digest"), F.col("first").alias("other")), "other")
-    needed = pairs.select(F.col("first")).unionByName(pairs.select(F.col("other").alias("first"))).distinct()
-    texts = materialise(_read_lines(rows, needed, _texts, "digest binary, content binary"), "texts").dropDuplicates(["digest"])
-    both = pairs.join(texts, "digest").join(texts.select(F.col("digest").alias("other_digest"), F.col("content").alias("other_content")), "other_digest")
-    return materialise(both.select("digest", "content", F.col("other_content").alias("other")).mapInArrow(_verify, "digest binary").distinct(), "near")
+    others = likely.select(F.col("first").alias("other"), F.col("tag").alias("other_tag"))
+    pairs = before.join(likely.select("digest", "tag"), "digest").join(others, "other").select("digest", "tag", "other_tag")
+    both = pairs.join(contents, "tag").join(contents.select(F.col("tag").alias("other_tag"), F.col("content").alias("other")), "other_tag")
+    return materialise(both.select("digest", "content", "other").mapInArrow(_verify, "digest binary").distinct(), "near")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
