@@ -17,7 +17,7 @@ from collegium.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 #: Appended to each document.
 END = 2
-SCHEMA = "doc_id long, skip long, ids array<int>"
+SCHEMA = "doc_id long, skip long, n_tokens long, ids array<int>"
 
 
 def _encode(path: str, end: int):
@@ -28,14 +28,14 @@ def _encode(path: str, end: int):
             ends = skip + np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64)
             ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
             lists = pa.ListArray.from_arrays(pa.array((ends - skip).astype(np.int32)), ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends[:-1]), lists], names=["doc_id", "skip", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends[:-1]), pa.array(np.diff(ends)), lists], names=["doc_id", "skip", "n_tokens", "ids"])
             skip = int(ends[-1])
 
     return run
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20) -> None:
-    """Writes doc_id, skip (ids before it in its file) and ids (with the end id) in ascending doc_id order.
+    """Writes doc_id, skip (ids before it in its file), n_tokens and ids (with the end id) in ascending doc_id order.
 
     Texts are range-partitioned by doc_id and encoded where they land, so that ids are not shuffled; each partition
     becomes a file, numbered in the order. Stripes can be read in parallel; their indexes and the Bloom filter on
@@ -51,12 +51,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, as the files have them."""
     rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"))
-    # A row for each file: no text or document goes through this window's one task.
-    files = rows.groupBy("file").agg(F.max(F.col("skip") + F.size("ids")).alias("n"))
+    # The files' sizes come from two narrow columns; no ids are read for them. A row for each file goes through this
+    # window's one task.
+    files = rows.groupBy("file").agg(F.max(F.col("skip") + F.col("n_tokens")).alias("n"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # Two longs for each file, of which there are as many as the write had partitions.
-    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("before") + F.col("skip")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("before") + F.col("skip")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,11 @@ def tokenizer_path(file: str) -> str:
     return public_tokenizers.path(file)
 
 
-class Encoder:
+class _Whole(Exception):
+    """A chunk whose ids depend on what stands beside it."""
+
+
+class Encoder(dict):
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers.
 
     The tokenizers pre-split at spaces, so a text's ids are those of its chunks in order, and most chunks recur.
@@ -40,71 +44,59 @@ class Encoder:
     With keeps_space, a text with white space beside a space or at its ends, where the pre-splitting looks
     further, is encoded whole. Special tokens' strings count as ordinary text.
 
-    Chunks are remembered in two generations: a full one becomes the old one, from which what recurs is taken over.
+    The dictionary holds chunks with their ids, and a look-up adds what it lacks. Chunks are remembered in two
+    generations: a full one becomes the old one, from which what recurs is taken over.
     """
 
     def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.remembered = keeps_space, remembered
-        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.marks: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         chunks = text.split(" ")
-        first = b""
-        if self.keeps_space:
+        try:
+            if not self.keeps_space:
+                return b"".join(map(self.__getitem__, chunks))
             if not chunks[0] or chunks[0][-1].isspace():
-                return self._ids([text])[0]
-            first = self._first(chunks.pop(0))
-        found = list(map(self.known.get, chunks))
-        if None in found and not self._fill(chunks, found):
-            return self._ids([text])[0]
-        return first + b"".join(found)
+                return self._ids(text)
+            return self._first(chunks.pop(0)) + b"".join(map(self.__getitem__, chunks))
+        except _Whole:
+            return self._ids(text)
 
     def _first(self, chunk: str) -> bytes:
-        """The ids of a text's first chunk, which has no space before it."""
+        """The ids of a text's or a line's first chunk, which has no space before it."""
         ids = self.firsts.get(chunk)
         if ids is None:
-            ids = self._ids([chunk])[0]
+            ids = self._ids(chunk)
             if len(self.firsts) < self.remembered // 10:
                 self.firsts[chunk] = ids
         return ids
 
-    def _fill(self, chunks: list[str], found: list[bytes | None]) -> bool:
-        """Puts the ids of chunks that aren't known in their places; False if the text must be encoded whole."""
-        missing, at = [], -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            missing.append(at)
-        here: dict[str, bytes] = {}
-        rest = []
-        for c in {chunks[i] for i in missing}:
-            ids = self.old.get(c) or self._simple(c)
-            if ids:
-                here[c] = ids
-            elif self.keeps_space and (not c or c[0].isspace() or c[-1].isspace()):
-                return False
-            else:
-                rest.append(c)
-        if rest:
-            here.update(zip(rest, self._ids([f" {c}" for c in rest] if self.keeps_space else rest)))
-        if len(self.known) + len(here) > self.remembered // 2:
-            self.known, self.old = {}, self.known
-        self.known.update(here)
-        for i in missing:
-            found[i] = here[chunks[i]]
-        return True
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._simple(chunk)
+        if ids is None:
+            if self.keeps_space and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
+                raise _Whole
+            ids = self._ids(f" {chunk}" if self.keeps_space else chunk)
+        if len(self) >= self.remembered // 2:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def _simple(self, chunk: str) -> bytes | None:
         """The ids of a chunk of Latin letters, with ASCII marks behind them or not, or of such chunks on two lines.
@@ -117,21 +109,19 @@ class Encoder:
             above, line, below = chunk.partition("\n")
             if not line or SIMPLE(above) is None or SIMPLE(below) is None:
                 return None
-            above = self.known.get(above) or self.old.get(above) or self._simple(above)
-            return above + self._mark(line) + self._first(below) if self.keeps_space else above + self._simple(below)
+            return self[above] + self._mark(line) + self._first(below) if self.keeps_space else self[above] + self[below]
         word, mark = match.groups()
-        ids = mark and (self.known.get(word) or self.old.get(word))
-        if not ids:
-            shown = word if self.keeps_space else word.lower()
-            if not shown.isascii():
-                shown = shown.encode().decode("latin-1").translate(SHOWN)
-            ids = array("I", [t.id for t in self.model.tokenize(f"\u0120{shown}" if self.keeps_space else shown)]).tobytes()
-        return ids + self._mark(mark) if mark else ids
+        if mark:
+            return self[word] + self._mark(mark)
+        shown = word if self.keeps_space else word.lower()
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(SHOWN)
+        return array("I", [t.id for t in self.tokenize(f"\u0120{shown}" if self.keeps_space else shown)]).tobytes()
 
     def _mark(self, mark: str) -> bytes:
         ids = self.marks.get(mark)
         if ids is None:
-            ids = self._ids([mark])[0]
+            ids = self._ids(mark)
             if len(self.marks) < self.remembered // 10:
                 self.marks[mark] = ids
         return ids
