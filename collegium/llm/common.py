@@ -18,8 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that a Python task turns into objects at a time.
 SLICE = 512
 
-#: Rows (and items of arrays) of a written table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Rows (and items of arrays) of a written table that may be broadcast; a larger one is joined by a shuffle. Low, so
+#: that plans over a fraction of a gigabyte are those of any larger input.
+BROADCAST_ROWS = 10_000
 
 _own_dir: str | None = None
 
