@@ -105,3 +105,29 @@ def all_words_in(query: str, *columns: Column) -> Column:
     for word in query.lower().split():
         out = out & F.contains(text, F.lit(word))
     return out
+
+
+# Roman figures of semesters, and the course codes that examinations print.
+ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII"]
+EXAM_CODE = r"(1?B[A-Z]{2,7}\d{3}[A-Za-z]?|\d{2}[A-Z]{2,6}\d{2,3}[A-Za-z]?)"
+WILDCARD_CODE = r"[0-9A-Z]*\*+[0-9A-Z*]*"
+
+
+def academic_year(text: Column) -> Column:
+    """Two years that follow each other, as 2026-27; null for any other pair."""
+    pair = r"\b(20\d{2})\s*[-–—/]\s*(?:20)?(\d{2})\b"
+    start, end = F.regexp_extract(text, pair, 1).try_cast("int"), F.regexp_extract(text, pair, 2).try_cast("int")
+    return F.when(end == start - 1999, F.concat(start.cast("string"), F.lit("-"), F.lpad(end.cast("string"), 2, "0")))
+
+
+def semester_of(text: Column) -> Column:
+    """1 to 8, in Arabic figures after the word or else in Roman ones before it."""
+    arabic = F.regexp_extract(text, r"(?i)\b(?:semester|sem)\s*[:\-–]?\s*([1-8])\b", 1).try_cast("int")
+    roman = F.array_position(F.array(*[F.lit(r) for r in ROMAN]), F.upper(F.regexp_extract(text, r"(?i)\b([IVX]{1,4})\s*(?:st|nd|rd|th)?\s*semester\b", 1)))
+    return F.coalesce(arabic, F.nullif(roman, F.lit(0)).cast("int"))
+
+
+def exam_cell_kind(cell: Column) -> Column:
+    """code, alternatives (codes about slashes), pattern (with wildcards, never expanded) or other."""
+    printed = F.trim(cell)
+    return F.when(printed.rlike(f"^{EXAM_CODE}$"), "code").when(printed.rlike(rf"^{EXAM_CODE}(\s*/\s*{EXAM_CODE})+$"), "alternatives").when(printed.rlike(f"^{WILDCARD_CODE}$"), "pattern").otherwise("other")
