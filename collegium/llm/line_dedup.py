@@ -1,7 +1,8 @@
-"""Line dedup: lines meet on the variants that a deletion leaves, and the earliest stays."""
+"""Line dedup: lines meet on shingles of which the edits of near lines spare one, and the earliest stays."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +13,27 @@ from pyspark.sql import functions as F
 
 from collegium.llm.common import materialise, meet, slices
 
-#: Words of a line for near matches at least; shorter lines match when equal only. One edit in five is a likeness of 0.8.
+#: Words of a line for near matches at least; shorter lines match when equal only.
 LEAST_WORDS = 5
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-SUBSTITUTE, DELETED, WHOLE = 0, 1, 2
+#: Words of the longer line for each edit that two near lines may be apart, a likeness of 0.8; ONE_EDIT: one in all.
+WORDS_AN_EDIT, ONE_EDIT = 5, 0
+#: Documents, about, whose common shingles are counted, and how many of these are put last.
+SAMPLE, COMMON = 2_000, 20_000
+#: Lines that a task remembers to have emitted.
+REMEMBERED = 200_000
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-LINES = "doc_id long, copy long, line int, words int, digest binary, halves array<long>"
+LINES = "doc_id long, copy long, line int, words int, digest binary"
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of a line's beginnings and ends of half its words; lines one edit apart share one.
+def bound(words: int, an_edit: int = WORDS_AN_EDIT) -> int:
+    """The edits within which a line is near, by the words of the longer of both."""
+    return words // an_edit if an_edit else 1
 
-    With n words these are the first and the last n // 2 and (n - 1) // 2: an edit spares one side, and a line one
-    word shorter or longer has a half of the same size.
-    """
-    sizes = {len(words) // 2, (len(words) - 1) // 2}
-    keys = [(b"p", words[:k]) for k in sizes] + [(b"s", words[len(words) - k :]) for k in sizes]
-    return [xxhash.xxh64_intdigest(side + b"%d " % len(part) + b" ".join(part)) - (1 << 63) for side, part in keys]
+
+def reach(words: int, an_edit: int = WORDS_AN_EDIT) -> int:
+    """The most edits within which a line of so many words is near to any other, longer ones included."""
+    return words // (an_edit - 1) if an_edit else 1
 
 
 def split_lines(raw: bytes) -> list[tuple[int, list[bytes]]]:
@@ -49,23 +53,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
             copy = copy_of(raw)
             for i, words in split_lines(raw):
-                rows.append((doc_id, copy, i, len(words), xxhash.xxh3_128_digest(b" ".join(words)), halves(words) if len(words) >= LEAST_WORDS else []))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=["doc_id", "copy", "line", "words", "digest", "halves"])
-
-
-def variants(words: list[bytes]) -> tuple[np.ndarray, int]:
-    """Hashes of the line without each of its words in turn, and of the whole line.
-
-    A sequence's hash is the sum of its words' hashes times powers of BASE, so that one pass gives all deletions of
-    a line of any length.
-    """
-    n = len(words)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, n)
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, BASE)]))
-    up_to = np.cumsum(hashes * powers, dtype=np.uint64)
-    total = up_to[-1]
-    return (up_to - hashes * powers) + (total - up_to) * INVERSE, int(total)
+                rows.append((doc_id, copy, i, len(words), xxhash.xxh3_128_digest(b" ".join(words))))
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["doc_id", "copy", "line", "words", "digest"])
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
@@ -74,21 +64,111 @@ def mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-VARIANTS = "key long, role byte, tag long"
+def shingles(words: list[bytes]) -> np.ndarray:
+    """A hash for each word with its neighbours, where the ends of the line count as words."""
+    hashes = np.array([0, *map(xxhash.xxh64_intdigest, words), 1], np.uint64)
+    return mixed(hashes[:-2] * FACTORS[0] + hashes[1:-1] * FACTORS[1] + hashes[2:] * FACTORS[2])
+
+
+def unharmed(places: list[int]) -> int:
+    """Edits that it takes at least to harm all shingles at these places; one edit harms those at three in a row."""
+    edits, end = 0, -1
+    for place in places:
+        if place > end:
+            edits, end = edits + 1, place + 2
+    return edits
+
 
+def keys(words: list[bytes], common: np.ndarray, ranks: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> np.ndarray:
+    """The least shingles of a line that reach() edits can't harm all; near lines share one.
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shingles are in one order for all lines: those in `common` (sorted) last by their ranks, else by hash. Of two
+    near lines, take the one whose keys end first in this order. One of its keys is unharmed, so it is a shingle of
+    the other line and comes before the end of that line's keys: it is one of them.
+    """
+    found, most = shingles(words), reach(len(words), an_edit)
+    rank = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        rank = np.where(common[at] == found, ranks[at], 0)
+    order = np.lexsort((found, rank))
+    low, high = most + 1, min(len(found), 3 * most + 1)
+    while low < high:
+        middle = (low + high) // 2
+        if unharmed(np.sort(order[:middle]).tolist()) > most:
+            high = middle
+        else:
+            low = middle + 1
+    return np.unique(found[order[:low]])
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """(tag, words) of the lines that may have near ones, by batch; a task gives a line once, as far as it remembers."""
+    seen: set[int] = set()
     for batch in slices(batches):
-        keys, roles, tags = [], [], []
-        for tag, content in zip(batch.column("tag").to_pylist(), batch.column("content").to_pylist()):
-            deleted, whole = variants(content.split(b" "))
-            place = np.arange(len(deleted), dtype=np.uint64)
-            keys += [mixed(deleted + mixed(place + np.uint64(1))), mixed(deleted), mixed(np.array([whole], np.uint64))]
-            roles += [np.full(len(deleted), SUBSTITUTE, np.int8), np.full(len(deleted), DELETED, np.int8), np.full(1, WHOLE, np.int8)]
-            tags.append(np.full(2 * len(deleted) + 1, tag))
-        if tags:
-            columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(tags))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "role", "tag"])
+        new = []
+        for raw in batch.column("raw").to_pylist():
+            for _, words in split_lines(raw):
+                if len(words) >= LEAST_WORDS:
+                    tag = copy_of(xxhash.xxh3_128_digest(b" ".join(words)))
+                    if tag not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(tag)
+                        new.append((tag, words))
+        yield new
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for new in _new_lines(batches):
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingles(w)) for _, w in new]).view(np.int64))], names=["key"])
+
+
+def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for new in _new_lines(batches):
+            if new:
+                found = [keys(words, common, ranks, an_edit) for _, words in new]
+                tags = np.repeat(np.array([tag for tag, _ in new], np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(tags)], names=["key", "tag"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, tag) sorted by both, each once, those whose key has more than one tag."""
+    key, tag = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def out(key, tag):
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+        key, tag = key[first], tag[first]
+        same = key[1:] == key[:-1]
+        several = np.zeros(len(key), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(tag[several])], names=["key", "tag"])
+
+    for batch in batches:
+        if batch.num_rows:
+            key, tag = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in ((key, "key"), (tag, "tag")))
+            done = int(np.searchsorted(key, key[-1]))
+            if done:
+                yield out(key[:done], tag[:done])
+                key, tag = key[done:], tag[done:]
+    if len(key):
+        yield out(key, tag)
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks) of those that recur most in a sample of documents, sorted; they only set an order."""
+    share = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("raw"), F.lit(share)) == 0).mapInArrow(_shingles, "key long")
+    found = some.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    common = np.array([r.key for r in found], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.array([r["count"] for r in found], np.int64)[order]
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -102,6 +182,36 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return longer[same + 1 :] == shorter[same:]
 
 
+def distance(a: list[bytes], b: list[bytes]) -> int:
+    """Words inserted, deleted or replaced between two lines: a column of the table of distances is the bits of integers."""
+    if not a:
+        return len(b)
+    places: dict[bytes, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last, edits = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for word in b:
+        equal = places.get(word, 0)
+        flat = (((equal & up) + up) ^ up) | equal | down
+        right, left = down | every & ~(flat | up), flat & up
+        edits += 1 if right & last else -1 if left & last else 0
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | every & ~(flat | right), right & flat
+    return edits
+
+
+def near_lines(a: list[bytes], b: list[bytes], an_edit: int = WORDS_AN_EDIT) -> bool:
+    most = bound(max(len(a), len(b)), an_edit)
+    if min(len(a), len(b)) < LEAST_WORDS or abs(len(a) - len(b)) > most:
+        return False
+    if one_edit(a, b):
+        return True
+    if most < 2 or max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > most:
+        return False
+    return distance(a, b) <= most
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
@@ -113,10 +223,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(contents, pa.binary())], names=["tag", "content"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [one_edit(a.split(), b.split()) for a, b in zip(batch.column("content").to_pylist(), batch.column("other").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(found, pa.bool_()))], names=["digest"])
+def _verify(an_edit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [near_lines(a.split(), b.split(), an_edit) for a, b in zip(batch.column("content").to_pylist(), batch.column("other").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("tag").filter(pa.array(found, pa.bool_()))], names=["tag"])
+
+    return run
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,55 +244,56 @@ def _contents(rows: DataFrame, likely: DataFrame) -> DataFrame:
     return materialise(met.select("raw", "copy", "wanted").mapInArrow(_texts, "tag long, content binary").dropDuplicates(["tag"]), "contents")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> tuple[DataFrame, DataFrame]:
     """(lines, near): all lines with a word and, of each, whether an equal or a near line comes before it.
 
-    lines has doc_id, copy, line, digest and `dropped`; near has the digests of lines to which a different line,
-    one word's insertion, deletion or replacement away, comes first. See line_dedup for the order.
+    lines has doc_id, copy, line, digest and `dropped`; near has the digests of lines to which a different, near line
+    comes first. See line_report for the order.
     """
     rows = _rows(docs, id_col, text_col)
     lines = materialise(rows.mapInArrow(_lines, LINES), "lines")
     place = F.struct("doc_id", "copy", "line")
-    # The halves follow from the digest, so any of a line's rows has them.
-    distinct = materialise(lines.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("halves").alias("halves")), "distinct")
-    half = distinct.select("digest", F.explode("halves").alias("half"))
-    shared = materialise(half.groupBy("half").count().where("count > 1").select("half"), "halves")
-    likely = materialise(meet(half, shared, ["half"]).select("digest").distinct(), "likely")
-    likely = materialise(meet(distinct, likely, ["digest"]).select("digest", "first", F.xxhash64("digest").alias("tag")), "likely")
+    distinct = materialise(lines.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("words").alias("words")), "distinct")
+    emitted = rows.mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
+    met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
+    tagged = distinct.withColumn("tag", F.xxhash64("digest"))
+    likely = materialise(meet(tagged, materialise(met.select("tag").distinct(), "tags"), ["tag"]).select("digest", "first", "words", "tag"), "likely")
     contents = _contents(rows, likely)
-    # A key that one line alone has joins nothing; most go here, combined before the shuffle.
-    emitted = materialise(contents.mapInArrow(_variants, VARIANTS), "variants")
-    shared = materialise(emitted.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("key"), "shared")
-    met = materialise(meet(emitted, shared, ["key"]).join(likely, "tag"), "met")
-    # Lines with one word replaced at one place, or a line and those that one deletion turns into it: each needs the
-    # earliest of the others only, a least that is combined before the shuffle.
-    part = F.when(F.col("role") == SUBSTITUTE, F.lit("same")).when(F.col("role") == DELETED, F.lit("longer")).otherwise(F.lit("shorter"))
-    least = met.groupBy("key", part.alias("part")).agg(F.min("first").alias("other"))
-    facing = least.withColumn("part", F.when(F.col("part") == "longer", F.lit("shorter")).when(F.col("part") == "shorter", F.lit("longer")).otherwise(F.col("part")))
-    before = met.withColumn("part", part).join(facing, ["key", "part"]).where("other < first").groupBy("digest").agg(F.min("other").alias("other"))
-    near = _verified(contents, likely, materialise(before, "before"))
+    met = materialise(met.join(likely.drop("digest"), "tag"), "met")
+    # Most near lines are near to the earliest that shares a key; only the others are compared with all earlier ones.
+    least = met.groupBy("key").agg(F.min(F.struct("first", "tag", "words")).alias("least")).select("key", *[F.col(f"least.{c}").alias(f"other_{c}") for c in ("first", "tag", "words")])
+    near = _verified(contents, materialise(_pairs(met, least, an_edit), "pairs"), an_edit)
+    rest = met.join(near, "tag", "left_anti")
+    every = met.select("key", *[F.col(c).alias(f"other_{c}") for c in ("first", "tag", "words")])
+    near = near.unionByName(_verified(contents, materialise(_pairs(rest, every, an_edit), "pairs"), an_edit))
+    near = materialise(likely.join(near, "tag").select("digest"), "near")
     firsts = distinct.select("digest", "first").join(near.withColumn("near", F.lit(True)), "digest", "left")
     dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
     return lines.join(firsts, "digest").select("doc_id", "copy", "line", "digest", dropped.alias("dropped")), near
 
 
-def _verified(contents: DataFrame, likely: DataFrame, before: DataFrame) -> DataFrame:
-    """The digests of before whose line is one edit from the other's, by their words; hashes alone decide nothing."""
-    others = likely.select(F.col("first").alias("other"), F.col("tag").alias("other_tag"))
-    pairs = before.join(likely.select("digest", "tag"), "digest").join(others, "other").select("digest", "tag", "other_tag")
+def _pairs(met: DataFrame, others: DataFrame, an_edit: int) -> DataFrame:
+    """(tag, other_tag) of lines that share a key with an earlier one whose length allows them to be near."""
+    most = F.floor(F.greatest("words", "other_words") / an_edit) if an_edit else F.lit(1)
+    fits = (F.col("other_first") < F.col("first")) & (F.abs(F.col("words") - F.col("other_words")) <= most)
+    return met.join(others, "key").where(fits).select("tag", "other_tag").distinct()
+
+
+def _verified(contents: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
+    """The tags of pairs whose line is near the other, by their words; hashes alone decide nothing."""
     both = pairs.join(contents, "tag").join(contents.select(F.col("tag").alias("other_tag"), F.col("content").alias("other")), "other_tag")
-    return materialise(both.select("digest", "content", "other").mapInArrow(_verify, "digest binary").distinct(), "near")
+    return materialise(both.select("tag", "content", "other").mapInArrow(_verify(an_edit), "tag long").distinct(), "near")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
     """doc_id, copy and the sorted numbers of the lines that go, for documents that lose any."""
-    lines, _ = repeated_lines(docs, id_col, text_col)
+    lines, _ = repeated_lines(docs, id_col, text_col, an_edit)
     return lines.where("dropped").groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
     """docs with the lines cut out of the texts that line_report drops; other columns and rows stay as they are."""
-    gone = materialise(dropped_lines(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "copy", "dropped"), "dropped")
+    gone = materialise(dropped_lines(docs, id_col, text_col, an_edit).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "copy", "dropped"), "dropped")
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"))
     rows = meet(rows, gone, ["_id", "copy"], "left")
     kept = F.array_join(F.filter(F.split(F.col("_row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
@@ -187,16 +301,17 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (with a word), n_dropped, dropped (numbers of lines, from 0).
 
     A line is its words; blank lines are never dropped. Lines are in the order of doc_id (null first), then number;
     a line is dropped if an equal one or, with LEAST_WORDS words or more in both, a near one comes before it
-    anywhere, whether that one stays or not. Near: one word inserted, deleted or replaced. Rows that repeat both id
+    anywhere, whether that one stays or not. Near: at most bound() words inserted, deleted or
+    replaced, which is one, or with an_edit one for each so many words of the longer line. Rows that repeat both id
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
     is empty.
     """
-    by_doc = dropped_lines(docs, id_col, text_col)
+    by_doc = dropped_lines(docs, id_col, text_col, an_edit)
     every = materialise(_rows(docs, id_col, text_col).mapInArrow(_counts, "doc_id long, copy long, n_lines long"), "counts")
     found = every.join(by_doc.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (every["copy"] == by_doc["copy"]), "left")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))

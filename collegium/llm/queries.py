@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from collegium.llm.common import read_documents, read_labels
 from collegium.llm.exact_dedup import exact_dedup
 from collegium.llm.fingerprints import document_fingerprints
-from collegium.llm.line_dedup import line_report
+from collegium.llm.line_dedup import WORDS_AN_EDIT, line_report
 from collegium.llm.mixing import mix_report
 from collegium.llm.packing import pack
 from collegium.llm.quality import fit_quality, score_quality
@@ -103,7 +103,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(read_documents(spark, sf_dir))
+    return line_report(read_documents(spark, sf_dir), an_edit=WORDS_AN_EDIT)
 
 
 @_query
