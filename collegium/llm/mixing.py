@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collegium.llm.common import WORD, in_order, materialise, meet, running_total
@@ -23,10 +24,15 @@ def word_count(text):
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+def copy_hash(text_col: str, source_col: str):
+    """Tells rows apart that repeat an id with different texts or sources."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(source_col))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """doc_id, source, size and the hash `shuffled` that orders the documents of a source; reads each text once."""
+    """doc_id, source, size, copy and the hash `shuffled` that orders the documents of a source; reads each text once."""
     shuffled = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled.alias("shuffled"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled.alias("shuffled"), copy_hash(text_col, source_col).alias("copy"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def placed(sizes: DataFrame, targets: DataFrame, bucket_rows: int = BUCKET_ROWS)
     known = sizes.join(targets.drop("_part"), sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     draw = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") / float(1 << 32)
     known = known.withColumn("bucket", F.floor(draw * F.ceil(F.col("docs") / bucket_rows)))
-    return running_total(known, ["no"], "bucket", ["shuffled", "doc_id", "size"], F.col("size"), "start")
+    return running_total(known, ["no"], "bucket", ["shuffled", "doc_id", "size", "copy"], F.col("size"), "start")
 
 
 def pieces(documents: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -140,16 +146,23 @@ def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return took.select(*columns).unionByName(rest.select(*columns))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is taken, with docs' columns.
 
     What a source's target cuts in the middle keeps its first words, joined by spaces; all other texts are whole.
-    Documents that the mix does not take go. Rows that repeat an id are each taken as often as the id is.
+    Documents that the mix does not take go. Rows that repeat an id are documents of their own, known by text and
+    source; those that repeat these too are numbered.
     """
-    _, parts = mix(docs, block)
-    took = parts.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "no", "start", "size", "epoch").agg(F.sum("taken").alias("_taken"))
-    took = materialise(took.select("_id", "_none", F.when(F.col("_taken") < F.col("size"), F.col("_taken").cast("int")).alias("_cut")), "took")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
-    met = meet(rows, took, ["_id", "_none"])
+    documents, parts = mix(docs, block)
+    keys = ["_id", "_none", "_copy"]
+    identity = lambda rows, doc_id, copy: rows.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_none": F.col(doc_id).cast("long").isNull(), "_copy": copy})
+    took = identity(parts, "doc_id", F.col("copy")).groupBy(*keys, "start", "size", "epoch").agg(F.sum("taken").alias("_taken"))
+    took = materialise(took.select(*keys, "start", F.when(F.col("_taken") < F.col("size"), F.col("_taken").cast("int")).alias("_cut")), "took")
+    rows = identity(docs, id_col, copy_hash(text_col, source_col))
+    if identity(documents, "doc_id", F.col("copy")).groupBy(*keys).count().where("count > 1").limit(1).count():
+        took = materialise(took.withColumn("_no", F.dense_rank().over(W.partitionBy(*keys).orderBy("start"))), "took")
+        rows = rows.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))))
+        keys = [*keys, "_no"]
+    met = meet(rows, took, keys)
     first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut")), " ")
     return met.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(first).alias(c) if c == text_col else F.col(c) for c in docs.columns])

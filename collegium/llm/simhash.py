@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from collegium.llm.common import materialise, meet, slices
 from collegium.llm.components import connected_components
+from collegium.llm.line_dedup import copy_of
 
 BITS = 64
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -206,13 +207,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        raws = [x or b"" for x in batch.column("text").to_pylist()]
+        columns = [batch.column("doc_id"), pa.array([copy_of(x) for x in raws], pa.int64()), pa.array([fingerprint(x) for x in raws], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "fp"])
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that name their component: those with the least id. Of rows that repeat such an id, one stays."""
-    named = near_dedup(docs, id_col, text_col, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(named.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
-    once = meet(rows, kept, ["_id", "_none"])
+    """A row of docs for each component of near_dedup: that with the least id, null last.
+
+    Rows that share an id are told apart by a hash of their texts, of which the least stays; of rows that repeat id and
+    text, one stays.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    prints = materialise(rows.mapInArrow(_prints, "doc_id long, copy long, fp long"), "fingerprints")
+    none = F.col("doc_id").isNull().alias("_none")
+    named = prints.groupBy("fp", "doc_id", "copy").agg(F.count(F.lit(1)).alias("_rows"))
+    named = named.select("fp", F.struct(none, F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("copy").alias("_copy"), "_rows").alias("least"))
+    distinct = materialise(named.groupBy("fp").agg(F.min("least").alias("least")), "distinct")
+    roots = connected_components(materialise(fingerprint_links(distinct.select("fp"), radius), "links"))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = materialise(member.agg(F.min("least").alias("least")).select("least.*"), "kept")
+    identity = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).cast("long").isNull(), "_copy": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    once = meet(docs.withColumns(identity), kept, list(identity))
     if not kept.where("_rows > 1").limit(1).count():
         return once.select(*docs.columns)
-    repeated = once.where("_rows > 1").dropDuplicates(["_id", "_none"])
+    repeated = once.where("_rows > 1").dropDuplicates(list(identity))
     return once.where("_rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
