@@ -23,9 +23,9 @@ BUCKET_ROWS = 2_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(path: str, length: int, end: int):
+def _pieces(path: str, length: int, end: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(path, False).encode, np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path, False, special).encode, np.array([end], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -40,10 +40,10 @@ def _pieces(path: str, length: int, end: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Documents cut into full sequences and a remainder; null text is empty, so it is the end id alone."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer or tokenizer_path(WORD_BPE), length, end), PIECES)
+    return rows.mapInArrow(_pieces(tokenizer or tokenizer_path(WORD_BPE), length, end, special), PIECES)
 
 
 @dataclass
@@ -145,7 +145,7 @@ def _seated(table: dict[int, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, grid: int = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, grid: int = GRID, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is cut at multiples of length only; its remainder stays whole. Lengths are rounded up to the grid,
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     tells its pattern and sequence. Rows that repeat a doc_id are documents of their own. An empty table gives no
     rows.
     """
-    cut = pieces(docs, tokenizer, length, end, id_col, text_col)
+    cut = pieces(docs, tokenizer, length, end, id_col, text_col, special)
     shuffled = F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 1)
     cut = materialise(cut.withColumn("units", F.ceil(F.col("length") / grid).cast("int")).withColumn("shuffled", shuffled), "pieces")
     histogram = {r["units"]: r["n"] for r in cut.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}

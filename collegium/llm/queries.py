@@ -76,12 +76,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_documents(spark, sf_dir))
+    return pack(read_documents(spark, sf_dir), special=True)
 
 
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_report(read_documents(spark, sf_dir))
+    return token_report(read_documents(spark, sf_dir), special=True)
 
 
 @_query

@@ -20,9 +20,9 @@ END = 2
 SCHEMA = "doc_id long, skip long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail, skip = encoder(path, True).encode, np.array([end], "<u4").tobytes(), 0
+        encode, tail, skip = encoder(path, True, special).encode, np.array([end], "<u4").tobytes(), 0
         for batch in slices(batches):
             found = [encode(x) + tail for x in batch.column("text").to_pylist()]
             ends = skip + np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64)
@@ -34,7 +34,7 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, special: bool = False) -> None:
     """Writes doc_id, skip (ids before it in its file), n_tokens and ids (with the end id) in ascending doc_id order.
 
     Texts are range-partitioned by doc_id and encoded where they land, so that ids are not shuffled; each partition
@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer or tokenizer_path(BYTE_BPE), end), SCHEMA)
+    encoded = rows.mapInArrow(_encode(tokenizer or tokenizer_path(BYTE_BPE), end, special), SCHEMA)
     options = {"compression": "lz4", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes)}
     encoded.write.options(**options).orc(path)
 
@@ -68,9 +68,9 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_report(docs: DataFrame) -> DataFrame:
+def token_report(docs: DataFrame, special: bool = False) -> DataFrame:
     """Writes the token files into the shared folder, reads them and gives doc_id, start, n_tokens and ids_crc32."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path)
+    write_token_files(docs, path, special=special)
     return read_token_files(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

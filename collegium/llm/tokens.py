@@ -42,19 +42,21 @@ class Encoder(dict):
     The tokenizers pre-split at spaces, so a text's ids are those of its chunks in order, and most chunks recur.
     `keeps_space` says whether a space belongs to the chunk behind it (byte-level) or is dropped (word-level).
     With keeps_space, a text with white space beside a space or at its ends, where the pre-splitting looks
-    further, is encoded whole. Special tokens' strings count as ordinary text.
+    further, is encoded whole. With `special`, as the library does by default, the strings of special tokens in a
+    text give their ids, and such a text is encoded whole; else they count as ordinary text.
 
     The dictionary holds chunks with their ids, and a look-up adds what it lacks. Chunks are remembered in two
     generations: a full one becomes the old one, from which what recurs is taken over.
     """
 
-    def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED, special: bool = False) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.keeps_space, self.remembered = keeps_space, remembered
         self.old: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
@@ -65,6 +67,9 @@ class Encoder(dict):
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        for added in self.added:
+            if added in text:
+                return self._ids(text)
         chunks = text.split(" ")
         try:
             if not self.keeps_space:
@@ -127,11 +132,11 @@ class Encoder(dict):
         return ids
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, special: bool = False) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = Encoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+    if (path, keeps_space, special) not in _encoders:
+        _encoders[path, keeps_space, special] = Encoder(path, keeps_space, special=special)
+    return _encoders[path, keeps_space, special]
