@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def notice_signals(spark, sf_dir):
     return rows.select("notice", F.array_join(X.signals_of(F.col("title")), "; ").alias("signal"))
 
 
+def signal_sql(pattern):
+    """The phrases of one rule that occur, white space folded, joined."""
+    found = [rf"nullif(trim(regexp_replace(regexp_extract(title, '(?i){p}', 0), '\s+', ' ', 'g')), '')" for p in re.split(r"(?<=\\b)\|(?=\\b)", pattern)]
+    return f"WHEN regexp_matches(title, '(?i){pattern}') THEN concat_ws('; ', {', '.join(found)})"
+
+
+ALL_SIGNALS_SQL = " ".join(signal_sql(p) for p in re.findall(r"regexp_matches\(title, '\(\?i\)(.*)'\) THEN", CATEGORY_SQL))
+
+
+@query("all_notice_signals", S.with_(S.NOTICES, query=f"SELECT notice, CASE {ALL_SIGNALS_SQL} ELSE '' END AS signal FROM notices"))
+def all_notice_signals(spark, sf_dir):
+    """The words that fired, joined, for every notice by all ten rules; notice_signals has five of the twelve kinds."""
+    return T.notices(spark, sf_dir).select("notice", F.array_join(X.signals_of(F.col("title")), "; ").alias("signal"))
+
+
 @query("unresolved_texts", "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
 def unresolved_texts(spark, sf_dir):
     """Conversations hold no notice; what stays unresolved is counted by role."""
