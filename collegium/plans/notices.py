@@ -109,6 +109,12 @@ def targeted_pairs(spark, sf_dir):
     return applicable_pairs(narrow, T.profiles(spark, sf_dir), AXES, "notice", "student")
 
 
+@query("all_applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, p.student FROM notices n CROSS JOIN profiles p WHERE {VERDICT_SQL} = 'applicable'"))
+def all_applicable_pairs(spark, sf_dir):
+    """Pairs of all notices with the users they are for, whichever axes they target; applicable_pairs has those of two."""
+    return applicable_pairs(T.notices(spark, sf_dir), T.profiles(spark, sf_dir), AXES, "notice", "student")
+
+
 @query("one_user_feed", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, {VERDICT_SQL} AS verdict FROM notices n CROSS JOIN profiles p WHERE p.student = 10"))
 def one_user_feed(spark, sf_dir):
     """All verdicts for one user; the user's single row meets every notice."""
@@ -215,6 +221,25 @@ def fan_out_new(spark, sf_dir):
     return pairs.join(held, ["student", "notice"], "left_anti").groupBy("notice").agg(F.count(F.lit(1)).alias("created"))
 
 
+@query("fan_out_all", S.with_(S.NOTICES, S.PROFILES, query=f"""
+SELECT n.notice, count(*) AS created FROM notices n CROSS JOIN profiles p
+WHERE {VERDICT_SQL} = 'applicable' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.student AND o.o_orderkey % 2000 = n.notice) GROUP BY n.notice"""))
+def fan_out_all(spark, sf_dir):
+    """Deliveries of all notices that are not held yet; fan_out_new has those of notices for a branch and a college.
+
+    Users come from counts of their kinds, less the held pairs that apply, so that no pair is formed but held ones.
+    """
+    rows, users = T.notices(spark, sf_dir), T.profiles(spark, sf_dir)
+    held = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("student"), (F.col("o_orderkey") % 2000).alias("notice")).distinct()
+    held = held.join(rows, "notice").join(users.select("student", *[F.col(a).alias(f"held_{a}") for a in AXES]), "student")
+    applies = verdict({a: axis(F.col(a), F.col(f"held_{a}")) for a in AXES}, F.col("unreadable_scope")) == "applicable"
+    held = held.where(applies).groupBy("notice").agg(F.count(F.lit(1)).alias("held"))
+    kinds = verdict_counts(rows, users, AXES).where("verdict = 'applicable'")
+    on = [rows[a].eqNullSafe(kinds[a]) for a in [*AXES, "unreadable_scope"]]
+    counted = rows.join(kinds, on).select("notice", "users").join(held, "notice", "left")
+    return counted.select("notice", (F.col("users") - F.coalesce("held", F.lit(0))).alias("created")).where("created > 0")
+
+
 @query("unread_counts", "SELECT user_id AS student, count(*) FILTER (WHERE s = 'unread') AS unread, count(*) AS total FROM (SELECT user_id, CASE WHEN value < 5 THEN 'read' WHEN value < 6 THEN 'dismissed' ELSE 'unread' END AS s FROM events) GROUP BY user_id")
 def unread_counts(spark, sf_dir):
     state = F.when(F.col("value") < 5, "read").when(F.col("value") < 6, "dismissed").otherwise("unread")
