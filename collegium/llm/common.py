@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that a Python task turns into objects at a time.
 SLICE = 512
 
-#: Rows (and items of arrays) of a written table that may be broadcast; a larger one is joined by a shuffle. Low, so
-#: that plans over a fraction of a gigabyte are those of any larger input.
-BROADCAST_ROWS = 10_000
+#: Buckets of a group whose sums one task adds up at a time.
+FAN = 4096
 
 _own_dir: str | None = None
 
@@ -34,11 +34,13 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where none is set and all is local, as in tests."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="collegium-")
     return f"file://{_own_dir}"
@@ -62,35 +64,66 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and outlives lost executors.
 
-    The result of a query may read it lazily, so it goes when the driver's Python ends.
+    The result of a query may read it lazily, so it goes when the driver's Python ends, or with its scope().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    _keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins rows with a written side: broadcast if it is small, by a shuffle of both beyond that.
+def keyed_copy(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df written into the shared folder in buckets by `keys` (none of them null), one bucket for each shuffle partition.
 
-    Small is `limit` rows at most, the items of arrays counted as rows; the columns that these join are narrow.
+    Rows with whole texts that meet several narrow tables are moved once, here; each later join on the keys moves the
+    other side only.
     """
-    items = sum((F.coalesce(F.size(c), F.lit(0)) for c, kind in side.dtypes if kind.startswith("array")), F.lit(1))
-    few = (side.agg(F.sum(items)).first()[0] or 0) <= limit
-    return rows.join(F.broadcast(side) if few else side, keys, how)
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
+    _keep(spark, path, table)
+    return spark.table(table)
+
+
+_made: list[list[tuple[str, str | None]]] = []
+
+
+def _keep(spark: SparkSession, path: str, table: str | None = None) -> None:
+    atexit.register(_delete, spark, path)
+    if _made:
+        _made[-1].append((path, table))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside goes at its end, so only a result that is written or read to its end may leave it."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path, table in _made.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _delete(spark, path)
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str, fan: int = FAN) -> DataFrame:
     """Adds `out`: the sum of value over the rows before this one in its group (a long, 0 for the first).
 
-    A group may hold any share of the rows: it is split by the column `bucket`, which must not fall as `order`
-    rises. Bucket sums are pre-aggregated, so one task holds a bucket's rows, never a group's.
+    A group may hold any share of the rows: it is split by the whole number `bucket`, which must not fall as `order`
+    rises. Bucket sums are pre-aggregated and added up for `fan` buckets at a time, then over these, so a task holds a
+    bucket's rows, `fan` buckets' sums or a group's share of 1 / (rows of a bucket * fan).
     """
     keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    before = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).withColumn("_wide", F.floor(F.col(bucket) / fan))
+    wide = sums.groupBy(*group, "_wide").agg(F.sum("_sum").alias("_wide_sum"))
+    wide = wide.select(*group, "_wide", F.coalesce(F.sum("_wide_sum").over(before(group, "_wide")), F.lit(0)).alias("_wide_before"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before([*group, "_wide"], bucket)), F.lit(0)))
+    sums = sums.join(wide, [*group, "_wide"]).select(*keys, (F.col("_before") + F.col("_wide_before")).alias("_offset"))
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
         df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))

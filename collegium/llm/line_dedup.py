@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, meet, slices
+from collegium.llm.common import keyed_copy, materialise, slices
+from collegium.llm.lines import BINS, Block, blocks
 
 #: Words of a line for near matches at least; shorter lines match when equal only.
 LEAST_WORDS = 5
@@ -21,9 +22,13 @@ WORDS_AN_EDIT, ONE_EDIT = 5, 0
 SAMPLE, COMMON = 2_000, 20_000
 #: Lines that a task remembers to have emitted.
 REMEMBERED = 200_000
-FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-LINES = "doc_id long, copy long, line int, words int, digest binary"
+#: What tells rows apart: whether there is an id, the id (0 for none) and a hash of the text.
+KEY = ["given", "_id", "copy"]
+#: Shingles tried beyond one for each edit and one more, as multiples of the edits; the last is always enough.
+STEPS = [0.8, 0.95, 1.1, 1.3, 1.6, 2.0]
+KEYS = "given boolean, _id long, copy long"
+LINES = f"{KEYS}, line int, words int, tag long, digest binary, sketch binary"
 
 
 def bound(words: int, an_edit: int = WORDS_AN_EDIT) -> int:
@@ -36,11 +41,6 @@ def reach(words: int, an_edit: int = WORDS_AN_EDIT) -> int:
     return words // (an_edit - 1) if an_edit else 1
 
 
-def split_lines(raw: bytes) -> list[tuple[int, list[bytes]]]:
-    """(number, words) of the lines that have a word."""
-    return [(i, words) for i, line in enumerate(raw.split(b"\n")) if (words := line.split())]
-
-
 def copy_of(raw: bytes) -> int:
     """Tells rows apart that repeat an id with different texts; the same as Spark's xxhash64 of the text."""
     value = xxhash.xxh64_intdigest(raw, 42)
@@ -49,89 +49,97 @@ def copy_of(raw: bytes) -> int:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = []
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
-            copy = copy_of(raw)
-            for i, words in split_lines(raw):
-                rows.append((doc_id, copy, i, len(words), xxhash.xxh3_128_digest(b" ".join(words))))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["doc_id", "copy", "line", "words", "digest"])
-
-
-def mixed(value: np.ndarray) -> np.ndarray:
-    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return value ^ (value >> np.uint64(31))
-
+        keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in KEY]
+        for block in blocks(batch.column("raw").to_pylist()):
+            digests = [xxhash.xxh3_128_digest(block.content(i)) for i in range(len(block.doc))]
+            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(block.doc), [None, pa.py_buffer(block.sketches().tobytes())])
+            columns = [*(pa.array(x[block.doc]) for x in keys), pa.array(block.line.astype(np.int32)), pa.array(block.words.astype(np.int32)), pa.array(block.tags().view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), sketches.cast(pa.binary())], names=[*KEY, "line", "words", "tag", "digest", "sketch"])
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """A hash for each word with its neighbours, where the ends of the line count as words."""
-    hashes = np.array([0, *map(xxhash.xxh64_intdigest, words), 1], np.uint64)
-    return mixed(hashes[:-2] * FACTORS[0] + hashes[1:-1] * FACTORS[1] + hashes[2:] * FACTORS[2])
 
+def edits_to_harm(chosen: np.ndarray, first: np.ndarray, words: np.ndarray, most: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted line, the edits that it takes at least to harm all its chosen shingles, counted up to most + 1.
 
-def unharmed(places: list[int]) -> int:
-    """Edits that it takes at least to harm all shingles at these places; one edit harms those at three in a row."""
-    edits, end = 0, -1
-    for place in places:
-        if place > end:
-            edits, end = edits + 1, place + 2
+    One edit harms those at three places in a row, so going from the left, each edit starts at the next unharmed one.
+    """
+    size = len(chosen)
+    following = np.full(size + 1, size)
+    following[:size] = np.minimum.accumulate(np.where(chosen, np.arange(size), size)[::-1])[::-1]
+    edits = np.zeros(len(first), np.int64)
+    line = np.flatnonzero(wanted)
+    place = first[line]
+    while len(line):
+        place = following[np.minimum(place, size)]
+        inside = place < first[line] + words[line]
+        line, place = line[inside], place[inside] + 3
+        edits[line] += 1
+        going = edits[line] <= most[line]
+        line, place = line[going], place[going]
     return edits
 
 
-def keys(words: list[bytes], common: np.ndarray, ranks: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> np.ndarray:
-    """The least shingles of a line that reach() edits can't harm all; near lines share one.
+def keys(block: Block, common: np.ndarray, ranks: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, lines): the least shingles of each line that reach() edits can't harm all; near lines share one.
 
     Shingles are in one order for all lines: those in `common` (sorted) last by their ranks, else by hash. Of two
     near lines, take the one whose keys end first in this order. One of its keys is unharmed, so it is a shingle of
     the other line and comes before the end of that line's keys: it is one of them.
     """
-    found, most = shingles(words), reach(len(words), an_edit)
+    words, first = block.words, block.first
+    most = words // (an_edit - 1) if an_edit else np.ones_like(words)
+    found = block.shingles()
+    line = np.repeat(np.arange(len(words)), words)
     rank = np.zeros(len(found), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         rank = np.where(common[at] == found, ranks[at], 0)
-    order = np.lexsort((found, rank))
-    low, high = most + 1, min(len(found), 3 * most + 1)
-    while low < high:
-        middle = (low + high) // 2
-        if unharmed(np.sort(order[:middle]).tolist()) > most:
-            high = middle
-        else:
-            low = middle + 1
-    return np.unique(found[order[:low]])
-
-
-def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """(tag, words) of the lines that may have near ones, by batch; a task gives a line once, as far as it remembers."""
+    order = np.lexsort((found, rank, line))
+    turn = np.empty(len(found), np.int64)
+    turn[order] = np.arange(len(found)) - np.repeat(first, words)
+    # Any number of least shingles that the edits can't harm all will do; few steps find one near the least such number.
+    enough = np.minimum(words, 3 * most + 1)
+    size, open_ = np.minimum(enough, most + 1 + (STEPS[0] * most).astype(np.int64)), np.ones(len(words), bool)
+    for step in STEPS[1:]:
+        spared = edits_to_harm(turn < np.repeat(size, words), first, words, most, open_ & (size < enough)) > most
+        open_ &= ~spared & (size < enough)
+        if not open_.any():
+            break
+        size = np.where(open_, np.minimum(enough, most + 1 + (step * most).astype(np.int64)), size)
+    taken = order[turn[order] < np.repeat(size, words)[order]]
+    keys, line = found[taken], line[taken]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    return keys[once], line[once]
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
+    """The lines that may have near ones, with their tags, by block; a task gives a line once, as far as it remembers."""
     seen: set[int] = set()
     for batch in slices(batches):
-        new = []
-        for raw in batch.column("raw").to_pylist():
-            for _, words in split_lines(raw):
-                if len(words) >= LEAST_WORDS:
-                    tag = copy_of(xxhash.xxh3_128_digest(b" ".join(words)))
-                    if tag not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(tag)
-                        new.append((tag, words))
-        yield new
+        for block in blocks(batch.column("raw").to_pylist()):
+            block = block.of(block.words >= LEAST_WORDS)
+            tags = block.tags()
+            new = np.zeros(len(tags), bool)
+            for i, tag in enumerate(tags.tolist()):
+                if tag not in seen:
+                    new[i] = True
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(tag)
+            if new.any():
+                yield block.of(new), tags[new]
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for new in _new_lines(batches):
-        if new:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingles(w)) for _, w in new]).view(np.int64))], names=["key"])
+    for block, _ in _new_lines(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(block.shingles().view(np.int64))], names=["key"])
 
 
 def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for new in _new_lines(batches):
-            if new:
-                found = [keys(words, common, ranks, an_edit) for _, words in new]
-                tags = np.repeat(np.array([tag for tag, _ in new], np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(tags)], names=["key", "tag"])
+        for block, tags in _new_lines(batches):
+            found, line = keys(block, common, ranks, an_edit)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(tags[line].view(np.int64))], names=["key", "tag"])
 
     return run
 
@@ -214,15 +222,29 @@ def near_lines(a: list[bytes], b: list[bytes], an_edit: int = WORDS_AN_EDIT) ->
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = []
-        for raw, copy, wanted in zip(*(batch.column(n).to_pylist() for n in ("raw", "copy", "wanted"))):
-            if any(w["copy"] == copy for w in wanted) and copy_of(raw) == copy:
-                lines = dict(split_lines(raw))
-                rows += [(w["tag"], b" ".join(lines[w["line"]])) for w in wanted if w["copy"] == copy]
-        tags, contents = zip(*rows) if rows else ((), ())
+        tags, contents = [], []
+        for raw, wanted in zip(batch.column("raw").to_pylist(), batch.column("wanted").to_pylist()):
+            lines = raw.split(b"\n")
+            for w in wanted:
+                tags.append(w["tag"])
+                contents.append(b" ".join(lines[w["line"]].split()))
         yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(contents, pa.binary())], names=["tag", "content"])
 
 
+def _alike(an_edit: int):
+    """Of pairs, those whose sketches allow them to be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for n in ("sketch", "other_sketch"))
+            longer = np.maximum(batch.column("words").to_numpy(), batch.column("other_words").to_numpy())
+            most = longer // an_edit if an_edit else 1
+            found = pa.array(np.abs(a - b).sum(axis=1) <= 2 * most)
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(found) for n in ("tag", "other_tag")], names=["tag", "other_tag"])
+
+    return run
+
+
 def _verify(an_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -232,51 +254,57 @@ def _verify(an_edit: int):
     return run
 
 
+def identity(doc_id, text) -> dict:
+    """The columns of KEY."""
+    return {"given": doc_id.isNotNull(), "_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "copy": F.xxhash64(F.coalesce(text, F.lit("")))}
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    return docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
 
 
 def _contents(rows: DataFrame, likely: DataFrame) -> DataFrame:
     """tag, content (words joined by a space) of likely lines, each read in the document that has it first."""
-    line = F.struct(F.col("first.copy").alias("copy"), F.col("first.line").alias("line"), "tag")
-    wanted = likely.groupBy(F.coalesce("first.doc_id", F.lit(0)).alias("_id")).agg(F.collect_list(line).alias("wanted"))
-    met = meet(rows.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "copy": F.xxhash64(F.col("raw").cast("string"))}), materialise(wanted, "wanted"), ["_id"])
-    return materialise(met.select("raw", "copy", "wanted").mapInArrow(_texts, "tag long, content binary").dropDuplicates(["tag"]), "contents")
+    line = F.struct(F.col("first.line").alias("line"), "tag")
+    wanted = materialise(likely.groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted")), "wanted")
+    met = rows.join(wanted.hint("shuffle_hash"), KEY)
+    return materialise(met.select("raw", "wanted").mapInArrow(_texts, "tag long, content binary").dropDuplicates(["tag"]), "contents")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> tuple[DataFrame, DataFrame]:
-    """(lines, near): all lines with a word and, of each, whether an equal or a near line comes before it.
+def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
+    """All lines with a word of rows with the columns of KEY and raw: KEY, line, digest and `dropped`.
 
-    lines has doc_id, copy, line, digest and `dropped`; near has the digests of lines to which a different, near line
-    comes first. See line_report for the order.
+    Texts are scanned twice and met once, by KEY. See line_report for what is dropped.
     """
-    rows = _rows(docs, id_col, text_col)
     lines = materialise(rows.mapInArrow(_lines, LINES), "lines")
-    place = F.struct("doc_id", "copy", "line")
-    distinct = materialise(lines.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("words").alias("words")), "distinct")
-    emitted = rows.mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
+    place = F.struct(*KEY, "line")
+    kinds = lines.groupBy("digest").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in ("words", "tag", "sketch")])
+    kinds = materialise(kinds, "kinds")
+    emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
     met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
-    tagged = distinct.withColumn("tag", F.xxhash64("digest"))
-    likely = materialise(meet(tagged, materialise(met.select("tag").distinct(), "tags"), ["tag"]).select("digest", "first", "words", "tag"), "likely")
+    likely = materialise(kinds.join(met.select("tag").distinct(), "tag").dropDuplicates(["tag"]), "likely")
     contents = _contents(rows, likely)
-    met = materialise(met.join(likely.drop("digest"), "tag"), "met")
+    met = materialise(met.join(likely.select("tag", "first", "words"), "tag"), "placed")
+    sketches = likely.select("tag", "words", "sketch")
     # Most near lines are near to the earliest that shares a key; only the others are compared with all earlier ones.
     least = met.groupBy("key").agg(F.min(F.struct("first", "tag", "words")).alias("least")).select("key", *[F.col(f"least.{c}").alias(f"other_{c}") for c in ("first", "tag", "words")])
-    near = _verified(contents, materialise(_pairs(met, least, an_edit), "pairs"), an_edit)
+    near = _verified(contents, _pairs(met, least, sketches, an_edit), an_edit)
     rest = met.join(near, "tag", "left_anti")
     every = met.select("key", *[F.col(c).alias(f"other_{c}") for c in ("first", "tag", "words")])
-    near = near.unionByName(_verified(contents, materialise(_pairs(rest, every, an_edit), "pairs"), an_edit))
-    near = materialise(likely.join(near, "tag").select("digest"), "near")
-    firsts = distinct.select("digest", "first").join(near.withColumn("near", F.lit(True)), "digest", "left")
+    near = near.unionByName(_verified(contents, _pairs(rest, every, sketches, an_edit), an_edit))
+    near = likely.join(near, "tag", "left_semi").select("digest", F.lit(True).alias("near"))
+    firsts = kinds.select("digest", "first").join(near, "digest", "left")
     dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
-    return lines.join(firsts, "digest").select("doc_id", "copy", "line", "digest", dropped.alias("dropped")), near
+    return lines.select(*KEY, "line", "digest").join(firsts, "digest").select(*KEY, "line", "digest", dropped.alias("dropped"))
 
 
-def _pairs(met: DataFrame, others: DataFrame, an_edit: int) -> DataFrame:
-    """(tag, other_tag) of lines that share a key with an earlier one whose length allows them to be near."""
+def _pairs(met: DataFrame, others: DataFrame, sketches: DataFrame, an_edit: int) -> DataFrame:
+    """(tag, other_tag) of lines that share a key with an earlier one and whose lengths and sketches let them be near."""
     most = F.floor(F.greatest("words", "other_words") / an_edit) if an_edit else F.lit(1)
     fits = (F.col("other_first") < F.col("first")) & (F.abs(F.col("words") - F.col("other_words")) <= most)
-    return met.join(others, "key").where(fits).select("tag", "other_tag").distinct()
+    pairs = met.join(others, "key").where(fits).select("tag", "other_tag").distinct()
+    pairs = pairs.join(sketches, "tag").join(sketches.select(*[F.col(c).alias(f"other_{c}") for c in sketches.columns]), "other_tag")
+    return materialise(pairs.mapInArrow(_alike(an_edit), "tag long, other_tag long"), "pairs")
 
 
 def _verified(contents: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
@@ -285,20 +313,23 @@ def _verified(contents: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
     return materialise(both.select("tag", "content", "other").mapInArrow(_verify(an_edit), "tag long").distinct(), "near")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
-    """doc_id, copy and the sorted numbers of the lines that go, for documents that lose any."""
-    lines, _ = repeated_lines(docs, id_col, text_col, an_edit)
-    return lines.where("dropped").groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+def dropped_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
+    """KEY and the sorted numbers of the lines that go, for documents that lose any."""
+    return repeated_lines(rows, an_edit).where("dropped").groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
-    """docs with the lines cut out of the texts that line_report drops; other columns and rows stay as they are."""
-    gone = materialise(dropped_lines(docs, id_col, text_col, an_edit).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "copy", "dropped"), "dropped")
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"))
-    rows = meet(rows, gone, ["_id", "copy"], "left")
-    kept = F.array_join(F.filter(F.split(F.col("_row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col("_row")[text_col]).otherwise(kept)
-    return rows.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    """docs with the lines cut out of the texts that line_report drops; other columns and rows stay as they are.
+
+    Rows are copied once, in buckets by KEY, so that reading near lines and cutting lines out move no text again.
+    """
+    copied = docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.struct(*docs.columns).alias("row"))
+    copied = keyed_copy(copied, KEY, "documents")
+    gone = materialise(dropped_lines(copied.select(*KEY, F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary").alias("raw")), an_edit), "dropped")
+    rows = copied.join(gone.hint("shuffle_hash"), KEY, "left")
+    kept = F.array_join(F.filter(F.split(F.col("row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    text = F.when(F.col("dropped").isNull(), F.col("row")[text_col]).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
@@ -309,17 +340,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anywhere, whether that one stays or not. Near: at most bound() words inserted, deleted or
     replaced, which is one, or with an_edit one for each so many words of the longer line. Rows that repeat both id
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
-    is empty.
+    is empty, an empty table gives no rows, and other columns are ignored.
     """
-    by_doc = dropped_lines(docs, id_col, text_col, an_edit)
-    every = materialise(_rows(docs, id_col, text_col).mapInArrow(_counts, "doc_id long, copy long, n_lines long"), "counts")
-    found = every.join(by_doc.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (every["copy"] == by_doc["copy"]), "left")
+    rows = _rows(docs, id_col, text_col)
+    by_doc = dropped_lines(rows, an_edit)
+    every = materialise(rows.mapInArrow(_counts, f"{KEYS}, n_lines long"), "counts")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    return found.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"), gone.alias("dropped"))
+    doc_id = F.when(F.col("given"), F.col("_id")).alias("doc_id")
+    return every.join(by_doc, KEY, "left").select(doc_id, "n_lines", F.size(gone).cast("long").alias("n_dropped"), gone.alias("dropped"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        raws = batch.column("raw").to_pylist()
-        columns = [batch.column("doc_id"), pa.array([copy_of(x) for x in raws], pa.int64()), pa.array([len(split_lines(x)) for x in raws], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n_lines"])
+        counts = [sum(1 for line in raw.split(b"\n") if line and not line.isspace()) for raw in batch.column("raw").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in KEY), pa.array(counts, pa.int64())], names=[*KEY, "n_lines"])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, meet, slices
+from collegium.llm.common import materialise, slices
 from collegium.llm.components import connected_components
 from collegium.llm.line_dedup import copy_of
 
@@ -230,7 +230,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
     kept = materialise(member.agg(F.min("least").alias("least")).select("least.*"), "kept")
     identity = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).cast("long").isNull(), "_copy": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
-    once = meet(docs.withColumns(identity), kept, list(identity))
+    # The one time that texts move: rows meet a narrow list whose size follows the table's.
+    once = docs.withColumns(identity).join(kept.hint("shuffle_hash"), list(identity))
     if not kept.where("_rows > 1").limit(1).count():
         return once.select(*docs.columns)
     repeated = once.where("_rows > 1").dropDuplicates(list(identity))

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, meet, slices
+from collegium.llm.common import keyed_copy, materialise, slices
+from collegium.llm.lines import mixed
 
 WINDOW, GRAM, BIN = 400, 128, 16
 #: Window starts of a text that are looked at together; longer texts are taken in parts.
@@ -34,12 +35,6 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MASK = (1 << 64) - 1
 
 
-def mixed(value: np.ndarray) -> np.ndarray:
-    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return value ^ (value >> np.uint64(31))
-
-
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -104,10 +99,10 @@ def _ranges(window: int, gram: int):
         anchors = Anchors(window, gram)
         for batch in slices(batches):
             ids, keys, columns, spans = [], [], [], []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
+            for doc_id, key, raw in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text_key", "raw"))):
                 hashes, anchor, lo, hi = anchors.ranges(raw)
                 ids += [doc_id] * len(hashes)
-                keys += [_signed(xxhash.xxh64_intdigest(raw))] * len(hashes)
+                keys += [key] * len(hashes)
                 columns.append((hashes.view(np.int64), anchor, lo, hi))
                 view = memoryview(raw)
                 # Where the anchor stands in the span is part of it: equal spans are equal from the anchor's view.
@@ -120,9 +115,14 @@ def _ranges(window: int, gram: int):
     return run
 
 
+#: What tells rows apart whose result can differ: the id (0 for none) and a hash of the text.
+KEY = ["doc_id", "text_key"]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null as 0) and raw. With a hash of the text, they tell rows apart whose result can differ."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.col(id_col).cast("long").alias("given_id"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    given = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(given, F.lit(0)).alias("doc_id"), F.xxhash64(raw).alias("text_key"), raw.cast("binary").alias("raw"), given.alias("given_id"))
 
 
 CONTENTS = "doc_id long, text_key long, anchor_hash long, anchor int, lo int, hi int, open boolean, content binary"
@@ -132,9 +132,8 @@ def _contents(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc_id, raw, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "raw", "wanted"))):
-                key = _signed(xxhash.xxh64_intdigest(raw))
-                rows += [(doc_id, key, w["anchor_hash"], w["anchor"], w["lo"], w["hi"], w["open"], raw[w["lo"] : w["hi"] + window]) for w in wanted if w["text_key"] == key]
+            for doc_id, key, raw, wanted in zip(*(batch.column(n).to_pylist() for n in (*KEY, "raw", "wanted"))):
+                rows += [(doc_id, key, w["anchor_hash"], w["anchor"], w["lo"], w["hi"], w["open"], raw[w["lo"] : w["hi"] + window]) for w in wanted]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             names = ["doc_id", "text_key", "anchor_hash", "anchor", "lo", "hi", "open", "content"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
@@ -203,42 +202,42 @@ def _merged(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, size: int = BIN) -> DataFrame:
-    """doc_id (null as 0), text_key and spans of the texts that hold a window of `window` bytes that recurs anywhere.
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = BIN) -> DataFrame:
+    """KEY and spans of the rows (of _rows) that hold a window of `window` bytes that recurs anywhere.
 
     spans lists begin and end (bytes) of each maximal run that such windows cover.
     """
-    rows = _rows(docs, id_col, text_col)
-    ranges = materialise(rows.select("doc_id", "raw").mapInArrow(_ranges(window, gram), RANGES), "ranges")
-    again = materialise(ranges.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash"), "again")
-    one = F.struct("doc_id", "text_key", "anchor", "lo", "hi")
-    spans = meet(ranges, again, ["anchor_hash"]).groupBy("anchor_hash", "span_hash").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+    ranges = materialise(rows.select(*KEY, "raw").mapInArrow(_ranges(window, gram), RANGES), "ranges")
+    again = ranges.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash")
+    one = F.struct(*KEY, "anchor", "lo", "hi")
+    spans = ranges.join(again, "anchor_hash").groupBy("anchor_hash", "span_hash").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
     spans = materialise(spans, "spans")
-    found = meet(ranges, materialise(spans.where("n > 1").select("anchor_hash", "span_hash"), "recurring"), ["anchor_hash", "span_hash"])
-    found = found.select("doc_id", "text_key", F.col("lo").alias("p0"), F.col("hi").alias("p1"))
+    found = ranges.join(spans.where("n > 1").select("anchor_hash", "span_hash"), ["anchor_hash", "span_hash"])
+    found = found.select(*KEY, F.col("lo").alias("p0"), F.col("hi").alias("p1"))
 
     # Ranges that are alone, among others with their anchor, go on; of equal ranges, one goes with them.
-    alone = materialise(spans.where("n = 1").select("anchor_hash").distinct(), "alone")
-    left = meet(spans, alone, ["anchor_hash"]).select("anchor_hash", "one.*", (F.col("n") == 1).alias("open"))
-    wanted = left.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "anchor_hash", "anchor", "lo", "hi", "open")).alias("wanted"))
-    contents = materialise(meet(rows, materialise(wanted, "wanted"), ["doc_id"]).select("doc_id", "raw", "wanted").mapInArrow(_contents(window), CONTENTS), "contents")
+    alone = spans.where("n = 1").select("anchor_hash").distinct()
+    left = spans.join(alone, "anchor_hash").select("anchor_hash", "one.*", (F.col("n") == 1).alias("open"))
+    wanted = materialise(left.groupBy(*KEY).agg(F.collect_list(F.struct("anchor_hash", "anchor", "lo", "hi", "open")).alias("wanted")), "wanted")
+    contents = rows.select(*KEY, "raw").join(wanted.hint("shuffle_hash"), KEY)
+    contents = materialise(contents.mapInArrow(_contents(window), CONTENTS), "contents")
 
     bins = materialise(contents.mapInArrow(_bins(window, size), BINS), "bins")
-    member = F.struct("doc_id", "text_key", "lo", "p0", "p1", "open")
+    member = F.struct(*KEY, "lo", "p0", "p1", "open")
     equal = materialise(bins.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("one")), "equal")
-    whole = meet(bins.where("open"), materialise(equal.where("n > 1").select("core", "whole"), "whole"), ["core", "whole"]).select("doc_id", "text_key", "p0", "p1")
+    whole = bins.where("open").join(equal.where("n > 1").select("core", "whole"), ["core", "whole"]).select(*KEY, "p0", "p1")
     cores = equal.groupBy("core").agg(F.sum("n").alias("members"), F.max((F.col("n") == 1) & F.col("one.open")).alias("unsettled"))
-    cores = materialise(cores.where("members > 1 AND unsettled").select("core"), "cores")
+    cores = cores.where("members > 1 AND unsettled").select("core")
 
     # One bin of each kind under a core that is not settled gives its windows; those of kinds that recur are known.
-    kinds = meet(equal, cores, ["core"]).select("one.*", "n")
-    wanted = kinds.groupBy("doc_id", "text_key", "lo").agg(F.collect_list(F.struct("p0", "p1", ((F.col("n") == 1) & F.col("open")).alias("open"))).alias("wanted"))
-    last = meet(contents.dropDuplicates(["doc_id", "text_key", "lo"]), materialise(wanted, "wanted"), ["doc_id", "text_key", "lo"])
-    last = materialise(last.select("doc_id", "text_key", "lo", "content", "wanted").mapInArrow(_windows(window), WINDOWS), "windows")
-    twice = materialise(last.groupBy("digest").count().where("count > 1").select("digest"), "twice")
-    single = meet(last.where("open"), twice, ["digest"]).select("doc_id", "text_key", "p0", F.col("p0").alias("p1"))
-
-    starts = found.unionByName(whole).unionByName(single).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p0", "p1")).alias("starts"))
+    kinds = equal.join(cores, "core").select("one.*", "n")
+    wanted = kinds.groupBy(*KEY, "lo").agg(F.collect_list(F.struct("p0", "p1", ((F.col("n") == 1) & F.col("open")).alias("open"))).alias("wanted"))
+    last = contents.dropDuplicates([*KEY, "lo"]).join(materialise(wanted, "wanted"), [*KEY, "lo"])
+    last = materialise(last.select(*KEY, "lo", "content", "wanted").mapInArrow(_windows(window), WINDOWS), "windows")
+    twice = last.groupBy("digest").count().where("count > 1").select("digest")
+    single = last.where("open").join(twice, "digest").select(*KEY, "p0", F.col("p0").alias("p1"))
+
+    starts = found.unionByName(whole).unionByName(single).groupBy(*KEY).agg(F.collect_set(F.struct("p0", "p1")).alias("starts"))
     return starts.mapInArrow(_merged(window), "doc_id long, text_key long, spans array<int>")
 
 
@@ -253,29 +252,29 @@ def without_spans(raw: bytes, spans: list[int]) -> tuple[bytes, int]:
     return out, len(raw) - len(out)
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept_share double"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        for given, raw, found in zip(*(batch.column(n).to_pylist() for n in ("given_id", "raw", "found"))):
-            key = _signed(xxhash.xxh64_intdigest(raw))
-            spans = next((x["spans"] for x in found or [] if x["text_key"] == key), [])
-            kept, removed = without_spans(raw, spans)
-            rows.append((given, len(raw), removed, len(spans) // 2, hashlib.sha256(kept).hexdigest()))
-        types = [pa.int64()] * 4 + [pa.string()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=names)
+        for given, raw, spans in zip(*(batch.column(n).to_pylist() for n in ("given_id", "raw", "spans"))):
+            kept, removed = without_spans(raw, spans or [])
+            rows.append((given, len(raw), removed, len(spans or []) // 2, hashlib.sha256(kept).hexdigest(), removed > 0, len(kept) / len(raw) if raw else 1.0))
+        types = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.float64()]
+        names = [x.split()[0] for x in REPORT.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names)
 
 
 def suffix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, size: int = BIN) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256, of the bytes that stay.
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay), whether
+    anything goes (repeated) and the share of bytes that stays (kept_share, 1 for an empty text).
 
     Every byte goes that a window covers which also starts anywhere else, in the same text or another. Null text is
     empty; texts shorter than a window stay as they are. Rows that repeat id and text recur in each other, so they
-    lose all their windows. An empty table gives no rows.
+    lose all their windows. An empty table gives no rows, and other columns are ignored. Texts are copied once, in
+    buckets by KEY; both joins with them move the other side only.
     """
-    spans = repeated_spans(docs, id_col, text_col, window, gram, size)
-    by_doc = materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("found")), "found")
-    return meet(_rows(docs, id_col, text_col), by_doc, ["doc_id"], "left").select("given_id", "raw", "found").mapInArrow(_report, REPORT)
+    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents")
+    spans = materialise(repeated_spans(rows, window, gram, size), "found")
+    return rows.join(spans.hint("shuffle_hash"), KEY, "left").select("given_id", "raw", "spans").mapInArrow(_report, REPORT)
