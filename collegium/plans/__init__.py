@@ -1,3 +1,3 @@
 """Registered queries; importing a module of this package registers its queries."""
 
-from collegium.plans import catalogue, changes, grading, imports, notices, texts  # noqa: F401
+from collegium.plans import attendance, catalogue, changes, declarations, display, grading, imports, lookups, notices, results, texts, upserts  # noqa: F401
