@@ -69,7 +69,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _keep(spark, path)
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,25 +84,25 @@ def keyed_copy(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{table}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
-    _keep(spark, path, table)
+    keep(spark, path, table)
     return spark.table(table)
 
 
 _made: list[list[tuple[str, str | None]]] = []
 
 
-def _keep(spark: SparkSession, path: str, table: str | None = None) -> None:
+def keep(spark: SparkSession, path: str, table: str | None = None) -> None:
     atexit.register(_delete, spark, path)
     if _made:
         _made[-1].append((path, table))
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """What is materialised inside goes at its end, so only a result that is written or read to its end may leave it."""
+def scope(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]:
+    """What is materialised inside goes at its end, unless it is taken from the list, the last made last."""
     _made.append([])
     try:
-        yield
+        yield _made[-1]
     finally:
         for path, table in _made.pop():
             if table:

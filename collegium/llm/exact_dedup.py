@@ -22,10 +22,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The groups of equal texts with two or more rows: digest, keep_id, group_size.
 
     Three passes, each over the rows that the one before left: byte length, hash of the first `prefix` code
-    points, SHA-256 of the whole text; null counts as the empty text. The repeated (length, prefix hash) pairs are
-    counted: up to broadcast_rows of them go to the scan, which then hashes surviving texts only and shuffles no
-    text. Beyond that, a join must shuffle the scanned side, so the scan hashes what the first pass left and
-    only digests are shuffled. Either way the rows are the same.
+    points, SHA-256 of the whole text; null counts as the empty text. Whole texts are hashed only where length and
+    prefix recur. The repeated (length, prefix hash) pairs, two longs each, are counted: up to broadcast_rows of them
+    go to the scan, so that no text is shuffled; beyond that, the texts whose length recurs are shuffled to them, and a
+    pair that many rows hold is split by adaptive skew handling.
 
     The row with the largest id stays; if all ids of a group are null, keep_id is null. Copies of one text are
     counted before the shuffle, so a group of any size is one row for each task. Columns other than the two named
@@ -37,9 +37,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = materialise(_repeated(rows.join(lengths, "n_bytes"), ["n_bytes", "head"]), "heads")
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     if heads.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        left = rows.join(F.broadcast(heads), ["n_bytes", "head"]).select("id", "n_bytes", "head", digest)
+        left = rows.join(F.broadcast(heads), ["n_bytes", "head"])
     else:
-        left = rows.join(lengths, "n_bytes").select("id", "n_bytes", "head", digest).join(heads, ["n_bytes", "head"])
+        left = rows.join(lengths, "n_bytes").join(heads.hint("shuffle_hash"), ["n_bytes", "head"])
+    left = left.select("id", "n_bytes", "head", digest)
     same = left.groupBy("n_bytes", "head", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return same.where("group_size > 1").select("digest", "keep_id", "group_size")
 

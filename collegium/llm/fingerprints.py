@@ -118,7 +118,8 @@ def false_matches(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", t
     ids are broadcast up to broadcast_rows of them, and joined beyond.
     """
     again = digests.groupBy("digest").count().where("count > 1").select("digest")
-    ids = materialise(digests.join(again, "digest").select(F.col("doc_id").alias("_id")).distinct(), "recurring")
+    # Ids may repeat here, so that nothing follows the join in its stage and a digest with many rows can be split.
+    ids = materialise(digests.join(again, "digest").select(F.col("doc_id").alias("_id")), "recurring")
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

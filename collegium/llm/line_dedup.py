@@ -145,28 +145,29 @@ def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, tag) sorted by both, each once, those whose key has more than one tag."""
-    key, tag = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Of rows (key, tag) sorted by both, each once, those whose key has more than one tag.
 
-    def out(key, tag):
+    A key may run over any number of batches: only its last row, and whether it has been given, is carried on.
+    """
+    held: tuple[int, int, bool] | None = None  # the last row of the batch before, and whether it was given
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, tag = (batch.column(n).to_numpy() for n in ("key", "tag"))
+        if held:
+            key, tag = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], tag])
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
         key, tag = key[first], tag[first]
-        same = key[1:] == key[:-1]
         several = np.zeros(len(key), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(tag[several])], names=["key", "tag"])
-
-    for batch in batches:
-        if batch.num_rows:
-            key, tag = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in ((key, "key"), (tag, "tag")))
-            done = int(np.searchsorted(key, key[-1]))
-            if done:
-                yield out(key[:done], tag[:done])
-                key, tag = key[done:], tag[done:]
-    if len(key):
-        yield out(key, tag)
+        several[1:] |= key[1:] == key[:-1]
+        several[:-1] |= key[1:] == key[:-1]
+        given = several.copy()
+        if held and held[2]:
+            given[0] = False
+        last = bool(several[-1]) or bool(held and held[2] and len(key) == 1)
+        held = (int(key[-1]), int(tag[-1]), last)
+        yield pa.RecordBatch.from_arrays([pa.array(key[given]), pa.array(tag[given])], names=["key", "tag"])
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +222,16 @@ def near_lines(a: list[bytes], b: list[bytes], an_edit: int = WORDS_AN_EDIT) ->
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines; rows that repeat a document give them once, as far as a task remembers."""
+    seen: set[tuple] = set()
     for batch in slices(batches):
         tags, contents = [], []
-        for raw, wanted in zip(batch.column("raw").to_pylist(), batch.column("wanted").to_pylist()):
+        for raw, wanted, *key in zip(*(batch.column(n).to_pylist() for n in ("raw", "wanted", *KEY))):
+            if tuple(key) in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(tuple(key))
             lines = raw.split(b"\n")
             for w in wanted:
                 tags.append(w["tag"])
@@ -263,18 +271,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
 
 
-def _contents(rows: DataFrame, likely: DataFrame) -> DataFrame:
-    """tag, content (words joined by a space) of likely lines, each read in the document that has it first."""
+def _contents(rows: DataFrame, likely: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tag, content (words joined by a space) of the lines in pairs, each read in the document that has it first."""
+    tags = pairs.select("tag").unionByName(pairs.select(F.col("other_tag").alias("tag"))).distinct()
     line = F.struct(F.col("first.line").alias("line"), "tag")
-    wanted = materialise(likely.groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted")), "wanted")
-    met = rows.join(wanted.hint("shuffle_hash"), KEY)
-    return materialise(met.select("raw", "wanted").mapInArrow(_texts, "tag long, content binary").dropDuplicates(["tag"]), "contents")
+    wanted = likely.select("tag", "first").join(tags, "tag").groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted"))
+    met = rows.join(materialise(wanted, "wanted").hint("shuffle_hash"), KEY)
+    return materialise(met.select(*KEY, "raw", "wanted").mapInArrow(_texts, "tag long, content binary"), "contents")
 
 
 def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
     """All lines with a word of rows with the columns of KEY and raw: KEY, line, digest and `dropped`.
 
-    Texts are scanned twice and met once, by KEY. See line_report for what is dropped.
+    Texts are scanned twice and met twice, by KEY, which moves none of them if rows are a keyed_copy. See line_report
+    for what is dropped.
     """
     lines = materialise(rows.mapInArrow(_lines, LINES), "lines")
     place = F.struct(*KEY, "line")
@@ -283,15 +293,18 @@ def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
     emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
     met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
     likely = materialise(kinds.join(met.select("tag").distinct(), "tag").dropDuplicates(["tag"]), "likely")
-    contents = _contents(rows, likely)
     met = materialise(met.join(likely.select("tag", "first", "words"), "tag"), "placed")
     sketches = likely.select("tag", "words", "sketch")
-    # Most near lines are near to the earliest that shares a key; only the others are compared with all earlier ones.
+    # Most near lines are near to the earliest that shares a key. Those that can't be, and those that turn out not to
+    # be, are held against all earlier ones.
     least = met.groupBy("key").agg(F.min(F.struct("first", "tag", "words")).alias("least")).select("key", *[F.col(f"least.{c}").alias(f"other_{c}") for c in ("first", "tag", "words")])
-    near = _verified(contents, _pairs(met, least, sketches, an_edit), an_edit)
-    rest = met.join(near, "tag", "left_anti")
     every = met.select("key", *[F.col(c).alias(f"other_{c}") for c in ("first", "tag", "words")])
-    near = near.unionByName(_verified(contents, _pairs(rest, every, sketches, an_edit), an_edit))
+    pairs = _pairs(met, least, sketches, an_edit)
+    tried = materialise(pairs.select("tag").distinct(), "tried")
+    pairs = pairs.unionByName(_pairs(met.join(tried, "tag", "left_anti"), every, sketches, an_edit))
+    near = _verified(rows, likely, pairs, an_edit)
+    rest = met.join(tried.join(near, "tag", "left_anti"), "tag", "left_semi")
+    near = near.unionByName(_verified(rows, likely, _pairs(rest, every, sketches, an_edit), an_edit))
     near = likely.join(near, "tag", "left_semi").select("digest", F.lit(True).alias("near"))
     firsts = kinds.select("digest", "first").join(near, "digest", "left")
     dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
@@ -307,8 +320,9 @@ def _pairs(met: DataFrame, others: DataFrame, sketches: DataFrame, an_edit: int)
     return materialise(pairs.mapInArrow(_alike(an_edit), "tag long, other_tag long"), "pairs")
 
 
-def _verified(contents: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
+def _verified(rows: DataFrame, likely: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
     """The tags of pairs whose line is near the other, by their words; hashes alone decide nothing."""
+    contents = _contents(rows, likely, pairs)
     both = pairs.join(contents, "tag").join(contents.select(F.col("tag").alias("other_tag"), F.col("content").alias("other")), "other_tag")
     return materialise(both.select("tag", "content", "other").mapInArrow(_verify(an_edit), "tag long").distinct(), "near")
 
@@ -342,7 +356,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
     is empty, an empty table gives no rows, and other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col)
+    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents")
     by_doc = dropped_lines(rows, an_edit)
     every = materialise(rows.mapInArrow(_counts, f"{KEYS}, n_lines long"), "counts")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))

@@ -137,33 +137,35 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFra
 
 
 def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
+    """One row per document: doc_id, size, source_size, target, taken (the words that the mix takes of it) and at, the
+    place of its first block in the mix (0 to 1, null if none is taken). An empty table gives no rows."""
     documents, parts = mix(docs, block)
     # A document is known by its source and start, which no other document with a word shares.
-    took = parts.groupBy("doc_id", "no", "start", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
-    rest = documents.where("size = 0 or words <= start").withColumn("taken", F.lit(0))
-    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    took = parts.groupBy("doc_id", "no", "start", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.min("at").alias("at"))
+    rest = documents.where("size = 0 or words <= start").withColumns({"taken": F.lit(0), "at": F.lit(None).cast("double")})
+    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "at"]
     return took.select(*columns).unionByName(rest.select(*columns))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: a row for each time that a document is taken, with docs' columns.
+    """docs as the mix takes them and in its order: a row for each time that a document is taken, with docs' columns.
 
-    What a source's target cuts in the middle keeps its first words, joined by spaces; all other texts are whole.
-    Documents that the mix does not take go. Rows that repeat an id are documents of their own, known by text and
-    source; those that repeat these too are numbered.
+    Rows are range-partitioned and sorted by the place of their first block, so that the files, read in turn, hold the
+    sources in their shares throughout. What a source's target cuts in the middle keeps its first words, joined by
+    spaces; all other texts are whole. Documents that the mix does not take go. Rows that repeat an id are documents
+    of their own, known by text and source; those that repeat these too are numbered.
     """
     documents, parts = mix(docs, block)
     keys = ["_id", "_none", "_copy"]
     identity = lambda rows, doc_id, copy: rows.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_none": F.col(doc_id).cast("long").isNull(), "_copy": copy})
-    took = identity(parts, "doc_id", F.col("copy")).groupBy(*keys, "start", "size", "epoch").agg(F.sum("taken").alias("_taken"))
-    took = materialise(took.select(*keys, "start", F.when(F.col("_taken") < F.col("size"), F.col("_taken").cast("int")).alias("_cut")), "took")
+    took = identity(parts, "doc_id", F.col("copy")).groupBy(*keys, "start", "size", "epoch").agg(F.sum("taken").alias("_taken"), F.min("at").alias("_at"))
+    took = materialise(took.select(*keys, "start", "_at", F.when(F.col("_taken") < F.col("size"), F.col("_taken").cast("int")).alias("_cut")), "took")
     rows = identity(docs, id_col, copy_hash(text_col, source_col))
     if identity(documents, "doc_id", F.col("copy")).groupBy(*keys).count().where("count > 1").limit(1).count():
         took = materialise(took.withColumn("_no", F.dense_rank().over(W.partitionBy(*keys).orderBy("start"))), "took")
         rows = rows.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))))
         keys = [*keys, "_no"]
-    # The one time that texts move: rows meet a narrow list whose size follows the table's.
-    met = rows.join(took.hint("shuffle_hash"), keys)
+    # Texts move twice: to a narrow list whose size follows the table's, and into their order.
+    met = rows.join(took.hint("shuffle_hash"), keys).repartitionByRange("_at").sortWithinPartitions("_at", *keys)
     first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut")), " ")
     return met.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(first).alias(c) if c == text_col else F.col(c) for c in docs.columns])

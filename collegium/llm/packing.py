@@ -17,8 +17,8 @@ from collegium.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 #: Tokens of a sequence, the id behind each document, tokens that a length class spans.
 LENGTH, END, GRID = 2048, 1, 8
-#: Columns that the linear program generates at most; those found until then are a valid basis.
-COLUMNS = 5000
+#: The linear program ends when it is within a sequence of its lower bound, or within this share of it.
+GAP = 1e-4
 BUCKET_ROWS = 2_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -72,23 +72,25 @@ def best_pattern(price: np.ndarray, units: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), items
 
 
-def cutting_stock(counts: np.ndarray, units: np.ndarray, capacity: int, columns: int = COLUMNS) -> list[Pattern]:
-    """Patterns that hold counts[k] pieces of units[k] each, in few sequences of capacity.
+def linear_program(counts: np.ndarray, units: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns as columns, copies, bound): sequences for counts[k] pieces of units[k] each, in fractions.
 
-    The linear program over patterns is solved by the revised simplex method; a knapsack prices the column that
-    enters. Copies are rounded down, and what is left, less than a sequence for each class, is packed first-fit
-    decreasing. The work depends on the number of classes, not of documents.
+    The revised simplex method; a knapsack prices the column that enters. With the best column's price v, the prices
+    divided by v allow no column, so total / v bounds the optimum from below (as does the sum of units). The program
+    ends by that bound, never by a number of columns. Counts are raised by less than a thousandth, each by another
+    amount, so that no step is idle and the method can't cycle.
     """
     classes = len(units)
-    if not classes:
-        return []
     basis = np.diag(capacity // units).astype(float)
     inverse = np.diag(1.0 / (capacity // units))
-    copies = inverse @ counts
-    for _ in range(columns):
+    copies = inverse @ (counts + 1e-3 * (1 + np.arange(classes)) / (classes + 1))
+    bound = float(counts @ units) / capacity
+    while True:
         value, entering = best_pattern(inverse.sum(axis=0), units, capacity)
-        if value <= 1 + 1e-7:
-            break
+        total = float(copies.sum())
+        bound = max(bound, total / max(value, 1.0))
+        if value <= 1 + 1e-9 or total - bound <= max(1.0, gap * bound):
+            return basis, copies, bound
         step = inverse @ entering
         grows = step > 1e-9
         ratio = np.full(classes, np.inf)
@@ -101,6 +103,18 @@ def cutting_stock(counts: np.ndarray, units: np.ndarray, capacity: int, columns:
         copies[leaving] = ratio[leaving]
         copies = np.maximum(copies, 0)
         basis[:, leaving] = entering
+
+
+def cutting_stock(counts: np.ndarray, units: np.ndarray, capacity: int, gap: float = GAP) -> list[Pattern]:
+    """Patterns that hold counts[k] pieces of units[k] each, in few sequences of capacity.
+
+    The linear program's copies are rounded down, and what is left, less than a sequence for each class, is packed
+    first-fit decreasing. The work depends on the number of classes, not of documents.
+    """
+    classes = len(units)
+    if not classes:
+        return []
+    basis, copies, _ = linear_program(counts, units, capacity, gap)
     whole = np.floor(copies + 1e-9).astype(np.int64)
     found = [Pattern(basis[:, j].astype(np.int64), int(n)) for j, n in enumerate(whole) if n]
     left = np.maximum(counts - basis.astype(np.int64) @ whole, 0)

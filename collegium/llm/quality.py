@@ -78,12 +78,20 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held_out: int = HELD_OUT) -> RuleModel:
+    """Rules and weights from a labelled sample, about `bound` rows at most; null text is empty.
+
+    Labels without an id or a value other than 0 and 1 are left out, and of labels that repeat an id one counts; rows
+    that repeat an id are learned from each. Without both labels (or rows) the score is constant.
+    """
     rows = labelled(docs, labels, "quality", modulus, held_out, bound)
     return fit(materialise(statistics(rows, "label"), "quality"))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts score like any without words."""
+    """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts score like any without words.
+
+    Rows that repeat an id, or have none, have a row each; other columns are ignored; an empty table gives no rows.
+    """
     return statistics(docs, id_col=id_col, text_col=text_col).select(
         "doc_id",
         (id_remainder(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"),

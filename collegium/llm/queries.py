@@ -27,6 +27,7 @@ def _query(f):
 
 @_query
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, and where its first block goes."""
     return mix_report(read_documents(spark, sf_dir))
 
 
@@ -48,17 +49,42 @@ WITH d AS (
   SELECT source, source_size, least(most, w * (SELECT level FROM l WHERE stops_at > level ORDER BY k LIMIT 1)) AS target FROM r
 ), p AS (
   SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (
+  SELECT source, CAST(floor(target + 0.5) AS BIGINT) AS words, CAST(ceil(floor(target + 0.5) / 1024) AS BIGINT) AS blocks,
+         CAST(coalesce(sum(floor(target + 0.5)) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below
+  FROM t
+), c AS (SELECT CAST(sum(blocks) AS BIGINT) AS slots, CAST(sum(words) AS DOUBLE) AS words FROM n),
+k AS (
+  SELECT k.slot, list_sum(list_transform(range(0, 52), lambda j: CAST((k.slot >> j) & 1 AS DOUBLE) * power(2.0::DOUBLE, -(j + 1)))) AS u
+  FROM c, unnest(range(0, c.slots)) AS k(slot)
+), g AS (
+  SELECT n.source, n.blocks, k.slot, row_number() OVER (PARTITION BY n.source ORDER BY k.slot) - 1 AS rank
+  FROM k, c, n WHERE n.words > 0 AND k.u >= n.below / c.words AND k.u < (n.below + n.words) / c.words
+), s1 AS (
+  SELECT g.source, g.rank, g.slot / CAST(greatest(c.slots, 1) AS DOUBLE) AS at FROM g, c WHERE g.rank < g.blocks
+), s2 AS (
+  SELECT n.source, r.rank, (r.rank + 0.5::DOUBLE) / CAST(n.blocks AS DOUBLE) AS at
+  FROM n LEFT JOIN (SELECT source, count(*) AS got FROM g GROUP BY source) h ON h.source IS NOT DISTINCT FROM n.source, unnest(range(coalesce(h.got, 0), n.blocks)) AS r(rank)
+), w AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+e AS (
+  SELECT p.doc_id, p.source, p.start, p.start + e.epoch * p.source_size AS f, least(p.start + e.epoch * p.source_size + p.size, p.words) AS l
+  FROM p, (VALUES (0), (1)) e(epoch) WHERE p.size > 0
+), x AS (
+  SELECT doc_id, source, start, unnest(range(f // 1024, (l - 1) // 1024 + 1)) AS rank FROM e WHERE l > f
+), y AS (
+  SELECT x.doc_id, x.source, x.start, min(w.at) AS at FROM x JOIN w ON w.source IS NOT DISTINCT FROM x.source AND w.rank = x.rank GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - source_size - start)) AS BIGINT) AS taken
-FROM p
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(greatest(0, least(p.size, p.words - p.start)) + greatest(0, least(p.size, p.words - p.source_size - p.start)) AS BIGINT) AS taken, y.at
+FROM p LEFT JOIN y ON p.size > 0 AND y.doc_id IS NOT DISTINCT FROM p.doc_id AND y.source IS NOT DISTINCT FROM p.source AND y.start = p.start
 """
 
 
 @_query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of each document and the row that stays."""
     return exact_dedup(read_documents(spark, sf_dir))
 
 
@@ -71,41 +97,49 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and its component."""
     return near_dedup(read_documents(spark, sf_dir))
 
 
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences; ids as the library gives them."""
     return pack(read_documents(spark, sf_dir), special=True)
 
 
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written as ORC and read back; ids as the library gives them."""
     return token_report(read_documents(spark, sf_dir), special=True)
 
 
 @_query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document; null and empty texts, repeated and null ids have a row like any other."""
     docs = read_documents(spark, sf_dir)
     return score_quality(docs, fit_quality(docs, read_labels(spark, sf_dir)))
 
 
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each document; null and empty texts, repeated and null ids have a row like any other."""
     docs = read_documents(spark, sf_dir)
     return score_toxicity(docs, fit_toxicity(docs, read_labels(spark, sf_dir)))
 
 
 @_query
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the canonical text of each document and of its edited text."""
     return document_fingerprints(read_documents(spark, sf_dir))
 
 
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that an equal or near line precedes."""
     return line_report(read_documents(spark, sf_dir), an_edit=WORDS_AN_EDIT)
 
 
 @_query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each document that a recurring string of 400 bytes covers."""
     return suffix_report(read_documents(spark, sf_dir))

@@ -209,9 +209,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, size
     """
     ranges = materialise(rows.select(*KEY, "raw").mapInArrow(_ranges(window, gram), RANGES), "ranges")
     again = ranges.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash")
+    # Written before they are counted, so that an anchor with many rows can be split by the join.
+    ranges = materialise(ranges.join(again, "anchor_hash"), "recurring")
     one = F.struct(*KEY, "anchor", "lo", "hi")
-    spans = ranges.join(again, "anchor_hash").groupBy("anchor_hash", "span_hash").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
-    spans = materialise(spans, "spans")
+    spans = materialise(ranges.groupBy("anchor_hash", "span_hash").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "spans")
     found = ranges.join(spans.where("n > 1").select("anchor_hash", "span_hash"), ["anchor_hash", "span_hash"])
     found = found.select(*KEY, F.col("lo").alias("p0"), F.col("hi").alias("p1"))
 

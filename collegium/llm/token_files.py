@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from collegium.llm.common import shared_dir, slices
+from collegium.llm.common import keep, shared_dir, slices
 from collegium.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 #: Appended to each document.
@@ -69,8 +69,13 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_report(docs: DataFrame, special: bool = False) -> DataFrame:
-    """Writes the token files into the shared folder, reads them and gives doc_id, start, n_tokens and ids_crc32."""
+    """Writes the token files into the shared folder, reads them and gives doc_id, start, n_tokens and ids_crc32.
+
+    One row per row of docs: null text is empty, null ids come first, rows that repeat an id have a row each, other
+    columns are ignored, an empty table gives no rows. The files go when the driver's Python ends.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    keep(spark, path)
     write_token_files(docs, path, special=special)
     return read_token_files(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

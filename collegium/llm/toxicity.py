@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -23,8 +24,11 @@ from collegium.llm.statistics import BANGS, LOWER, SENTENCE, SYMBOLS, UPPER, bot
 
 #: Labelled rows to fit on at most, about; the folds and the threshold of `predicted`.
 BOUND, MODULUS, HELD_OUT, THRESHOLD = 20_000, 3, 1, 0.7
-#: Units of the lexicon at most, the standard score that a unit needs, texts that must hold it, lengths of word beginnings.
-UNITS, LEAST_Z, LEAST_TEXTS, BEGINNINGS = 400, 6.0, 3, (5, 6, 7, 8)
+#: The standard score that a unit of the lexicon needs, texts that must hold it, lengths of word beginnings. All units
+#: that reach these are taken; as the labelled sample is bounded, so is their number.
+LEAST_Z, LEAST_TEXTS, BEGINNINGS = 6.0, 3, (5, 6, 7, 8)
+#: Parts of the labelled sample; each is described and scored by what the others teach.
+FOLDS = 3
 #: Characters within which a second-person word is near.
 NEAR = 60
 TREES, DEPTH = 20, 3
@@ -45,27 +49,35 @@ def units_of(text: str) -> set[str]:
 
 def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        ones, zeros = Counter(), Counter()
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            (ones if label else zeros).update(units_of(text))
-        units = sorted(ones)  # a unit of no toxic text can't enter the lexicon, but its other counts are needed
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([ones[u] for u in units], pa.int64())], names=["unit", "n"])
-        rest = sorted(zeros)
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([-zeros[u] for u in rest], pa.int64())], names=["unit", "n"])
+        counts: Counter = Counter()
+        for part, label, text in zip(*(batch.column(n).to_pylist() for n in ("part", "label", "text"))):
+            counts.update((part, bool(label), unit) for unit in units_of(text))
+        parts, labels, units = zip(*counts) if counts else ((), (), ())
+        columns = [pa.array(units, pa.string()), pa.array(parts, pa.int64()), pa.array(labels, pa.bool_()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["unit", "part", "toxic", "n"])
 
 
-def learn_lexicon(rows: DataFrame) -> list[str]:
-    """The words and word beginnings that label 1 holds far more often, the surest first, UNITS at most."""
-    zeros, ones = both_labels(rows)
-    if not zeros or not ones:
-        return []
-    counts = rows.select("label", "text").mapInArrow(_unit_counts, "unit string, n long").groupBy("unit")
-    counts = counts.agg(F.sum(F.greatest("n", F.lit(0))).alias("a"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("b")).where(F.col("a") >= LEAST_TEXTS)
-    rate = ones / (ones + zeros)
-    mean = (F.col("a") + F.col("b")) * rate
-    z = (F.col("a") - mean) / F.sqrt(mean * (1 - rate))
-    found = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "unit").limit(UNITS)
-    return [r.unit for r in found.collect()]
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> list[list[str]]:
+    """The words and word beginnings that label 1 holds far more often: without part 0, 1 and so on, and of all parts.
+
+    Rows have part, label and text. A part without both labels in the others has an empty lexicon.
+    """
+    totals = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    counts = rows.select("part", "label", "text").mapInArrow(_unit_counts, "unit string, part long, toxic boolean, n long")
+    without = [F.lit(True) if f == folds else F.col("part") != f for f in range(folds + 1)]
+    seen = [F.coalesce(F.sum(F.when(kept & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"{'ba'[label]}{f}") for f, kept in enumerate(without) for label in (True, False)]
+    found = []
+    for f in range(folds + 1):
+        zeros, ones = (sum(n for (part, label), n in totals.items() if label == y and part != f) for y in (0.0, 1.0))
+        if not zeros or not ones:
+            found.append(F.lit(False))
+            continue
+        rate = ones / (ones + zeros)
+        mean = (F.col(f"a{f}") + F.col(f"b{f}")) * rate
+        found.append((F.col(f"a{f}") >= LEAST_TEXTS) & ((F.col(f"a{f}") - mean) / F.sqrt(mean * (1 - rate)) >= LEAST_Z))
+    sure = counts.groupBy("unit").agg(*seen).select("unit", F.array(*[F.coalesce(x, F.lit(False)) for x in found]).alias("found"))
+    units = sure.where(F.exists("found", lambda x: x)).collect()
+    return [sorted(r.unit for r in units if r.found[f]) for f in range(folds + 1)]
 
 
 class Features:
@@ -175,37 +187,54 @@ def _probability(trees, featured: DataFrame) -> DataFrame:
     return found.withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held_out: int = HELD_OUT) -> ToxicModel:
-    """Learns the lexicon from half of the labelled sample, the trees from a third and the calibration from the rest.
+def _fitted(rows: DataFrame):
+    """Trees learned from rows with label and the columns of FEATURES; None without both labels."""
+    if not all(both_labels(rows)):
+        return None
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=stable_seed("toxicity")).fit(vectors)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held_out: int = HELD_OUT, folds: int = FOLDS) -> ToxicModel:
+    """Learns the lexicon, the trees and the calibration from a labelled sample, about `bound` rows at most.
 
-    The parts don't overlap, so that what one part holds by chance misleads no other. Without both labels in a
-    part, the score is constant (the share of label 1) or stays uncalibrated.
+    Cross-fitted, so that every row teaches all three and none is judged by what it taught: a part's features come
+    from the lexicon of the other parts, and its raw scores, which the calibration is fitted to, from trees of the
+    other parts. The lexicon and the trees of all parts score other texts. Null text is empty; without both labels the
+    score is constant (the share of label 1); parts without both labels in the others don't calibrate.
     """
-    rows = materialise(labelled(docs, labels, "toxic", modulus, held_out, bound).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6))), "toxic")
-    lexicon = learn_lexicon(rows.where("part < 3"))
-    featured = materialise(toxic_features(rows.where("part >= 3"), lexicon, "label", "part"), "features")
-    fitted, calibrating = featured.where("part < 5"), featured.where("part = 5")
-    zeros, ones = both_labels(fitted)
+    rows = materialise(labelled(docs, labels, "toxic", modulus, held_out, bound).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(folds))), "toxic")
+    zeros, ones = both_labels(rows)
     if not zeros or not ones:
-        return ToxicModel(lexicon, base=ones / max(1, zeros + ones))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(fitted).select("label", "features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=stable_seed("toxicity")).fit(vectors)
-    model = ToxicModel(lexicon, trees)
-    if all(both_labels(calibrating)):
-        scored = _probability(trees, calibrating).select("label", "raw")
-        model.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(scored)
+        return ToxicModel(base=ones / max(1, zeros + ones))
+    lexicons = learn_lexicons(rows, folds)
+    parts = [toxic_features(rows.where(F.col("part") == f), lexicons[f], "label", "part") for f in range(folds)]
+    featured = materialise(reduce(DataFrame.unionByName, parts), "features")
+    model = ToxicModel(lexicons[folds], _fitted(featured))
+    others = [(f, _fitted(featured.where(F.col("part") != f))) for f in range(folds)]
+    scored = [_probability(trees, featured.where(F.col("part") == f)).select("label", "raw") for f, trees in others if trees]
+    if scored:
+        scored = materialise(reduce(DataFrame.unionByName, scored), "raw")
+        if all(both_labels(scored)):
+            model.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(scored)
     return model
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below THRESHOLD, scored where they are read, so that no text is shuffled."""
+    """The rows of docs whose score is below THRESHOLD, scored where they are read, so that no text is shuffled.
+
+    Rows that repeat an id, or have none, are judged each by its own text; all columns stay as they are.
+    """
     whole = docs.select(F.col(id_col).alias("_key"), F.struct("*").alias("_row"), F.col(text_col).alias("_words"))
     scored = model.score(toxic_features(whole, model.lexicon, "_row", id_col="_key", text_col="_words"))
     return scored.where(F.col("score") < THRESHOLD).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts have all features 0."""
+    """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts have all features 0.
+
+    Rows that repeat an id, or have none, have a row each; other columns are ignored; an empty table gives no rows.
+    """
     found = model.score(toxic_features(docs, model.lexicon, id_col=id_col, text_col=text_col))
     held_out = (id_remainder(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out")
     return found.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

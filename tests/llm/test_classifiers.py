@@ -23,15 +23,11 @@ def area(rows: list[tuple[float, int]]) -> float:
     return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
 
 
-#: Of the 33 toxic rows to learn from at sf0.01, the lexicon gets half and the trees a third: too few for the bound.
-FEW_LABELS = pytest.mark.xfail(reason="op9 ranks 0.861 of the pairs right at sf0.01 (18 toxic rows held out), 0.978 at sf0.1", strict=False)
-
-
 @pytest.mark.parametrize(
     ("sf_dir", "query", "label", "modulus", "held_out"),
     [
         (SF, "op4_quality", "quality", 4, 2),
-        pytest.param(SF, "op9_toxicity", "toxic", 3, 1, marks=FEW_LABELS),
+        (SF, "op9_toxicity", "toxic", 3, 1),
         ("/root/testdata/sf0.1", "op9_toxicity", "toxic", 3, 1),
     ],
 )

@@ -47,7 +47,7 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_report(docs).count() == 0
     docs = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
-    assert sorted(map(tuple, mix_report(docs).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert sorted(map(tuple, mix_report(docs).collect())) == [(1, 0, 0, 0.0, 0, None), (2, 0, 0, 0.0, 0, None)]
 
 
 def test_schedule_is_even_and_complete(spark):
