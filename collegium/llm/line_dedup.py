@@ -225,7 +225,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines; rows that repeat a document give them once, as far as a task remembers."""
     seen: set[tuple] = set()
     for batch in slices(batches):
-        tags, contents = [], []
+        turns, contents = [], []
         for raw, wanted, *key in zip(*(batch.column(n).to_pylist() for n in ("raw", "wanted", *KEY))):
             if tuple(key) in seen:
                 continue
@@ -234,9 +234,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(tuple(key))
             lines = raw.split(b"\n")
             for w in wanted:
-                tags.append(w["tag"])
+                turns.append(w["turn"])
                 contents.append(b" ".join(lines[w["line"]].split()))
-        yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(contents, pa.binary())], names=["tag", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int64()), pa.array(contents, pa.binary())], names=["turn", "content"])
 
 
 def _alike(an_edit: int):
@@ -248,7 +248,7 @@ def _alike(an_edit: int):
             longer = np.maximum(batch.column("words").to_numpy(), batch.column("other_words").to_numpy())
             most = longer // an_edit if an_edit else 1
             found = pa.array(np.abs(a - b).sum(axis=1) <= 2 * most)
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(found) for n in ("tag", "other_tag")], names=["tag", "other_tag"])
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(found) for n in ("turn", "other_turn")], names=["turn", "other_turn"])
 
     return run
 
@@ -257,7 +257,7 @@ def _verify(an_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [near_lines(a.split(), b.split(), an_edit) for a, b in zip(batch.column("content").to_pylist(), batch.column("other").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("tag").filter(pa.array(found, pa.bool_()))], names=["tag"])
+            yield pa.RecordBatch.from_arrays([batch.column("turn").filter(pa.array(found, pa.bool_()))], names=["turn"])
 
     return run
 
@@ -272,12 +272,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contents(rows: DataFrame, likely: DataFrame, pairs: DataFrame) -> DataFrame:
-    """tag, content (words joined by a space) of the lines in pairs, each read in the document that has it first."""
-    tags = pairs.select("tag").unionByName(pairs.select(F.col("other_tag").alias("tag"))).distinct()
-    line = F.struct(F.col("first.line").alias("line"), "tag")
-    wanted = likely.select("tag", "first").join(tags, "tag").groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted"))
+    """turn, content (words joined by a space) of the lines in pairs, each read in the document that has it first."""
+    turns = pairs.select("turn").unionByName(pairs.select(F.col("other_turn").alias("turn"))).distinct()
+    line = F.struct(F.col("first.line").alias("line"), "turn")
+    wanted = likely.select("turn", "first").join(turns, "turn").groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted"))
     met = rows.join(materialise(wanted, "wanted").hint("shuffle_hash"), KEY)
-    return materialise(met.select(*KEY, "raw", "wanted").mapInArrow(_texts, "tag long, content binary"), "contents")
+    return materialise(met.select(*KEY, "raw", "wanted").mapInArrow(_texts, "turn long, content binary"), "contents")
 
 
 def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
@@ -292,39 +292,41 @@ def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
     kinds = materialise(kinds, "kinds")
     emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
     met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
-    likely = materialise(kinds.join(met.select("tag").distinct(), "tag").dropDuplicates(["tag"]), "likely")
-    met = materialise(met.join(likely.select("tag", "first", "words"), "tag"), "placed")
-    sketches = likely.select("tag", "words", "sketch")
+    # A line's turn stands for its place in the order of all, so that what is shuffled by key and by pair is narrow.
+    likely = kinds.join(met.select("tag").distinct(), "tag").dropDuplicates(["tag"]).repartitionByRange("first").sortWithinPartitions("first")
+    likely = materialise(likely.withColumn("turn", F.monotonically_increasing_id()), "likely")
+    met = materialise(met.join(likely.select("tag", "turn", "words"), "tag").drop("tag"), "turns")
+    sketches = likely.select("turn", "words", "sketch")
     # Most near lines are near to the earliest that shares a key. Those that can't be, and those that turn out not to
     # be, are held against all earlier ones.
-    least = met.groupBy("key").agg(F.min(F.struct("first", "tag", "words")).alias("least")).select("key", *[F.col(f"least.{c}").alias(f"other_{c}") for c in ("first", "tag", "words")])
-    every = met.select("key", *[F.col(c).alias(f"other_{c}") for c in ("first", "tag", "words")])
+    least = met.groupBy("key").agg(F.min(F.struct("turn", "words")).alias("least")).select("key", F.col("least.turn").alias("other_turn"), F.col("least.words").alias("other_words"))
+    every = met.select("key", F.col("turn").alias("other_turn"), F.col("words").alias("other_words"))
     pairs = _pairs(met, least, sketches, an_edit)
-    tried = materialise(pairs.select("tag").distinct(), "tried")
-    pairs = pairs.unionByName(_pairs(met.join(tried, "tag", "left_anti"), every, sketches, an_edit))
+    tried = materialise(pairs.select("turn").distinct(), "tried")
+    pairs = pairs.unionByName(_pairs(met.join(tried, "turn", "left_anti"), every, sketches, an_edit))
     near = _verified(rows, likely, pairs, an_edit)
-    rest = met.join(tried.join(near, "tag", "left_anti"), "tag", "left_semi")
+    rest = met.join(tried.join(near, "turn", "left_anti"), "turn", "left_semi")
     near = near.unionByName(_verified(rows, likely, _pairs(rest, every, sketches, an_edit), an_edit))
-    near = likely.join(near, "tag", "left_semi").select("digest", F.lit(True).alias("near"))
+    near = likely.join(near, "turn", "left_semi").select("digest", F.lit(True).alias("near"))
     firsts = kinds.select("digest", "first").join(near, "digest", "left")
     dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
     return lines.select(*KEY, "line", "digest").join(firsts, "digest").select(*KEY, "line", "digest", dropped.alias("dropped"))
 
 
 def _pairs(met: DataFrame, others: DataFrame, sketches: DataFrame, an_edit: int) -> DataFrame:
-    """(tag, other_tag) of lines that share a key with an earlier one and whose lengths and sketches let them be near."""
+    """(turn, other_turn) of lines that share a key with an earlier one and whose lengths and sketches let them be near."""
     most = F.floor(F.greatest("words", "other_words") / an_edit) if an_edit else F.lit(1)
-    fits = (F.col("other_first") < F.col("first")) & (F.abs(F.col("words") - F.col("other_words")) <= most)
-    pairs = met.join(others, "key").where(fits).select("tag", "other_tag").distinct()
-    pairs = pairs.join(sketches, "tag").join(sketches.select(*[F.col(c).alias(f"other_{c}") for c in sketches.columns]), "other_tag")
-    return materialise(pairs.mapInArrow(_alike(an_edit), "tag long, other_tag long"), "pairs")
+    fits = (F.col("other_turn") < F.col("turn")) & (F.abs(F.col("words") - F.col("other_words")) <= most)
+    pairs = met.join(others, "key").where(fits).select("turn", "other_turn").distinct()
+    pairs = pairs.join(sketches, "turn").join(sketches.select(*[F.col(c).alias(f"other_{c}") for c in sketches.columns]), "other_turn")
+    return materialise(pairs.mapInArrow(_alike(an_edit), "turn long, other_turn long"), "pairs")
 
 
 def _verified(rows: DataFrame, likely: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
-    """The tags of pairs whose line is near the other, by their words; hashes alone decide nothing."""
+    """The turns of pairs whose line is near the other, by their words; hashes alone decide nothing."""
     contents = _contents(rows, likely, pairs)
-    both = pairs.join(contents, "tag").join(contents.select(F.col("tag").alias("other_tag"), F.col("content").alias("other")), "other_tag")
-    return materialise(both.select("tag", "content", "other").mapInArrow(_verify(an_edit), "tag long").distinct(), "near")
+    both = pairs.join(contents, "turn").join(contents.select(F.col("turn").alias("other_turn"), F.col("content").alias("other")), "other_turn")
+    return materialise(both.select("turn", "content", "other").mapInArrow(_verify(an_edit), "turn long").distinct(), "near")
 
 
 def dropped_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
