@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from collegium.sources.scratch import exists
+
 AUDIENCE = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("scheme", "programme", "branch", "department", "stream", "college")],
     T.StructField("semester", T.IntegerType()),
@@ -68,10 +70,24 @@ def manifest(known: DataFrame, fetched: DataFrame) -> DataFrame:
     return rows.select("url", F.coalesce("sha256", "_old").alias("sha256"), outcome.alias("outcome"))
 
 
+#: Folders of a collection; an owner's rows are all in one of them.
+BUCKETS = 64
+
+
 def write_collection(rows: DataFrame, path: str, owner: str = "owner") -> None:
-    """A collection in a folder for each owner; only the owners in rows are replaced."""
-    rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.repartition(owner).write.mode("overwrite").partitionBy(owner).parquet(path)
+    """A collection in folders by a hash of the owner; of the folders that rows fall into, only these owners' rows change."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(BUCKETS)).cast("int"))
+    if exists(spark, path):
+        touched = rows.select("bucket").distinct()
+        held = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")  # 64 rows at most
+        rows = rows.unionByName(held.join(rows.select(owner).distinct(), owner, "left_anti"))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def without_owners(spark: SparkSession, path: str, prefix: str, owner: str = "owner") -> DataFrame:
+    """What a collection holds once every owner with a prefix is cleared."""
+    return spark.read.parquet(path).drop("bucket").where(~F.startswith(F.col(owner).cast("string"), F.lit(prefix)))
 
 
 def refusal(registry: DataFrame, families: DataFrame) -> DataFrame:

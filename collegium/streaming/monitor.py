@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from collegium.functions.text import category_of, content_hash, importance_of
+from collegium.sources.scratch import exists
 
+LOG = "family string, item string, hash string, first_seen timestamp, category string, importance string, shard string, batch long"
 CAPTURES = "family string, item string, title string, body string, captured timestamp"
 
 
@@ -26,23 +28,21 @@ def store_new_versions(path: str):
     """A foreachBatch function that appends versions which the log at path doesn't hold yet.
 
     The log is the state: an anti-join on (family, item, hash) drops what is known, so a batch that is run again
-    after a failure adds nothing. Each batch goes to a folder of its own number and replaces it whole.
+    after a failure adds nothing. The log is in folders by the first two digits of the hash, and a batch reads only
+    those that its own versions fall into; each batch has its own folders there and replaces them whole.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keys = ["family", "item", "hash"]
         new = batch.groupBy(*keys).agg(F.min("captured").alias("first_seen"), F.max("category").alias("category"), F.max("importance").alias("importance"))
-        try:
-            held = spark.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") != number)
-        except Exception as error:  # the first batch finds no log
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            held = None
-        if held is not None:
-            known = held.select(F.col("family").alias("f"), F.col("item").alias("i"), F.col("hash").alias("h"))
-            new = new.join(known, (F.col("family") == F.col("f")) & (F.col("item") == F.col("i")) & (F.col("hash") == F.col("h")), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = new.withColumn("shard", F.left("hash", F.lit(2))).persist()
+        if exists(spark, path):
+            shards = [r.shard for r in new.select("shard").distinct().collect()]  # 256 at most
+            held = spark.read.schema(LOG).parquet(path).where(F.col("shard").isin(shards) & (F.col("batch") != number))
+            new = new.join(held.select(*keys, "shard"), [*keys, "shard"], "left_anti")
+        new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(path)
+        spark.catalog.clearCache()
 
     return run
 
