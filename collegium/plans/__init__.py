@@ -1,3 +1,3 @@
 """Registered queries; importing a module of this package registers its queries."""
 
-from collegium.plans import attendance, catalogue, changes, declarations, display, documents, exam_timetables, files, grading, imports, lookups, notices, results, texts, upserts  # noqa: F401
+from collegium.plans import attendance, catalogue, changes, declarations, display, documents, exam_timetables, files, grading, imports, lookups, notices, results, syllabi, texts, upserts  # noqa: F401
