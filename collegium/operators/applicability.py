@@ -37,31 +37,61 @@ def lenient_relevance(axes: dict[str, tuple[Column, Column]]) -> Column:
     return out.otherwise("global")
 
 
+def _norm(c: str) -> Column:
+    return F.lower(F.trim(F.col(c).cast("string")))
+
+
+def _bit(mask: Column, k: int) -> Column:
+    return mask.bitwiseAND(F.lit(1 << k)) != 0
+
+
+def _targets(axes: list[str]) -> Column:
+    """Which axes a notice targets, a bit for each."""
+    return reduce(lambda x, y: x + y, [F.when(F.col(a).isNotNull(), 1 << k).otherwise(0) for k, a in enumerate(axes)])
+
+
 def verdict_counts(notices: DataFrame, users: DataFrame, axes: list[str]) -> DataFrame:
     """Users by notice and verdict, without forming a pair of a notice and a user.
 
-    Users are counted by their axis values and notices by theirs; few distinct combinations stand for many rows, so
-    the verdict is taken between combinations. What is joined grows with the values of the axes, not with the users.
+    Users are counted by their axis values, once for each pattern of axes that a notice may target, and notices by
+    theirs. A notice applies to the users who hold all that it targets; those who hold some of it and have not said
+    the rest are unresolved. So each kind of notice asks for the counts of its values, of these with every part left
+    blank, and of all users: equi-joins, of which no side grows with the users.
     """
-    groups = users.groupBy(*[F.col(a).alias(f"held_{a}") for a in axes]).agg(F.count(F.lit(1)).alias("users"))
-    kinds = notices.groupBy(*axes, "unreadable_scope").agg(F.count(F.lit(1)).alias("notices"))
-    found = verdict({a: axis(F.col(a), F.col(f"held_{a}")) for a in axes}, F.col("unreadable_scope"))
-    return kinds.join(groups, F.lit(True)).groupBy(*axes, "unreadable_scope", found.alias("verdict")).agg(F.sum("users").alias("users"), F.first("notices").alias("notices"))
+    every = F.array(*[F.lit(m) for m in range(1 << len(axes))])
+    held = users.groupBy(*[_norm(a).alias(f"_{a}") for a in axes]).agg(F.count(F.lit(1)).alias("users")).withColumn("_mask", F.explode(every))
+    held = held.groupBy("_mask", *[F.when(_bit(F.col("_mask"), k), F.col(f"_{a}")).alias(f"_{a}") for k, a in enumerate(axes)]).agg(F.sum("users").alias("users"))
+    kind = [*axes, "unreadable_scope"]
+    asked = notices.groupBy(*kind).agg(F.count(F.lit(1)).alias("notices")).withColumn("_target", _targets(axes))
+    blanks = F.filter(every, lambda b: b.bitwiseAND(F.col("_target")) == b)
+    asked = asked.withColumn("_blank", F.explode(F.array_append(blanks, F.lit(-1))))  # -1 asks for all users
+    mask = F.when(F.col("_blank") < 0, 0).otherwise(F.col("_target")).alias("_mask")
+    asked = asked.select(*kind, "notices", "_blank", mask, *[F.when((F.col("_blank") >= 0) & ~_bit(F.col("_blank"), k), _norm(a)).alias(f"_{a}") for k, a in enumerate(axes)])
+    on = reduce(lambda x, y: x & y, [asked[c].eqNullSafe(held[c]) for c in ("_mask", *[f"_{a}" for a in axes])])
+    part = lambda which: F.coalesce(F.sum(F.when(which, F.col("users"))), F.lit(0))
+    blank = F.col("_blank")
+    found = asked.join(held, on).groupBy(*kind).agg(part(blank == 0).alias("_all"), part(blank > 0).alias("_some"), part(blank < 0).alias("_users"), F.first("notices").alias("notices"))
+    readable = ~F.col("unreadable_scope")
+    counts = F.array(
+        F.struct(F.lit("applicable").alias("verdict"), F.when(readable, F.col("_all")).otherwise(0).alias("users")),
+        F.struct(F.lit("unresolved").alias("verdict"), F.when(readable, F.col("_some")).otherwise(F.col("_users")).alias("users")),
+        F.struct(F.lit("not_applicable").alias("verdict"), F.when(readable, F.col("_users") - F.col("_all") - F.col("_some")).otherwise(0).alias("users")),
+    )
+    return found.select(*kind, "notices", F.inline(counts)).where("users > 0").select(*kind, "verdict", "users", "notices")
 
 
 def applicable_pairs(notices: DataFrame, users: DataFrame, axes: list[str], notice_id: str, user_id: str) -> DataFrame:
-    """(notice, user) for each applicable pair, by one equi-join for each pattern of targeted axes.
+    """(notice, user) for each applicable pair of a notice that targets anything, and (notice, null) for one that is for
+    everybody, so that no pair is formed which a class tells.
 
-    A notice targets some of the axes; those of one pattern are joined on them, so no pair is formed that the
-    targeted axes exclude. Universal notices apply to everybody: their pairs are the result itself.
+    Notices and users meet on the pattern of targeted axes and the values there: one equi-join, for which each user
+    has a narrow row for every pattern.
     """
-    readable = notices.where(~F.col("unreadable_scope"))
-    norm = lambda c: F.lower(F.trim(F.col(c).cast("string")))
-    parts = []
-    for mask in range(1 << len(axes)):
-        on = [a for k, a in enumerate(axes) if mask >> k & 1]
-        some = readable.where(reduce(lambda x, y: x & y, [F.col(a).isNotNull() if a in on else F.col(a).isNull() for a in axes]))
-        left = some.select(notice_id, *[norm(a).alias(f"_{a}") for a in on])
-        right = users.select(user_id, *[norm(a).alias(f"_{a}") for a in on])
-        parts.append((left.join(right, [f"_{a}" for a in on]) if on else left.join(right, F.lit(True))).select(notice_id, user_id))
-    return reduce(DataFrame.unionByName, parts)
+    readable = notices.where(~F.col("unreadable_scope")).withColumn("_mask", _targets(axes))
+    targeted = readable.where("_mask > 0").select(notice_id, "_mask", *[F.coalesce(_norm(a), F.lit("")).alias(f"_{a}") for a in axes])
+    held = users.select(user_id, *[_norm(a).alias(f"_{a}") for a in axes]).withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in range(1, 1 << len(axes))])))
+    told = reduce(lambda x, y: x & y, [~_bit(F.col("_mask"), k) | F.col(f"_{a}").isNotNull() for k, a in enumerate(axes)])
+    held = held.where(told).select(user_id, "_mask", *[F.when(_bit(F.col("_mask"), k), F.col(f"_{a}")).otherwise("").alias(f"_{a}") for k, a in enumerate(axes)])
+    pairs = targeted.join(held, ["_mask", *[f"_{a}" for a in axes]]).select(notice_id, user_id)
+    nobody = F.lit(None).cast(users.schema[user_id].dataType).alias(user_id)
+    return pairs.unionByName(readable.where("_mask = 0").select(notice_id, nobody))

@@ -23,16 +23,16 @@ def detect_changes(before: DataFrame, after: DataFrame, key: str, hashed: str) -
     return rows.select(key, change.alias("change"))
 
 
-def monitor_changes(known: DataFrame, captured: DataFrame, key: str, hashed: str, supersedes: str) -> DataFrame:
-    """key, change of a capture against what is known: new, unchanged, updated, revised, removed.
+def monitor_changes(known: DataFrame, captured: DataFrame, key: str, hashed: str, supersedes: str, *keep: str) -> DataFrame:
+    """key, columns of keep and change of a capture against what is known: new, unchanged, updated, revised, removed.
 
     A new item is a revision only if what it supersedes was known.
     """
     old = known.select(F.col(key).alias("_key"), F.col(hashed).alias("_old"))
     rows = captured.join(old, captured[key] == old["_key"], "left").join(known.select(F.col(key).alias("_before")).distinct(), F.col(supersedes) == F.col("_before"), "left")
     change = F.when(F.col("_key").isNotNull() & (F.col("_old") == F.col(hashed)), "unchanged").when(F.col("_key").isNotNull(), "updated").when(F.col("_before").isNotNull(), "revised").otherwise("new")
-    gone = known.join(captured, key, "left_anti").select(key, F.lit("removed").alias("change"))
-    return rows.select(key, change.alias("change")).unionByName(gone)
+    gone = known.join(captured, key, "left_anti").select(key, *keep, F.lit("removed").alias("change"))
+    return rows.select(key, *keep, change.alias("change")).unionByName(gone)
 
 
 def merge(current: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:

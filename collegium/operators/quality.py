@@ -5,15 +5,20 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Examples that a report shows.
-EXAMPLES = 5
+#: Examples that a report shows, and parts in which a check's violations are ranked.
+EXAMPLES, SALTS = 5, 64
 
 
-def violations(df: DataFrame, check: str, broken: Column, what: Column) -> DataFrame:
-    """check, what of the rows where the condition holds; an unknown condition breaks nothing."""
-    return df.where(broken).select(F.lit(check).alias("check"), what.cast("string").alias("what"))
+def violations(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """check, what of the rows that break a check; all checks of a table in one scan of it.
+
+    checks has a condition, which an unknown value does not meet, and what to show of the row, by name.
+    """
+    broken = [F.when(condition, F.struct(F.lit(name).alias("check"), what.cast("string").alias("what"))) for name, (condition, what) in checks.items()]
+    return df.select(F.inline(F.array_compact(F.array(*broken))))
 
 
 def duplicates(df: DataFrame, check: str, keys: list[str]) -> DataFrame:
@@ -22,22 +27,27 @@ def duplicates(df: DataFrame, check: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*named).count().where("count > 1").select(F.lit(check).alias("check"), F.concat_ws("|", *keys).alias("what"))
 
 
-def report(checks: list[str], found: list[DataFrame]) -> DataFrame:
+def report(checks: list[str], found: list[DataFrame], salts: int = SALTS) -> DataFrame:
     """One row per check: violations, passed, examples (the first five in order).
 
-    Examples are kept by an aggregate that holds EXAMPLES values, so a check that every row breaks gathers no list
-    of all rows.
+    Equal violations are counted before they are ranked. A check that every row breaks is ranked in parts first, of
+    which each gives five, so that no task sees all of them.
     """
     spark = found[0].sparkSession
-    rows = reduce(DataFrame.unionByName, found)
-    counts = rows.groupBy("check").agg(F.count(F.lit(1)).alias("violations"))
-    distinct = rows.distinct()
-    ranked = distinct.withColumn("_r", F.expr("row_number() OVER (PARTITION BY check ORDER BY what)")).where(F.col("_r") <= EXAMPLES)
-    examples = ranked.groupBy("check").agg(F.array_join(F.sort_array(F.collect_list("what")), ", ").alias("examples"))
+    rows = reduce(DataFrame.unionByName, found).groupBy("check", "what").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("what"), F.lit(salts)))
+    total = F.sum("n").over(W.partitionBy("check", "salt"))
+    first = F.row_number().over(W.partitionBy("check", "salt").orderBy("what"))
+    parts = rows.withColumns({"part": total, "r": first}).where(F.col("r") <= EXAMPLES)
+    # At most `salts` times EXAMPLES rows of a check are left.
+    ranked = parts.withColumn("r_all", F.row_number().over(W.partitionBy("check").orderBy("what")))
+    counted = ranked.groupBy("check").agg(
+        F.sum(F.when(F.col("r") == 1, F.col("part"))).alias("violations"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("r_all") <= EXAMPLES, F.col("what")))), ", ").alias("examples"),
+    )
     named = spark.createDataFrame([(c,) for c in checks], "check string")
-    out = named.join(counts, "check", "left").join(examples, "check", "left")
-    n = F.coalesce("violations", F.lit(0).cast("bigint"))
-    return out.select("check", n.alias("violations"), (n == 0).alias("passed"), F.coalesce("examples", F.lit("")).alias("examples"))
+    n = F.coalesce("violations", F.lit(0)).cast("bigint")
+    return named.join(counted, "check", "left").select("check", n.alias("violations"), (n == 0).alias("passed"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def reconcile(computed: DataFrame, printed: DataFrame, key: str) -> DataFrame:

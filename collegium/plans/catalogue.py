@@ -209,11 +209,10 @@ def invariants(spark, sf_dir):
     a = T.attempts(spark, sf_dir)
     total = F.when((F.col("line") == 3) & (F.col("tax") == 8), F.col("total") + 1).otherwise(F.col("total"))
     found = [
-        Q.violations(a, "total_adds_up", F.col("internal") + F.col("external") != total, F.col("student")),
-        Q.violations(T.attendance(spark, sf_dir), "attended_within_conducted", F.col("attended") > F.col("conducted"), F.col("student")),
-        Q.violations(a, "credits_known", (F.col("line") == 7) & (F.col("tax") == 0), F.col("student")),
-        Q.violations(T.table(spark, sf_dir, "part"), "price_positive", F.col("p_retailprice") <= 900.5, F.col("p_partkey")),
-        Q.violations(T.profiles(spark, sf_dir), "segment_known", F.col("branch").isNull() & (F.col("student") % 5 == 0), F.col("student")),
+        Q.violations(a, {"total_adds_up": (F.col("internal") + F.col("external") != total, F.col("student")), "credits_known": ((F.col("line") == 7) & (F.col("tax") == 0), F.col("student"))}),
+        Q.violations(T.attendance(spark, sf_dir), {"attended_within_conducted": (F.col("attended") > F.col("conducted"), F.col("student"))}),
+        Q.violations(T.table(spark, sf_dir, "part"), {"price_positive": (F.col("p_retailprice") <= 900.5, F.col("p_partkey"))}),
+        Q.violations(T.profiles(spark, sf_dir), {"segment_known": (F.col("branch").isNull() & (F.col("student") % 5 == 0), F.col("student"))}),
         Q.duplicates(T.table(spark, sf_dir, "lineitem"), "unique_line", ["l_orderkey", "l_linenumber"]),
     ]
     return Q.report(CHECKS, found)

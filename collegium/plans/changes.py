@@ -43,9 +43,9 @@ def monitor_changes(spark, sf_dir):
 @query("monitor_run_counts", S.with_(S.SNAPSHOTS, MONITOR_SQL, query="SELECT family, count(*) AS discovered, count(*) FILTER (WHERE change = 'new') AS fresh, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'revised') AS revised, count(*) FILTER (WHERE change = 'removed') AS removed FROM monitored GROUP BY family"))
 def monitor_run_counts(spark, sf_dir):
     """The ledger row of each family: five conditional counts in one aggregate."""
-    families = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("family"))
     c = F.col("change")
-    return monitored(spark, sf_dir).join(families, "item").groupBy("family").agg(F.count(F.lit(1)).alias("discovered"), *[F.count_if(c == w).alias(n) for w, n in (("new", "fresh"), ("unchanged", "unchanged"), ("updated", "updated"), ("revised", "revised"), ("removed", "removed"))])
+    rows = C.monitor_changes(hashed(spark, sf_dir, 1), hashed(spark, sf_dir, 2), "item", "hash", "supersedes", "family")
+    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("discovered"), *[F.count_if(c == w).alias(n) for w, n in (("new", "fresh"), ("unchanged", "unchanged"), ("updated", "updated"), ("revised", "revised"), ("removed", "removed"))])
 
 
 @query("same_run_twice", S.with_(S.SNAPSHOTS, query="SELECT 'unchanged' AS change, count(*) AS items FROM v2"))

@@ -74,11 +74,15 @@ def all_notice_signals(spark, sf_dir):
     return T.notices(spark, sf_dir).select("notice", F.array_join(X.signals_of(F.col("title")), "; ").alias("signal"))
 
 
-@query("unresolved_texts", "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
+@query("unresolved_texts", f"""
+SELECT role, count(*) FILTER (WHERE category = 'unresolved') AS turns, CAST(coalesce(sum(length(text)) FILTER (WHERE category = 'unresolved'), 0) AS BIGINT) AS chars, count(*) FILTER (WHERE category <> 'unresolved') AS resolved
+FROM (SELECT role, text, {CATEGORY_SQL.replace('title', 'text')} AS category FROM (SELECT role, CASE WHEN conv_id % 4 = 0 THEN text || ' Circular, with a time table' WHEN conv_id % 4 = 1 THEN text || ' syllabi' ELSE text END AS text FROM conversations)) GROUP BY role""")
 def unresolved_texts(spark, sf_dir):
-    """Conversations hold no notice; what stays unresolved is counted by role."""
-    rows = T.table(spark, sf_dir, "conversations").where(X.category_of(F.col("text")) == "unresolved")
-    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))
+    """Turns of conversations by role, some with planted notices: what the rules leave unresolved, and what they don't."""
+    key = F.col("conv_id") % 4
+    text = F.when(key == 0, F.concat("text", F.lit(" Circular, with a time table"))).when(key == 1, F.concat("text", F.lit(" syllabi"))).otherwise(F.col("text"))
+    rows = T.table(spark, sf_dir, "conversations").select("role", text.alias("text")).withColumn("open", X.category_of(F.col("text")) == "unresolved")
+    return rows.groupBy("role").agg(F.count_if("open").alias("turns"), F.coalesce(F.sum(F.when(F.col("open"), F.length("text"))), F.lit(0)).cast("bigint").alias("chars"), F.count_if(~F.col("open")).alias("resolved"))
 
 
 VERDICT_SQL = """CASE WHEN n.unreadable_scope THEN 'unresolved'
@@ -109,9 +113,9 @@ def targeted_pairs(spark, sf_dir):
     return applicable_pairs(narrow, T.profiles(spark, sf_dir), AXES, "notice", "student")
 
 
-@query("all_applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, p.student FROM notices n CROSS JOIN profiles p WHERE {VERDICT_SQL} = 'applicable'"))
+@query("all_applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, p.student FROM notices n CROSS JOIN profiles p WHERE coalesce(n.branch, n.college, n.semester::VARCHAR) IS NOT NULL AND {VERDICT_SQL} = 'applicable' UNION ALL SELECT notice, NULL FROM notices WHERE NOT unreadable_scope AND coalesce(branch, college, semester::VARCHAR) IS NULL"))
 def all_applicable_pairs(spark, sf_dir):
-    """Pairs of all notices with the users they are for, whichever axes they target; applicable_pairs has those of two."""
+    """Pairs of all notices with the users they are for, whichever axes they target; one for everybody is a row without user."""
     return applicable_pairs(T.notices(spark, sf_dir), T.profiles(spark, sf_dir), AXES, "notice", "student")
 
 
@@ -120,7 +124,7 @@ def one_user_feed(spark, sf_dir):
     """All verdicts for one user; the user's single row meets every notice."""
     one = T.owned(T.profiles(spark, sf_dir), 10).select("student", *[F.col(a).alias(f"held_{a}") for a in AXES])
     found = verdict({a: axis(F.col(a), F.col(f"held_{a}")) for a in AXES}, F.col("unreadable_scope"))
-    return T.notices(spark, sf_dir).join(F.broadcast(one), F.lit(True)).select("notice", found.alias("verdict"))
+    return T.notices(spark, sf_dir).join(F.broadcast(one.limit(1)), F.lit(True)).select("notice", found.alias("verdict"))
 
 
 @query(
@@ -134,7 +138,7 @@ def lenient(spark, sf_dir):
     """Unlike the verdict, what the student has not said passes."""
     one = T.owned(T.profiles(spark, sf_dir), 7).select(*[F.col(a).alias(f"held_{a}") for a in AXES])
     found = lenient_relevance({a: (F.col(a), F.col(f"held_{a}")) for a in ("college", "branch", "semester")})
-    return T.notices(spark, sf_dir).join(F.broadcast(one), F.lit(True)).select("notice", found.alias("relevance"))
+    return T.notices(spark, sf_dir).join(F.broadcast(one.limit(1)), F.lit(True)).select("notice", found.alias("relevance"))
 
 
 @query("notice_priority", S.with_(S.NOTICES, CLASSED, query=f"SELECT notice, {PRIORITY_SQL} AS priority, CAST(deadline - DATE '{NOW}' AS BIGINT) AS days_left, coalesce(deadline < DATE '{NOW}', false) AS passed FROM classed"))
@@ -165,7 +169,7 @@ ORDER BY relevance, CASE priority WHEN 'urgent' THEN 0 WHEN 'important' THEN 1 W
 def student_feed_order(spark, sf_dir):
     """Relevant first, most pressing first, newest first."""
     one = T.owned(T.profiles(spark, sf_dir), 10).select(*[F.col(a).alias(f"held_{a}") for a in AXES])
-    rows = classed(spark, sf_dir).join(F.broadcast(one), F.lit(True))
+    rows = classed(spark, sf_dir).join(F.broadcast(one.limit(1)), F.lit(True))
     irrelevant = (lenient_relevance({a: (F.col(a), F.col(f"held_{a}")) for a in ("college", "branch", "semester")}) == "not_relevant").cast("int")
     rows = rows.select("notice", irrelevant.alias("relevance"), priority(F.col("category"), F.col("deadline")).alias("priority"), "published")
     rank = F.when(F.col("priority") == "urgent", 0).when(F.col("priority") == "important", 1).when(F.col("priority") == "normal", 2).otherwise(3)

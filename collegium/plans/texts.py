@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collegium.functions import text as X
@@ -40,10 +41,9 @@ def page_links(spark, sf_dir):
 @query("link_validation", "SELECT reason, count(*) AS links FROM (SELECT CASE WHEN href = '' THEN 'empty' WHEN r > 1 THEN 'duplicate' WHEN regexp_matches(href, '^(https?://|/)') THEN 'valid' ELSE 'not_http' END AS reason FROM (SELECT href, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS r FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1) AS l FROM pages)))) GROUP BY reason")
 def link_validation(spark, sf_dir):
     """Links kept or refused, with the reason; of equal links on a page the first is kept."""
-    links = page_links(spark, sf_dir)
-    first = links.groupBy("page_id", "href").agg(F.min("pos").alias("first"))
-    rows = links.join(first, ["page_id", "href"])
-    reason = F.when(F.col("href") == "", "empty").when(F.col("pos") > F.col("first"), "duplicate").when(F.col("href").rlike("^(https?://|/)"), "valid").otherwise("not_http")
+    nth = F.row_number().over(W.partitionBy("page_id", "href").orderBy("pos"))
+    rows = page_links(spark, sf_dir).withColumn("nth", nth)
+    reason = F.when(F.col("href") == "", "empty").when(F.col("nth") > 1, "duplicate").when(F.col("href").rlike("^(https?://|/)"), "valid").otherwise("not_http")
     return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))
 
 
@@ -72,9 +72,11 @@ def subject_keys(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", X.subject_key(F.concat_ws(" ", "p_name", "p_type")).alias("key"), X.same_name(F.col("p_brand"), F.lit(" BRAND#1 ")).alias("first_brand"))
 
 
-@query("years_in_pages", r"SELECT page_id, CAST(coalesce(nullif(regexp_extract(url, '(20\d\d)', 1), ''), nullif(regexp_extract(html, '(20\d\d)', 1), '')) AS INTEGER) AS year FROM pages WHERE NOT regexp_matches(html, '(?i)20\d\d\s*scheme')")
+@query("years_in_pages", r"SELECT page_id, CAST(coalesce(nullif(regexp_extract(html, '(?i)(20\d\d)\s*scheme', 1), ''), nullif(regexp_extract(url, '(20\d\d)', 1), ''), nullif(regexp_extract(html, '(20\d\d)', 1), '')) AS INTEGER) AS year FROM (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN html || ' in 2021, the 2022  Scheme' ELSE html END AS html FROM pages)")
 def years_in_pages(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "pages").where(~F.col("html").rlike(r"(?i)20\d\d\s*scheme"))
+    """The year of each page; a planted scheme's year comes before any other."""
+    html = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit(" in 2021, the 2022  Scheme"))).otherwise(F.col("html"))
+    rows = T.table(spark, sf_dir, "pages").withColumn("html", html)
     return rows.select("page_id", X.year_of(F.col("html"), F.col("url")).alias("year"))
 
 

@@ -39,7 +39,10 @@ def test_pairs_by_pattern_equal_the_plain_loop(spark):
     u = spark.createDataFrame(users, "user int, p string, q string")
     same = lambda t, h: t is None or (h is not None and t.lower() == h.lower())
     want = {(i, j) for i, a, b, bad in notices for j, c, d in users if not bad and same(a, c) and same(b, d)}
-    assert {tuple(r) for r in A.applicable_pairs(n, u, ["p", "q"], "notice", "user").collect()} == want
+    got = {tuple(r) for r in A.applicable_pairs(n, u, ["p", "q"], "notice", "user").collect()}
+    everybody = {i for i, j in got if j is None}
+    assert everybody == {i for i, a, b, bad in notices if not bad and a is None and b is None}
+    assert {(i, j) for i, j in got if j is not None} | {(i, j) for i in everybody for j, _, _ in users} == want
     total = A.verdict_counts(n, u, ["p", "q"]).where("verdict = 'applicable'").agg(F.sum(F.col("users") * F.col("notices"))).first()[0]
     assert total == len(want)
 
@@ -69,7 +72,7 @@ def test_merge_and_differences_with_nulls(spark):
 
 def test_report_of_invariants(spark):
     df = spark.createDataFrame([(i, None if i == 3 else i % 2) for i in range(20)], "k int, v int")
-    got = {r.check: (r.violations, r.passed, r.examples) for r in Q.report(["odd", "none", "twice"], [Q.violations(df, "odd", F.col("v") == 1, F.col("k")), Q.violations(df, "none", F.col("k") < 0, F.col("k")), Q.duplicates(df, "twice", ["v"])]).collect()}
+    got = {r.check: (r.violations, r.passed, r.examples) for r in Q.report(["odd", "none", "twice"], [Q.violations(df, {"odd": (F.col("v") == 1, F.col("k")), "none": (F.col("k") < 0, F.col("k"))}), Q.duplicates(df, "twice", ["v"])]).collect()}
     assert got["none"] == (0, True, "") and got["odd"][0] == 9 and len(got["odd"][2].split(", ")) == 5 and got["twice"] == (2, False, "0, 1")
 
 
