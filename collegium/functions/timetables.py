@@ -18,8 +18,8 @@ REVISION = [r"(?i)time\s*-?\s*table\s*\(\s*(R\d)\s*\)", r"(?im)^.*\btime\s*-?\s*
 ROOM = r"(?i)\broom\s*(?:no\.?)?\s*[:\-–]?\s*([A-Z]?\d{2,4}[A-Z]?)\b"
 SEMESTER = [r"(?i)\bsemester\s*[:\-–]?\s*([1-8])\b", r"(?i)\bsemester\s*[:\-–]?\s*([IVX]{1,4})\b"]
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII"]
-PAGE_SEMESTER = r"(?i)^(I|II|III|IV|V|VI|VII|VIII)\s*[-–]?\s*SEMESTER\b"
-WHOLE_NUMBER = r"^\d{1,4}$"
+PAGE_SEMESTER = r"(?i)^(I|II|III|IV|V|VI|VII|VIII)\s*SEMESTER\b"
+WHOLE_NUMBER = r"^\d{1,3}$"
 LEAST_CREDITS, MOST_CREDITS, COLUMN_CELLS, HEADING_LENGTH = 10, 30, 3, 24
 
 
