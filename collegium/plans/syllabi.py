@@ -97,7 +97,7 @@ def printed_totals(spark, sf_dir):
 def numeric_columns(spark, sf_dir):
     """The rightmost place where three or more whole numbers stand in a column."""
     key = F.col("p_partkey")
-    cells = T.table(spark, sf_dir, "part").select(F.floor(key / 10).alias("doc"), F.when(key % 4 > 0, key.cast("string")).otherwise("Total").alias("text"), (F.col("p_size") % 4 * 50 + 0.2).alias("x"))
+    cells = T.table(spark, sf_dir, "part").select(F.floor(key / 10).alias("doc"), F.when(key % 4 > 0, (key % 1000).cast("string")).otherwise("Total").alias("text"), (F.col("p_size") % 4 * 50 + 0.2).alias("x"))
     return H.rightmost_numeric_column(cells)
 
 
