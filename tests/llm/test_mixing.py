@@ -2,7 +2,7 @@
 
 import re
 
-from collegium.llm.mixing import mix, mix_report, schedule, sized, source_targets
+from collegium.llm.mixing import mix, mix_report, mixed_documents, schedule, sized, source_targets
 from collegium.llm.common import materialise
 
 
@@ -70,3 +70,19 @@ def test_blocks_hold_every_word_of_the_mix(spark):
     _, parts = mix(docs, 128)
     assert {r.s for r in parts.groupBy("no", "rank").sum("taken").withColumnRenamed("sum(taken)", "s").collect()} >= {128}
     assert parts.where("skip < 0 or taken <= 0 or skip + taken > size").count() == 0
+
+
+def test_the_mix_is_in_the_schedules_order(spark):
+    """Read in order, every tenth of the mix holds each large source in about its share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in mixed_documents(docs).select("source", "text").collect()]
+    total = sum(n for _, n in rows)
+    share = {s: sum(n for x, n in rows if x == s) / total for s in {s for s, _ in rows}}
+    places = {(r.source, r.at) for r in mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").where("at IS NOT NULL").collect()}
+    assert all(0 <= at < 1 for _, at in places)
+    for source in [s for s in share if share[s] > 0.1]:
+        seen = got = 0
+        for k, (s, n) in enumerate(rows, 1):
+            seen, got = seen + n, got + n * (s == source)
+            if k % (len(rows) // 10) == 0:
+                assert abs(got / seen - share[source]) < 0.12, (source, k)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from collegium.llm.packing import best_pattern, cutting_stock, pack
+from collegium.llm.packing import GAP, GRID, LENGTH, best_pattern, cutting_stock, linear_program, pack, pieces
 from collegium.llm.token_files import token_report, write_token_files
 from collegium.llm.tokens import Encoder
 
@@ -114,3 +114,23 @@ def test_cutting_stock_covers_the_histogram():
     assert (sum(p.items * p.copies for p in patterns) >= counts[used]).all()
     sequences, least = sum(p.copies for p in patterns), (counts * units).sum() / 64
     assert sequences <= 1.02 * least + 2
+
+
+def test_the_linear_program_ends_by_its_bound(spark):
+    """On the lengths of a whole table, within a sequence (or the gap) of what no packing can beat."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = pieces(docs).selectExpr(f"CAST(ceil(length / {GRID}) AS INT) AS units").groupBy("units").count().collect()
+    units, counts = (np.array(x, np.int64) for x in zip(*sorted(map(tuple, rows))))
+    patterns, copies, bound = linear_program(counts, units, LENGTH // GRID)
+    assert (units @ patterns <= LENGTH // GRID).all() and (patterns @ copies >= counts - 1e-6).all()
+    assert copies.sum() - bound <= max(1, GAP * bound)
+    assert sum(p.copies for p in cutting_stock(counts, units, LENGTH // GRID)) <= bound + len(units) + 1
+
+
+def test_packing_minds_no_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 5, 6), (1, "a b c", "x", 5, 6), (None, None, "y", 7, 8)], "doc_id long, text string, units string, rank int, bucket int")
+    rows = pack(docs).collect()
+    assert pack(docs).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 4), (1, 4)] and pack(docs.where("false")).count() == 0
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert [p[1] for p in places] == [0, places[0][2], places[0][2] + places[1][2]]
