@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collegium.sources.scratch import delete, shared_dir
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,8 +23,6 @@ SLICE = 512
 #: Buckets of a group whose sums one task adds up at a time.
 FAN = 4096
 
-_own_dir: str | None = None
-
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,27 +32,6 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where none is set and all is local, as in tests."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="collegium-")
-    return f"file://{_own_dir}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that a task holds a few texts as Python objects at a time."""
     for batch in batches:
@@ -92,7 +70,7 @@ _made: list[list[tuple[str, str | None]]] = []
 
 
 def keep(spark: SparkSession, path: str, table: str | None = None) -> None:
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     if _made:
         _made[-1].append((path, table))
 
@@ -104,10 +82,14 @@ def scope(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]:
     try:
         yield _made[-1]
     finally:
-        for path, table in _made.pop():
-            if table:
-                spark.sql(f"DROP TABLE IF EXISTS {table}")
-            _delete(spark, path)
+        for made in _made.pop():
+            discard(spark, *made)
+
+
+def discard(spark: SparkSession, path: str, table: str | None = None) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    delete(spark, path)
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str, fan: int = FAN) -> DataFrame:
