@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from collegium.llm.audit import filter_audit
+from collegium.llm.clustering import CENTROIDS, ROUNDS, cluster
 from collegium.llm.common import read_documents, read_labels
 from collegium.llm.exact_dedup import exact_dedup
 from collegium.llm.fingerprints import document_fingerprints
@@ -14,7 +16,9 @@ from collegium.llm.quality import fit_quality, score_quality
 from collegium.llm.simhash import near_dedup
 from collegium.llm.suffix_dedup import suffix_report
 from collegium.llm.token_files import token_report
+from collegium.llm.topk import top_scores
 from collegium.llm.toxicity import fit_toxicity, score_toxicity
+from collegium.llm.vectors import read_embeddings
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -143,3 +147,97 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each document that a recurring string of 400 bytes covers."""
     return suffix_report(read_documents(spark, sf_dir))
+
+
+@_query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after five rounds; cluster() says what odd rows give."""
+    return cluster(read_embeddings(spark, sf_dir))
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """The rounds of clustering, one after the other: a<i> assigns, c<i + 1> are the centroids that follow."""
+    out = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM kept QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        out.append(f"""
+d{i} AS (
+  SELECT k.vec_id, k.v, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM kept k, c{i} c),
+a{i} AS MATERIALIZED (SELECT vec_id, v, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) = 1)""")
+        if i < rounds:
+            out.append(f"""
+m{i} AS (
+  SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(0, 64)) AS j FROM a{i}) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v
+  FROM c{i} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM m{i} GROUP BY c) m ON m.c = c.c)""")
+    return ",".join(out)
+
+
+ORACLE_SQL["op11_centroid_clustering"] = f"""
+WITH {_rounds(CENTROIDS, ROUNDS)}
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.c = a.c
+"""
+
+
+@_query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove by source, order and step; filter_audit() says what odd rows give."""
+    return filter_audit(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), m AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (SELECT filter_order, step, substring(filter_order, step, 1) AS own, substring(filter_order, 1, step - 1) AS earlier FROM o, unnest(range(1, 6)) AS i(step)),
+r AS (
+  SELECT m.part, s.filter_order, s.step, m.n, m.good, m.toxic, contains(m.fails, s.own) AS failing, length(translate(m.fails, s.earlier, '')) < length(m.fails) AS gone, m.fails = s.own AS only_this
+  FROM m, s
+), h AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, substring(any_value(filter_order), CAST(step AS INTEGER), 1) AS own,
+         CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (only_this), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM h
+"""
+
+
+@_query
+def op13_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of each twentieth vector by inner product; top_scores() says what odd rows give."""
+    return top_scores(read_embeddings(spark, sf_dir))
+
+
+ORACLE_SQL["op13_top_scores"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.r <> q.r WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM p WINDOW best AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) QUALIFY rank <= 20
+"""
