@@ -65,7 +65,7 @@ def _routed(points: np.ndarray):
     return run
 
 
-def bulk_load(vectors: np.ndarray, parent: np.ndarray, size: int = PAGE) -> list[tuple[int, float, float, np.ndarray, np.ndarray]]:
+def bulk_load(vectors: np.ndarray, parent: np.ndarray, size: int) -> list[tuple[int, float, float, np.ndarray, np.ndarray]]:
     """Pages of at most `size` entries: (entry at the centre, radius, distance to the parent, entries, their distances).
 
     Entries evenly spread by their distance to the parent are centres; each entry goes to the nearest, and a page that
@@ -87,7 +87,7 @@ def bulk_load(vectors: np.ndarray, parent: np.ndarray, size: int = PAGE) -> list
     return pages
 
 
-def _tree(points: np.ndarray):
+def _tree(points: np.ndarray, page: int):
     def run(table: pa.Table) -> pa.Table:
         dims = points.shape[1]
         batch = table.combine_chunks()
@@ -95,7 +95,7 @@ def _tree(points: np.ndarray):
         vectors = vectors_of(batch.column("vector").combine_chunks(), dims)
         rows, ids = batch.column("row").combine_chunks(), batch.column("id").combine_chunks()
         out = {name: [] for name in (x.split()[0] for x in PAGES.split(", "))}
-        for i, (centre, radius, to_parent, own, far) in enumerate(bulk_load(vectors, points[route])):
+        for i, (centre, radius, to_parent, own, far) in enumerate(bulk_load(vectors, points[route], page)):
             took = pa.array(own)
             for name, value in zip(out, (route, tree, i, vectors[centre], radius, to_parent, rows.take(took).to_numpy(), ids.take(took).to_pylist(), far, vectors[own].ravel())):
                 out[name].append(value)
@@ -230,9 +230,9 @@ def _answers(pages: DataFrame, asked: DataFrame, points: np.ndarray, k: int) ->
     return met.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(points, k), FOUND)
 
 
-def routing_objects(rows: DataFrame, n: int, dims: int) -> np.ndarray:
-    """Distinct vectors, one for about ROUTED rows and ROUTES at most, from a sample of some more by their hash."""
-    wanted = min(ROUTES, max(1, n // ROUTED))
+def routing_objects(rows: DataFrame, n: int, dims: int, each: int = ROUTED) -> np.ndarray:
+    """Distinct vectors, one for about `each` rows and ROUTES at most, from a sample of some more by their hash."""
+    wanted = min(ROUTES, max(1, n // each))
     tag = F.xxhash64("vector")
     share = max(1, n // (32 * wanted))
     found = rows.where(F.pmod(tag, F.lit(share)) == 0).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(wanted)
@@ -240,7 +240,7 @@ def routing_objects(rows: DataFrame, n: int, dims: int) -> np.ndarray:
     return np.concatenate([whole(b.column("vector"), SCALE, dims) for b in batches]) if batches else np.zeros((1, dims), np.int64)
 
 
-def top_scores(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
+def top_scores(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, page: int = PAGE, tree: int = TREE, block: int = BLOCK, each: int = ROUTED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best other rows.
 
     The score is the inner product of components floor(64 x); ties go to the smaller id, a null id last. Vectors that
@@ -250,22 +250,22 @@ def top_scores(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     long can't hold is an error.
 
     Exact, and all rows are indexed: each goes under the nearest of a bounded number of routing objects and, by hash,
-    into a tree of about TREE rows there, so a vector that many rows share is spread over trees. A query asks one tree
+    into a tree of about `tree` rows there, so a vector that many rows share is spread over trees. A query asks one tree
     first; its k-th score keeps it from trees whose balls can't reach it. On vectors without clusters hardly any tree
     is spared, and the work is that of all queries against all rows, in blocks.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(finite(F.col("vector")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims"), F.count_if(F.col("id") % every == 0).alias("asked")).head()
-    dims, blocks = max(1, size.dims or 1), max(1, -(-size.asked // BLOCK))
-    points = routing_objects(rows, size.n, dims)
+    dims, blocks = max(1, size.dims or 1), max(1, -(-size.asked // block))
+    points = routing_objects(rows, size.n, dims, each)
     routed = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_routed(points), "row long, id long, route int, far double, vector array<long>")
     routed = materialise(routed, "routed")
     radii, trees = np.zeros(len(points)), np.zeros(len(points), np.int64)
     for r in routed.groupBy("route").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row for each routing object
-        radii[r.route], trees[r.route] = r.far, -(-r.n // TREE)
+        radii[r.route], trees[r.route] = r.far, -(-r.n // tree)
     count = F.element_at(F.array(*[F.lit(int(x)) for x in trees]), F.col("route") + 1)
     placed = routed.withColumn("tree", F.pmod(F.xxhash64("row"), F.greatest(count, F.lit(1))).cast("int"))
-    pages = materialise(placed.groupBy("route", "tree").applyInArrow(_tree(points), PAGES), "pages")
+    pages = materialise(placed.groupBy("route", "tree").applyInArrow(_tree(points, page), PAGES), "pages")
     queries = routed.where(F.col("id") % every == 0).select("row", "id", "vector")
     ask = lambda q, first: q.mapInArrow(_asked(points, radii, trees, blocks, first), ASKED)
     home = materialise(_answers(pages, ask(queries.withColumn("least", F.lit(None).cast("long")), True), points, k), "home")
