@@ -8,57 +8,102 @@ from pyspark.sql import functions as F
 from collegium.functions import timetables as H
 from collegium.operators import syllabi as Y
 from collegium.plans import sql as S
+from collegium.plans.printed import column, one_of, said, unnested
 from collegium.registry import query
 from collegium.sources import tables as T
 
-DOCS = """
-courses AS (SELECT s_suppkey AS doc, k, 'BCS' || lpad((s_suppkey * 2 + k)::VARCHAR, 3, '0') AS code, s_nationkey % 12 AS credits, 1 + s_suppkey % 8 AS semester, s_suppkey % 3 AS form FROM supplier, unnest([0, 1]) AS x(k) WHERE s_suppkey < 490)"""
+CODE = "'BCS' || lpad(CAST((doc * 2 + k) % 1000 AS STRING), 3, '0')"
+SEMESTER = "1 + doc % 8"
+ROMAN = one_of("doc", *[said(r) for r in Y.ROMAN])
+NUMBER = "CAST(k AS STRING)"
+#: The lines of a course in five layouts: labels with values, a title before the semester, a title under its label, one
+#: over it after a stamp, and a laboratory without modules.
+LINES = [one_of("doc", *forms) for forms in [
+    (f"'Course Title: Graph Theory ' || {NUMBER}", f"'Algebra of Sets Semester - ' || CAST({SEMESTER} AS STRING)", said("Course Title"), said("16-2-2023"), f"'Course Title : Lab ' || {NUMBER}"),
+    (said("Choice based system"), said("Choice based system"), f"'Operating Systems ' || {NUMBER}", f"{ROMAN} || ' Semester'", said("page 1")),
+    (f"'Course Code: ' || lower({CODE}) || ' CIE Marks 50'", said("Course Code"), f"'Course Code: ' || {CODE}", f"'Optics and Waves ' || {NUMBER}", f"'Course Code ' || {CODE} || ' SEE Marks 999'"),
+    (f"{ROMAN} || ' Semester'", f"{CODE} || '/205'", f"'Semester ' || {ROMAN}", said("Course Title:"), f"{ROMAN} || ' Semester'"),
+    (said("Teaching Hours/Week (L:T:P) 3:0 : 2 SEE Marks 50"), said("SEE Marks 50"), said("Course Code is repeated here"), f"'Course Code: ' || {CODE}", said("Teaching Hours 0:0:2")),
+    (f"'Total Marks 100 Credits ' || CAST(nation % 12 AS STRING)", said("Total Marks 100 Credits 04"), said("CIE Marks none, CIE Marks 40"), said("Credits 3"), said("Credits 01 Exam Hours 100")),
+    (said("Course objectives:"), said("Course objectives"), said("Course Objectives: CO"), said("Teaching-Learning Process"), said("Sl. NO Experiments")),
+    (said("Know what a graph is and is not"), said("short"), said("Explain processes and threads"), said("no objective at all"), said("Total Marks 30")),
+    (said("short"), said("Know sets, relations and functions"), said("Use locks without a deadlock"), said("Module-1 (8 Hours)"), said("Course outcome")),
+    (said("Module-1: Paths (8 Hours)"), said("Module 1 No. of Hours: 9"), said("Course outcomes"), said("Laser and Optical Fibers:"), said("CO1 Build and test circuits")),
+    (said("Walks: open and closed ones"), said("Sets, Relations, Functions: prose with commas"), said("1) CO 1 Explain what systems are"), said("LASER : Characteristic properties of a beam"), said("CO2 no")),
+    (said("walks: again"), said("SETS, MAPS: set in capitals"), said("Module 1"), said("Fiber Losses, Applications: networks"), "CAST(NULL AS STRING)"),
+    (said("Euler and Hamilton"), said("Vol. 2: has a stop"), said("10 Hrs on processes"), said("Optical fibers: kinds"), said("CO 3 Write a report of each")),
+    (said("Module 2"), said("Module-0 none"), said("Paging:  of memory"), said("LASER: once more"), said("Web links: none")),
+    (said("Note: no topic"), said("Ghost: a topic of none"), said("Text Books: none"), said("Module-2: Waves"), said("Marks: 30")),
+    (said("Colouring:"), said("Reference Books"), said("Late: after the end"), said("A requisite that goes on for more than fifty characters: prose"), said("Unit: none")),
+    (said("CO2 Explain what colours are"), said("Lost: after the end"), said("Module 2: Files 4 Hours"), said("Superposition:"), "CAST(NULL AS STRING)"),
+]]
+
+DOCS = f"""
+courses AS (SELECT s_suppkey AS doc, k, s_nationkey AS nation FROM supplier, unnest([0, 1]) AS x(k)),
+printed AS (SELECT doc, k, {unnested(LINES)} FROM courses),
+lines AS (SELECT doc, k, line, text FROM printed WHERE text IS NOT NULL),
+ends AS (SELECT doc, k, min(line) AS body FROM lines WHERE regexp_matches(text, '(?i)^(course\\s*objectives?|teaching[-\\s]*learning|sl\\.|course\\s*outcome|module)') GROUP BY doc, k),
+header AS (SELECT l.*, lag(text) OVER w AS above, lead(text) OVER w AS below FROM lines l JOIN ends USING (doc, k) WHERE line < body WINDOW w AS (PARTITION BY doc, k ORDER BY line)),
+fields AS (
+  SELECT doc, k, upper(coalesce(min(CASE WHEN text ILIKE '%course code%BCS%' THEN regexp_extract(text, '(?i)BCS\\d+') END), min(CASE WHEN text = 'Course Code' THEN below[:6] END))) AS code,
+    coalesce(min(CASE WHEN regexp_matches(text, '^Course Title ?: ?[A-Z]') THEN trim(split_part(text, ':', 2)) END), min(CASE WHEN regexp_matches(text, '^Course Title:?$') THEN CASE WHEN starts_with(below, 'Course') THEN above ELSE below END END), min(CASE WHEN text LIKE '% Semester - %' THEN split_part(text, ' Semester', 1) END)) AS title,
+    min(CASE WHEN text ILIKE '%semester%' THEN coalesce(TRY_CAST(regexp_extract(text, '\\d') AS INTEGER), list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII'], trim(replace(text, 'Semester', '')))) END) AS semester,
+    min(TRY_CAST(regexp_extract(text, 'Credits? (\\d+)', 1) AS INTEGER)) AS credits, min(TRY_CAST(regexp_extract(text, 'CIE Marks\\D*(\\d+)', 1) AS INTEGER)) AS cie_marks, min(TRY_CAST(regexp_extract(text, 'SEE Marks (\\d+)', 1) AS INTEGER)) AS see_marks,
+    min(TRY_CAST(regexp_extract(text, 'Exam Hours (\\d+)', 1) AS INTEGER)) AS exam_hours, min(nullif(replace(regexp_extract(text, 'Teaching Hours.*(\\d:\\d ?: ?\\d)', 1), ' ', ''), '')) AS teaching_hours
+  FROM header GROUP BY doc, k),
+goals AS (
+  SELECT doc, k, string_agg(text, '; ' ORDER BY line) FILTER (WHERE regexp_matches(text, '^(1\\) )?CO ?\\d .{{6}}')) AS outcomes,
+    CAST(count(*) FILTER (WHERE line > (SELECT min(line) FROM lines o WHERE o.doc = l.doc AND o.k = l.k AND o.text ILIKE 'course objectives%') AND line < (SELECT min(line) FROM lines o WHERE o.doc = l.doc AND o.k = l.k AND regexp_matches(o.text, '^(Course outcome|Module)')) AND len(text) > 12) AS INTEGER) AS objectives
+  FROM lines l GROUP BY doc, k),
+moduled AS (
+  SELECT doc, k, line, text, count(*) FILTER (WHERE text LIKE 'Module%') OVER w AS m, line - max(CASE WHEN text LIKE 'Module%' THEN line END) OVER w AS place FROM lines WINDOW w AS (PARTITION BY doc, k ORDER BY line)),
+bodies AS (
+  SELECT * FROM moduled x WHERE m > 0 AND NOT EXISTS (SELECT 1 FROM moduled e WHERE e.doc = x.doc AND e.k = x.k AND e.m = x.m AND e.line <= x.line AND regexp_matches(e.text, '^(Course outcome|Text Books|Reference Books|Web link)'))),
+heads AS (
+  SELECT doc, k, m, regexp_extract(text, '\\d') AS number, regexp_extract(regexp_replace(text, '^Module.\\d', ''), '(\\d+) Hours', 1) || regexp_extract(text, 'Hours: (\\d+)', 1) AS hours,
+    trim(regexp_replace(regexp_replace(text, '^Module.\\d', ''), '\\(?(\\d+ Hours|No. of Hours: \\d+)\\)?', ''), ': ') AS title
+  FROM bodies WHERE place = 0),
+topics AS (
+  SELECT *, title = '' AND place = 1 AND regexp_matches(text, '^[A-Za-z][^:]*:$') AS is_title, CASE WHEN regexp_matches(text, '^[A-Za-z][^:;!?.]{{2,46}}\\s*:') AND NOT regexp_matches(text, '(?i)^(note|web|text|marks|unit)') AND (NOT contains(split_part(text, ':', 1), ',') OR split_part(text, ':', 1) = upper(split_part(text, ':', 1))) THEN trim(split_part(text, ':', 1)) END AS topic
+  FROM bodies JOIN heads USING (doc, k, m) WHERE place > 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc, k, m, lower(topic) ORDER BY line) AS turn FROM topics WHERE topic IS NOT NULL AND NOT is_title),
+named AS (
+  SELECT h.doc, h.k, h.m, h.number, CASE WHEN h.title <> '' THEN h.title ELSE (SELECT min(trim(text, ': ')) FROM topics t WHERE t.doc = h.doc AND t.k = h.k AND t.m = h.m AND is_title) END AS title,
+    coalesce(nullif(h.hours, ''), (SELECT min(nullif(regexp_extract(text, '^(\\d+) Hrs', 1), '')) FROM topics t WHERE t.doc = h.doc AND t.k = h.k AND t.m = h.m AND place = 1)) AS hours,
+    (SELECT string_agg(topic, ',' ORDER BY line) FROM once t WHERE t.doc = h.doc AND t.k = h.k AND t.m = h.m AND turn = 1) AS topics,
+    coalesce((SELECT string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY line) FROM topics t WHERE t.doc = h.doc AND t.k = h.k AND t.m = h.m), '') AS content
+  FROM heads h WHERE number <> '0')"""
 
 
 def planted(spark, sf_dir) -> DataFrame:
-    """Two courses for each document, each on a page of its own, in three forms of header."""
-    key = F.col("s_suppkey")
-    rows = T.table(spark, sf_dir, "supplier").where(key < 490).select(key.alias("doc"), F.col("s_nationkey").alias("nation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    d, k = F.col("doc"), F.col("k")
-    code = F.concat(F.lit("BCS"), F.lpad((d * 2 + k).cast("string"), 3, "0"))
-    roman = F.element_at(F.array(*[F.lit(r) for r in Y.ROMAN]), (1 + d % 8).cast("int"))
-    form = d % 3
-    lines = F.array(
-        F.when(form == 0, F.concat(F.lit("Course Title: Graph Theory "), k.cast("string"))).when(form == 1, F.concat(F.lit("Algebra of Sets Semester - "), (1 + d % 8).cast("string"))).otherwise("Course Title"),
-        F.when(form == 2, F.concat(F.lit("Operating Systems "), k.cast("string"))).otherwise("Choice based system"),
-        F.when(form == 1, "Course Code").otherwise(F.concat(F.lit("Course Code: "), F.lower(code), F.lit(" CIE Marks 50"))),
-        F.when(form == 1, F.concat(code, F.lit("/205"))).otherwise(F.concat(roman, F.lit(" Semester"))),
-        F.lit("Teaching Hours/Week (L:T:P) 3:0 : 2 SEE Marks 50"),
-        F.concat(F.lit("Total Marks 100 Credits "), (F.col("nation") % 12).cast("string")),
-        F.lit("Exam Hours 9"),
-        F.lit("Course objectives:"),
-        F.lit("Know what a graph is and is not"),
-        F.lit("short"),
-        F.concat(F.lit("Module-1: Paths (8 Hours)")),
-        F.lit("Walks, paths and circuits"),
-        F.lit("Euler and Hamilton"),
-        F.lit("Module 2"),
-        F.lit("10 Hrs on colouring"),
-        F.lit("Text Books: none"),
-        F.lit("not a part of it"),
-        F.lit("1) CO 1 Explain what graphs are"),
-        F.lit("CO2 no"),
-    )
-    rows = rows.select("doc", (1 + k).alias("page"), F.posexplode(lines).alias("line", "text"))
-    return rows
-
-
-@query("syllabus_courses", S.with_(DOCS, query="""
-SELECT doc, code, CASE form WHEN 0 THEN 'Graph Theory ' || k WHEN 1 THEN 'Algebra of Sets' ELSE 'Operating Systems ' || k END AS title, CAST(semester AS INTEGER) AS semester, credits, CASE WHEN credits > 10 THEN 'ambiguous' ELSE 'resolved' END AS credits_state,
-  CAST(CASE WHEN form <> 1 THEN 50 END AS INTEGER) AS cie_marks, 50 AS see_marks, 100 AS total_marks, 'ambiguous' AS exam_hours_state, '3:0:2' AS teaching_hours, 1 AS objectives, 'CO1 Explain what graphs are' AS outcomes, '1 Paths 8 Walks, paths and circuits Euler and Hamilton; 2 - 10 10 Hrs on colouring' AS modules FROM courses"""))
+    """Two courses for each document, each on a page of its own (the first modules of one layout on the page after it)."""
+    rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), F.col("s_nationkey").alias("nation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    rows = rows.select("doc", "k", F.posexplode(F.array(*[column(x) for x in LINES])).alias("line", "text"))
+    later = ((F.col("doc") % 5 == 3) & (F.col("line") >= 8)).cast("int")
+    return rows.select("doc", (1 + 2 * F.col("k") + later).alias("page"), "line", "text")
+
+
+def state(name: str, low: int, high: int) -> str:
+    return f"CASE WHEN {name} IS NULL THEN 'unavailable' WHEN {name} BETWEEN {low} AND {high} THEN 'resolved' ELSE 'ambiguous' END AS {name}_state"
+
+
+@query("syllabus_courses", S.with_(DOCS, query=f"""
+SELECT doc, code, title, CAST(semester AS INTEGER) AS semester, credits, {state('credits', 0, 10)}, cie_marks, see_marks, {state('see_marks', 0, 200)}, {state('exam_hours', 1, 6)}, teaching_hours, objectives, coalesce(replace(replace(outcomes, '1) ', ''), 'CO ', 'CO'), '') AS outcomes FROM fields JOIN goals USING (doc, k)"""))
 def syllabus_courses(spark, sf_dir):
-    """Courses of syllabi: fields with how sure they are, teaching hours, objectives, outcomes and modules."""
+    """Courses of syllabi in five layouts: fields with how sure they are, teaching hours, objectives and outcomes."""
     found = Y.syllabus_courses(planted(spark, sf_dir))
-    shown = F.transform("modules", lambda m: F.concat_ws(" ", m["number"].cast("string"), F.coalesce(m["title"], F.lit("-")), m["hours"].cast("string"), m["content"]))
-    return found.select("doc", "code", "title", "semester", "credits", "credits_state", "cie_marks", "see_marks", "total_marks", "exam_hours_state", "teaching_hours", "objectives", F.array_join("outcomes", "; ").alias("outcomes"), F.array_join(shown, "; ").alias("modules"))
+    return found.select("doc", "code", "title", "semester", "credits", "credits_state", "cie_marks", "see_marks", "see_marks_state", "exam_hours_state", "teaching_hours", F.size("objectives").alias("objectives"), F.array_join("outcomes", "; ").alias("outcomes"))
+
+
+@query("syllabus_printed_modules", S.with_(DOCS, query="""
+SELECT doc, code, CAST(number AS INTEGER) AS number, n.title, CAST(hours AS INTEGER) AS hours, content, coalesce(topics, '') AS topics FROM named n JOIN fields USING (doc, k)"""))
+def syllabus_printed_modules(spark, sf_dir):
+    """Modules of syllabi with titles (of their own or promoted from a heading that stands alone), hours, text and topics."""
+    found = Y.syllabus_courses(planted(spark, sf_dir)).select("doc", "code", F.inline("modules"))
+    return found.select("doc", "code", "number", "title", "hours", "content", F.array_join("topics", ",").alias("topics"))
 
 
-@query("syllabus_blocks", "SELECT doc, count(*) AS blocks FROM (SELECT s_suppkey AS doc, unnest([0, 1]) FROM supplier WHERE s_suppkey < 490) GROUP BY doc")
+@query("syllabus_blocks", S.with_(DOCS, query="SELECT doc, count(DISTINCT k) AS blocks FROM lines WHERE text ILIKE '%course code%' GROUP BY doc"))
 def syllabus_blocks(spark, sf_dir):
     """Blocks of a document, one for each labelled code that does not follow another too closely."""
     return Y.syllabus_courses(planted(spark, sf_dir)).groupBy("doc").agg(F.count(F.lit(1)).alias("blocks"))
