@@ -26,7 +26,7 @@ CALENDAR_CATEGORIES = [
     ("ACADEMIC_PERIOD", r"\b(teaching|instructions?|internal assessments?|tests?)\b"),
 ]
 SESSION = r"(?i)(\d{1,2})[.:](\d{2})\s*(am|pm)?\s*(?:to|–|-|—)\s*(\d{1,2})[.:](\d{2})\s*(am|pm)"
-SLOT = r"(?i)(\d{1,2})[:.](\d{2})\s*(a\.?m\.?|p\.?m\.?)?\s*(?:-|–|—|to)\s*(\d{1,2})[:.](\d{2})\s*(a\.?m\.?|p\.?m\.?)?"
+SLOT = r"(?i)(\d{1,2})[:.](\d{2})\s*(a\.?m\.?|p\.?m\.?)?\s*(?:[-–—]|to)\s*(\d{1,2})[:.](\d{2})\s*(a\.?m\.?|p\.?m\.?)?"
 PROGRAMMES = {"csbs": "Computer Science & Business System"}
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 

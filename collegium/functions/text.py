@@ -109,7 +109,8 @@ def all_words_in(query: str, *columns: Column) -> Column:
 
 # Roman figures of semesters, and the course codes that examinations print.
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII"]
-EXAM_CODE = r"(1?B[A-Z]{2,7}\d{3}[A-Za-z]?|\d{2}[A-Z]{2,6}\d{2,3}[A-Za-z]?)"
+EXAM_CODE = r"1?B[A-Z]{2,7}\d{3}[A-Za-z]?"
+LEGACY_CODE = r"\d{2}[A-Z]{2,6}\d{2,3}[A-Za-z]?"
 WILDCARD_CODE = r"[0-9A-Z]*\*+[0-9A-Z*]*"
 
 
@@ -127,7 +128,34 @@ def semester_of(text: Column) -> Column:
     return F.coalesce(arabic, F.nullif(roman, F.lit(0)).cast("int"))
 
 
+def exam_codes(cell: Column) -> Column:
+    """The parts of a cell about slashes, without blank ones."""
+    return F.filter(F.transform(F.split(cell, "/"), lambda part: F.trim(F.regexp_replace(part, r"\s+", " "))), lambda part: part != "")
+
+
 def exam_cell_kind(cell: Column) -> Column:
-    """code, alternatives (codes about slashes), pattern (with wildcards, never expanded) or other."""
-    printed = F.trim(cell)
-    return F.when(printed.rlike(f"^{EXAM_CODE}$"), "code").when(printed.rlike(rf"^{EXAM_CODE}(\s*/\s*{EXAM_CODE})+$"), "alternatives").when(printed.rlike(f"^{WILDCARD_CODE}$"), "pattern").otherwise("other")
+    """pattern (with wildcards in any part, never expanded), code, alternatives (codes about slashes) or other."""
+    parts = exam_codes(cell)
+    coded = lambda part: part.rlike(f"^{EXAM_CODE}$") | part.rlike(f"^{LEGACY_CODE}$")
+    return F.when(F.exists(parts, lambda part: part.rlike(f"^{WILDCARD_CODE}$")), "pattern").when((F.size(parts) == 0) | ~F.forall(parts, coded), "other").when(F.size(parts) > 1, "alternatives").otherwise("code")
+
+
+# Joining words that initials may leave out.
+JOINING = ["of", "and", "the", "for", "in", "to", "with", "a", "an", "&"]
+
+
+def initialisms(title: Column) -> Column:
+    """What a title can be shortened to: an array of two to four names in capitals.
+
+    A word gives its first letter, a word in capitals all of it, a word with hyphens each part. Joining words count in
+    one name and not in another, and words in brackets likewise. A single letter is no name.
+    """
+
+    def names(text: Column) -> list[Column]:
+        words = F.filter(F.split(F.regexp_replace(text, "[^A-Za-z0-9&-]+", "-"), "-"), lambda w: w != "")
+        short = lambda w: F.when((F.length(w) > 1) & (w == F.upper(w)), w).otherwise(F.substring(w, 1, 1))
+        kept = F.filter(words, lambda w: ~F.lower(w).isin(JOINING))
+        return [F.upper(F.array_join(F.transform(x, short), "")) for x in (kept, words)]
+
+    found = names(title) + names(F.regexp_replace(title, r"\([^)]*\)", " "))
+    return F.array_distinct(F.filter(F.array(*found), lambda name: F.length(name) >= 2))

@@ -1,46 +1,109 @@
-"""Parsers of positioned text and of printed lines.
+"""Parsers of positioned text and of printed lines, as expressions on Columns.
 
-Grouping text runs into lines compares each run with the first of its line, which no window can express, so it is a
-pandas function over the runs of one page; all that follows is expressions on Columns.
+A document or a page is a group while its runs are dealt to rows, so its size is bounded by what is printed.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINES = "doc long, page int, line int, text string, y double, runs int"
+#: Pages of a document lie so far below each other.
+PAGE_DOWN = 10_000.0
+#: The height of a group without any.
+USUAL_HEIGHT = 10.0
+# Shares of the median height within which runs are level, between which a space is printed, and by which
+# a run may stand beside the column it continues.
+LEVEL, SPACE, BESIDE = 0.5, 0.18, 0.5
 
 
 def median_height(heights: pd.Series) -> float:
     """The upper middle of the positive heights, 10 if there is none."""
     known = sorted(h for h in heights if h > 0)
-    return known[len(known) // 2] if known else 10.0
-
-
-def _page_lines(runs: pd.DataFrame) -> pd.DataFrame:
-    """Runs of one page as lines: a run joins the line whose first run is within half a median height of it."""
-    runs = runs.sort_values(["y", "x", "text"], ascending=[False, True, True], kind="stable")
-    near = 0.5 * median_height(runs["height"])
-    lines: list[list] = []
-    for y, x, width, text in zip(runs["y"], runs["x"], runs["width"], runs["text"]):
-        if not lines or lines[-1][0] - y > near:
-            lines.append([y, []])
-        lines[-1][1].append((x, width, text))
-    rows = []
-    for number, (y, parts) in enumerate(lines):
-        out, end = "", None
-        for x, width, text in sorted(parts):
-            out += ("" if end is None or x - end < 0.25 * near else " ") + text
-            end = x + width
-        rows.append((int(runs["doc"].iloc[0]), int(runs["page"].iloc[0]), number, " ".join(out.split()), float(y), len(parts)))
-    return pd.DataFrame(rows, columns=["doc", "page", "line", "text", "y", "runs"])
+    return known[len(known) // 2] if known else USUAL_HEIGHT
+
+
+def upper_median(values: Column) -> Column:
+    """Aggregate: the upper middle of the values, null without any."""
+    found = F.sort_array(F.collect_list(values))
+    return F.get(found, F.floor(F.size(found) / 2).cast("int"))
+
+
+def with_rows(runs: DataFrame, by: list[str], share: float, level: str = "y") -> DataFrame:
+    """runs with `row` (from 0, from the top) and `high`, the median height: a run joins the row whose first run it is
+    level with, within a share of the height.
+
+    Rows begin at the levels that lie farther than that below the row before, found in one pass over a group's levels.
+    """
+    heights = F.coalesce(upper_median(F.when(F.col("height") > 0, F.col("height"))), F.lit(USUAL_HEIGHT))
+    groups = runs.groupBy(*by).agg(heights.alias("high"), F.sort_array(F.collect_set(level), asc=False).alias("levels"))
+    far = lambda tops, y: (F.size(tops) == 0) | (F.element_at(tops, -1) - y > share * F.col("high"))
+    tops = F.aggregate("levels", F.array().cast("array<double>"), lambda tops, y: F.when(far(tops, y), F.concat(tops, F.array(y))).otherwise(tops))
+    groups = groups.select(*by, "high", tops.alias("tops"))
+    own = F.size(F.filter("tops", lambda top: top >= F.col(level))) - 1
+    return runs.join(groups, by).withColumn("row", own).drop("tops")
+
+
+def spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def joined(*order: str, text: str = "text", where: Column | None = None) -> Column:
+    """Aggregate: the texts in an order of columns, with one space between words."""
+    item = F.struct(*order, F.col(text).alias("_text"))
+    items = F.sort_array(F.collect_list(item if where is None else F.when(where, item)))
+    return spaced(F.array_join(F.transform(items, lambda x: x["_text"]), " "))
 
 
 def lines_of_runs(runs: DataFrame) -> DataFrame:
-    """runs(doc, page, text, x, y, width, height) as lines; a page is a group, so its size is bounded by a sheet."""
-    return runs.groupBy("doc", "page").applyInPandas(_page_lines, LINES)
+    """runs(doc, page, text, x, y, width, height) as lines: doc, page, line, text, y, runs.
+
+    A cell that is too long goes on in a row of its own below, with nothing in the first column: such rows belong to
+    the line above (see continued()). Runs of a line follow each other by place, then downwards; a space divides those
+    that stand apart or were printed in different rows. Blank runs are none.
+    """
+    rows = with_rows(runs.where(F.trim("text") != ""), ["doc", "page"], LEVEL)
+    rows = rows.join(continued(rows), ["doc", "page", "row"])
+    line = ["doc", "page", "head"]
+    high = rows.groupBy(*line).agg(F.coalesce(upper_median(F.when(F.col("height") > 0, F.col("height"))), F.lit(USUAL_HEIGHT)).alias("line_high"))
+    rows = rows.join(high, line)
+    across = W.partitionBy(*line).orderBy("x", F.desc("y"), "text")
+    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(across)
+    apart = (gap > SPACE * F.col("line_high")) | (F.abs(F.col("y") - F.lag("y").over(across)) > LEVEL * F.col("high"))
+    rows = rows.withColumn("piece", F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text"))).withColumn("turn", F.row_number().over(across))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("turn", "piece"))), lambda c: c["piece"])
+    lines = rows.groupBy(*line).agg(F.trim(F.array_join(pieces, "")).alias("text"), F.max("y").alias("y"), F.count(F.lit(1)).cast("int").alias("runs"))
+    number = F.row_number().over(W.partitionBy("doc", "page").orderBy("head")) - 1
+    return lines.select("doc", "page", number.alias("line"), "text", "y", "runs")
+
+
+def continued(rows: DataFrame) -> DataFrame:
+    """doc, page, row, head: the row that each row of runs belongs to, itself unless it is the rest of a wrapped one.
+
+    A row is the rest of the line above if its first run stands beside that line's first one, and all its runs stand
+    in columns that the line already uses, give or take a share of its height. Rows of a page are taken in order, as
+    each widens what the next may stand under.
+    """
+    cells = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "height")))
+    lines = rows.groupBy("doc", "page", "row").agg(cells.alias("cells"))
+    pages = lines.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("lines"))
+    line = "struct<head:int,cells:array<struct<down:double,x:double,height:double>>,heads:array<int>>"
+
+    def step(above: Column, row: Column) -> Column:
+        heights = F.sort_array(F.transform(F.filter(above["cells"], lambda c: c["height"] > 0), lambda c: c["height"]))
+        slack = BESIDE * F.coalesce(F.get(heights, F.floor(F.size(heights) / 2).cast("int")), F.lit(USUAL_HEIGHT))
+        beside = F.abs(F.get(row["cells"], F.lit(0))["x"] - F.get(above["cells"], F.lit(0))["x"]) > slack
+        held = F.forall(row["cells"], lambda c: F.exists(above["cells"], lambda o: F.abs(c["x"] - o["x"]) <= slack))
+        rest = F.coalesce(beside & held, F.lit(False))
+        head = F.when(rest, above["head"]).otherwise(row["row"])
+        return F.struct(head.alias("head"), F.when(rest, F.concat(above["cells"], row["cells"])).otherwise(row["cells"]).alias("cells"), F.concat(above["heads"], F.array(head)).alias("heads"))
+
+    none = F.struct(F.lit(None).cast("int").alias("head"), F.array().alias("cells"), F.array().alias("heads")).cast(line)
+    found = pages.select("doc", "page", "lines", F.aggregate("lines", none, step, lambda x: x["heads"]).alias("heads"))
+    found = found.select("doc", "page", F.inline(F.arrays_zip(F.transform("lines", lambda x: x["row"]).alias("row"), F.col("heads").alias("head"))))
+    return found.toDF("doc", "page", "row", "head")
 
 
 def words_to_runs(words: DataFrame) -> DataFrame:
