@@ -163,13 +163,6 @@ def nearest_slot(cells: DataFrame, slots: DataFrame) -> DataFrame:
     return met.select("doc", "cell", "m.slot", (F.col("m.gap") == 0).alias("inside"))
 
 
-def topics_of(lines: DataFrame) -> DataFrame:
-    """Module lines as ordered topics: split at separators, trimmed, the first of equal ones (in any case) kept."""
-    parts = lines.select("doc", "module", F.posexplode(F.split("text", r"\s*[,;–]\s*|\.\s+")).alias("place", "topic")).where(F.length(F.trim("topic")) > 1)
-    first = parts.groupBy("doc", "module", F.lower(F.trim("topic")).alias("_key")).agg(F.min(F.struct("place", F.trim("topic").alias("topic"))).alias("m"))
-    return first.select("doc", "module", "m.place", "m.topic")
-
-
 def better_reading(readings: DataFrame) -> DataFrame:
     """The reading of each document with most rows, then fewest dropped, then most words; the earlier on ties."""
     order = F.struct("rows", (-F.col("dropped")).alias("kept"), "words", (-F.col("reading")).alias("earlier"))

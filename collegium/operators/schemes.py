@@ -9,9 +9,11 @@ import re
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from collegium.functions.timetables import HEADING_LENGTH, PAGE_SEMESTER, ROMAN, WHOLE_NUMBER
+from collegium.operators.code_cells import joined_codes
 from collegium.operators.documents import median_height
 
 # How schemes print codes, departments and alternatives, and the bounds within which a row is read.
@@ -67,6 +69,13 @@ def codes_in(cell: str) -> list[str]:
     return [f"B{shared[1]}{shared[3]}"] if shared else []
 
 
+def codes_in_cell(cell: Column) -> Column:
+    """The same as codes_in, of a Column: an array."""
+    tight = F.regexp_replace(cell, r"\s+", "")
+    tail = F.concat(F.lit("B"), F.regexp_extract(cell, SHARED_TAIL, 1), F.regexp_extract(cell, SHARED_TAIL, 3))
+    return F.when(tight.rlike(COURSE_CODE), F.array(tight)).when(cell.rlike(COMPOUND_CODES), F.split(cell, "/")).when(cell.rlike(SHARED_TAIL), F.array(tail)).otherwise(F.array().cast("array<string>"))
+
+
 def is_number(cell: Cell) -> bool:
     return bool(re.search(WHOLE_NUMBER, cell.text))
 
@@ -181,5 +190,5 @@ def _rows(frame: pd.DataFrame) -> pd.DataFrame:
 
 def scheme_rows(runs: DataFrame) -> DataFrame:
     """runs(doc, page, text, x, y, width, height) as courses; a code that is none has a reason: no_semester,
-    elective_option, no_credits, no_title or slots_disagree."""
-    return runs.groupBy("doc").applyInPandas(_rows, ROWS)
+    elective_option, no_credits, no_title or slots_disagree. Codes that are printed in pieces are joined first."""
+    return joined_codes(runs).groupBy("doc").applyInPandas(_rows, ROWS)

@@ -59,6 +59,29 @@ def calendar_documents(spark, sf_dir):
     return docs.drop("lines").join(counts, "doc", "left").select("doc", "academic_year", "semester", zero("n_events"), zero("unreadable"))
 
 
+@query("calendar_warnings", S.with_(CALENDARS, query="""
+SELECT doc, warning, CAST(CASE warning WHEN 'unreadable' THEN unreadable ELSE 1 END AS INTEGER) AS n
+FROM (SELECT e.doc, count(*) FILTER (WHERE readable) AS n_events, count(*) FILTER (WHERE NOT readable) AS unreadable, bool_or(dated) AS dated, (SELECT bool_or(line = 1) FROM entries x WHERE x.doc = e.doc) AS second FROM events e GROUP BY e.doc), unnest(['no_semester', 'no_year', 'unreadable']) AS w(warning)
+WHERE CASE warning WHEN 'no_semester' THEN n_events > 0 AND NOT dated AND NOT second WHEN 'no_year' THEN n_events > 0 AND NOT dated ELSE unreadable > 0 END"""))
+def calendar_warnings(spark, sf_dir):
+    """What to know of each calendar before it is used."""
+    return C.calendar_warnings(C.calendar_documents(calendars(spark, sf_dir)))
+
+
+@query("calendar_conflicts", S.with_(CALENDARS, """
+saved AS (SELECT DISTINCT doc, CASE WHEN doc % 3 > 0 THEN doc % 8 END AS semester, CASE WHEN doc % 5 > 0 THEN '2026-27' END AS academic_year, doc * 7 % 100 AS imported FROM entries)""", query="""
+SELECT t.semester, t.academic_year, e.doc, e.title, e.category, o.start AS before, e.start AS after
+FROM (SELECT semester, academic_year, arg_min(doc, imported * 1000000 + doc) AS older, arg_max(doc, imported * 1000000 + doc) AS newer FROM saved GROUP BY semester, academic_year HAVING count(*) > 1) t
+JOIN events e ON e.doc = t.newer JOIN (SELECT doc, category, arg_min(start, line) AS start FROM events GROUP BY doc, category) o ON o.doc = t.older AND o.category = e.category
+WHERE o.start <> e.start AND e.category <> 'OTHER_ACADEMIC'"""))
+def calendar_conflicts(spark, sf_dir):
+    """Events of each term's last calendar that contradict its first one, by category."""
+    docs = C.calendar_documents(calendars(spark, sf_dir))
+    doc = F.col("doc")
+    saved = docs.select("doc", F.when(doc % 3 > 0, doc % 8).alias("semester"), F.when(doc % 5 > 0, "2026-27").alias("academic_year"), (doc * 7 % 100).alias("imported"))
+    return C.calendar_conflicts(saved, C.calendar_lines(docs).select("doc", "line", "title", "category", "start"))
+
+
 #: Phrases that the planted documents are put together from.
 PHRASES = ["University Seat Number", "Provisional Results", "Internal Marks", "Announced / Updated", "Academic  Calendar", "Calendar of Events", "commencement of the class", "last working day", "odd semester", "Monday then Tuesday", "w.e.f.", "10:00 am to 11.00", "lunch", "Scheme of Teaching", "Teaching hours / week", "Course Code", "outcome based education", "Draft Time Table", "Date, Day", "Registrar (Evaluation)", "Answer any five", "Max. Marks", "USN"]
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collegium.operators import documents as P
+from collegium.operators.syllabi import topics_of
 from collegium.plans import sql as S
+from collegium.plans.printed import column, unnested
 from collegium.registry import query
 from collegium.sources import files as Z
 from collegium.sources import tables as T
@@ -139,11 +141,44 @@ def nearest_slots(spark, sf_dir):
     return P.nearest_slot(cells, slots.select("doc", "slot", (F.col("slot") * 100.0).alias("left"), (F.col("slot") * 100.0 + 60).alias("right")))
 
 
-@query("module_topics", "SELECT p_partkey AS doc, 1 AS module, place, topic FROM (SELECT p_partkey, unnest([0, 1, 3]) AS place, unnest([p_name, p_type || ' basics', p_brand]) AS topic FROM part)")
+TOPIC_LINES = ["p_name || ' : of ' || p_type", "p_type || ', ' || p_name || ': prose'", "upper(p_type) || ', ' || upper(p_name) || ': in capitals'", "upper(p_name) || ': again'", "'Vol. ' || p_name || ': a stop'", "'Note: none'", "'See ' || p_brand || '; ' || p_name || ': no heading'", "p_brand || ':'", "'ab: short'", "p_name || p_name || p_name || p_name || p_type || p_name || ': too long'"]
+
+
+@query("module_topics", f"""
+WITH lines AS (SELECT p_partkey AS doc, {unnested(TOPIC_LINES)} FROM part),
+heads AS (SELECT *, trim(split_part(text, ':', 1)) AS topic FROM lines),
+kept AS (
+  SELECT * FROM heads WHERE len(topic) BETWEEN 3 AND 50 AND topic NOT LIKE '%.%' AND topic NOT LIKE '%;%' AND (topic NOT LIKE '%,%' OR topic = upper(topic)) AND regexp_matches(topic, '[A-Za-z]{{3}}') AND NOT starts_with(lower(text), 'note')
+  QUALIFY row_number() OVER (PARTITION BY doc, lower(topic) ORDER BY line) = 1)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY line) AS INTEGER) AS place, topic FROM kept""")
 def module_topics(spark, sf_dir):
-    """Topics of a module in order; of equal ones, in any case, the first stays."""
-    text = F.concat("p_name", F.lit(", "), "p_type", F.lit(" basics; "), F.upper("p_name"), F.lit(" , "), "p_brand")
-    return P.topics_of(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("module"), text.alias("text")))
+    """Topics of a module: headings before a colon, never prose, in order; of equal ones, in any case, the first stays."""
+    lines = F.posexplode(F.array(*[column(x) for x in TOPIC_LINES])).alias("n", "text")
+    return topics_of(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), lines), ["doc"])
+
+
+WRAPS = "SELECT p_partkey AS doc, p_partkey % 4 AS form, p_name, p_type FROM part"
+
+
+@query("wrapped_lines", f"""
+WITH d AS ({WRAPS}),
+lines AS (
+  SELECT doc, 1 AS o, 'CODE' || doc || ' ' || p_name || CASE form WHEN 0 THEN ' ' || p_type || ' C' WHEN 1 THEN ' ' || p_type ELSE '' END || ' 39 66' || CASE WHEN form = 1 THEN ' late' ELSE '' END AS text, CASE form WHEN 0 THEN 6 WHEN 1 THEN 6 ELSE 4 END AS runs FROM d
+  UNION ALL SELECT doc, 2, p_type, 1 FROM d WHERE form IN (2, 3) UNION ALL SELECT doc, 3, 'NEXT row', 2 FROM d)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY o) - 1 AS INTEGER) AS line, text, CAST(runs AS INTEGER) AS runs FROM lines""")
+def wrapped_lines(spark, sf_dir):
+    """Rows whose cells go on in rows below: those under columns of the line above, but not its first one, join it."""
+    rows = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_partkey") % 4).alias("form"), "p_name", "p_type")
+    run = lambda text, x, y, width: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(width)).alias("width"))
+    form, name, kind = F.col("form"), F.col("p_name"), F.col("p_type")
+    cells = [
+        run(F.concat(F.lit("CODE"), F.col("doc").cast("string")), 20, 700, 60), run(name, 100, 699, 80), run(F.lit("39"), 220, 700, 15), run(F.lit("66"), 260, 700, 15),
+        run(F.when(form < 2, kind), 100, 688, 80), run(F.when(form == 0, "C"), 100, 676, 10), run(F.when(form == 1, "late"), 263, 676, 20),  # wrapped, twice, in two columns
+        run(F.when(form == 2, kind), 150, 688, 80), run(F.when(form == 3, kind), 21, 688, 80),  # under no column, under the first one
+        run(F.lit("NEXT"), 20, 660, 40), run(F.lit("row"), 60.5 + 5, 660, 20), run(F.lit("  "), 300, 650, 90),
+    ]
+    runs = rows.select("doc", F.inline(F.array(*cells))).where("text IS NOT NULL").withColumns({"page": F.lit(1), "height": F.lit(10.0)})
+    return P.lines_of_runs(runs).select("doc", "line", "text", "runs")
 
 
 @query("better_readings", "SELECT o_custkey AS doc, arg_max(o_orderkey, (o_orderkey % 5, -(o_orderkey % 3), o_orderkey % 11, -o_orderkey)) AS reading FROM orders GROUP BY o_custkey")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collegium.functions import text as X
+from collegium.operators.schemes import codes_in_cell
 from collegium.registry import query
 from collegium.sources import tables as T
 
@@ -87,30 +88,26 @@ def strict_dates(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", F.try_to_date(text, "yyyy-MM-dd").cast("string").alias("day"))
 
 
-@query("weighted_kinds", "SELECT kind, count(*) AS docs FROM (SELECT CASE WHEN e >= 6 THEN 'exam' WHEN c >= 6 AND c >= r + 2 THEN 'calendar' WHEN r >= 6 AND r >= c + 2 THEN 'card' ELSE 'unknown' END AS kind FROM (SELECT CAST(contains(lower(text), 'the ') AS INTEGER) * 3 + CAST(contains(text, '|') AS INTEGER) * 4 AS e, CAST(contains(text, 'de ') AS INTEGER) * 4 + CAST(contains(text, 'la ') AS INTEGER) * 3 AS c, CAST(contains(text, 'der ') AS INTEGER) * 4 + CAST(contains(text, 'und ') AS INTEGER) * 4 AS r FROM documents)) GROUP BY kind")
-def weighted_kinds(spark, sf_dir):
-    """Weighted signals: one family wins outright from 6, others need 6 and a lead of 2."""
-    t = F.col("text")
-    score = lambda *signals: sum((F.when(hit, w).otherwise(0) for hit, w in signals), F.lit(0))
-    rows = T.table(spark, sf_dir, "documents").select(score((F.lower(t).contains("the "), 3), (t.contains("|"), 4)).alias("e"), score((t.contains("de "), 4), (t.contains("la "), 3)).alias("c"), score((t.contains("der "), 4), (t.contains("und "), 4)).alias("r"))
-    kind = F.when(F.col("e") >= 6, "exam").when((F.col("c") >= 6) & (F.col("c") >= F.col("r") + 2), "calendar").when((F.col("r") >= 6) & (F.col("r") >= F.col("c") + 2), "card").otherwise("unknown")
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("docs"))
-
-
-@query("initials", "SELECT p_name, string_agg(upper(substr(w, 1, 1)), '' ORDER BY i) AS initials FROM (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) GROUP BY p_name")
+@query("initials", """
+WITH t AS (SELECT DISTINCT p_name, p_type, p_name || ' of the ' || p_type || ' e-waste (T/L) & IPR' AS title FROM part),
+w AS (SELECT title, string_split_regex(x, '[^A-Za-z0-9&]+') AS w FROM t, unnest([title, replace(title, '(T/L)', ' ')]) AS u(x)),
+n AS (SELECT DISTINCT title, upper(array_to_string(list_transform(list_filter(w, lambda x: x <> '' AND (k OR lower(x) NOT IN ('of', 'the', '&'))), lambda x: CASE WHEN len(x) > 1 AND x = upper(x) THEN x ELSE x[1] END), '')) AS name FROM w, unnest([true, false]) AS u(k))
+SELECT title, string_agg(name, ',' ORDER BY name) AS initials FROM n GROUP BY title""")
 def initials(spark, sf_dir):
-    words = F.split("p_name", " ")
-    return T.table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "").alias("initials"))
+    """What each title can be shortened to: acronyms whole, hyphens split, with and without joining words and brackets."""
+    title = F.concat("p_name", F.lit(" of the "), "p_type", F.lit(" e-waste (T/L) & IPR"))
+    rows = T.table(spark, sf_dir, "part").select(title.alias("title")).distinct()
+    return rows.select("title", F.array_join(F.sort_array(X.initialisms(F.col("title"))), ",").alias("initials"))
 
 
-@query("compound_codes", "SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 0 THEN ['P' || p_partkey, 'Q' || p_partkey] ELSE ['P' || p_partkey] END) AS code FROM part")
+@query("compound_codes", """
+SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN ['BCS' || n, 'BIS' || n || 'A'] WHEN 1 THEN ['BCS' || n] WHEN 2 THEN ['BETCK' || n] WHEN 3 THEN ['BCS' || n || 'x'] ELSE [] END) AS code
+FROM (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS n FROM part)""")
 def compound_codes(spark, sf_dir):
-    """A cell with A/B stands for two codes that share their tail."""
-    key = F.col("p_partkey").cast("string")
-    cell = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("P/Q"), key)).otherwise(F.concat(F.lit("P"), key))
-    tail = F.regexp_extract("cell", r"(\d+)$", 1)
-    parts = F.transform(F.split(F.regexp_extract("cell", r"^([A-Z/]+)", 1), "/"), lambda p: F.concat(p, tail))
-    return T.table(spark, sf_dir, "part").select("p_partkey", cell.alias("cell")).select("p_partkey", F.explode(parts).alias("code"))
+    """Codes of a cell: several about slashes, one that spaces break, one of a shared tail; other words name none."""
+    key, n = F.col("p_partkey"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    cell = F.when(key % 5 == 0, F.concat(F.lit("BCS"), n, F.lit("/BIS"), n, F.lit("A"))).when(key % 5 == 1, F.concat(F.lit("BCS "), n)).when(key % 5 == 2, F.concat(F.lit("BETCK/PLCK"), n)).when(key % 5 == 3, F.concat(F.lit("BCS"), n, F.lit("x"))).otherwise(F.concat(F.lit("Bus "), n))
+    return T.table(spark, sf_dir, "part").select("p_partkey", F.explode(codes_in_cell(cell)).alias("code"))
 
 
 @query("distinct_codes_in_text", r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[0-9]+|[A-Z][a-z]'))) AS BIGINT) AS codes FROM documents")
@@ -131,7 +128,3 @@ def json_payloads(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))).alias("payload"))
 
 
-@query("clock_times", "SELECT event_id, lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0') AS clock, CASE WHEN h < 12 THEN 'a.m.' ELSE 'p.m.' END AS half FROM (SELECT event_id, hour(ts) AS h, minute(ts) AS m FROM events)")
-def clock_times(spark, sf_dir):
-    h, m = F.hour("ts"), F.minute("ts")
-    return T.table(spark, sf_dir, "events").select("event_id", F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0")).alias("clock"), F.when(h < 12, "a.m.").otherwise("p.m.").alias("half"))
