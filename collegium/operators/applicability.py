@@ -80,18 +80,29 @@ def verdict_counts(notices: DataFrame, users: DataFrame, axes: list[str]) -> Dat
     return found.select(*kind, "notices", F.inline(counts)).where("users > 0").select(*kind, "verdict", "users", "notices")
 
 
-def applicable_pairs(notices: DataFrame, users: DataFrame, axes: list[str], notice_id: str, user_id: str) -> DataFrame:
-    """(notice, user) for each applicable pair of a notice that targets anything, and (notice, null) for one that is for
-    everybody, so that no pair is formed which a class tells.
+def class_of_targets(axes: list[str]) -> Column:
+    """What a notice targets, as one text: its normalised values, a star for an axis that it leaves open."""
+    return F.concat_ws("|", *[F.coalesce(_norm(a), F.lit("*")) for a in axes])
 
-    Notices and users meet on the pattern of targeted axes and the values there: one equi-join, for which each user
-    has a narrow row for every pattern.
+
+def applicable_classes(notices: DataFrame, users: DataFrame, axes: list[str], notice_id: str, user_id: str) -> DataFrame:
+    """Who each notice is for, as classes: class, notice, user, links.
+
+    A row for each readable notice says its class and how many users that is for; a row for each user and class that the
+    user is in says how many notices that is. A pair is a notice and a user of one class, and none is formed: a user is
+    in one class for each pattern of axes at most, and the class that targets nothing, which is everybody's, has
+    no rows of users. Classes without users keep their notices, with no links.
     """
-    readable = notices.where(~F.col("unreadable_scope")).withColumn("_mask", _targets(axes))
-    targeted = readable.where("_mask > 0").select(notice_id, "_mask", *[F.coalesce(_norm(a), F.lit("")).alias(f"_{a}") for a in axes])
-    held = users.select(user_id, *[_norm(a).alias(f"_{a}") for a in axes]).withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in range(1, 1 << len(axes))])))
+    readable = notices.where(~F.col("unreadable_scope")).select(F.col(notice_id), class_of_targets(axes).alias("class"), (_targets(axes) == 0).alias("_open"))
+    sizes = readable.groupBy("class", "_open").agg(F.count(F.lit(1)).alias("notices"))
+    masks = F.explode(F.array(*[F.lit(m) for m in range(1, 1 << len(axes))]))
+    held = users.select(user_id, *[_norm(a).alias(f"_{a}") for a in axes]).withColumn("_mask", masks)
     told = reduce(lambda x, y: x & y, [~_bit(F.col("_mask"), k) | F.col(f"_{a}").isNotNull() for k, a in enumerate(axes)])
-    held = held.where(told).select(user_id, "_mask", *[F.when(_bit(F.col("_mask"), k), F.col(f"_{a}")).otherwise("").alias(f"_{a}") for k, a in enumerate(axes)])
-    pairs = targeted.join(held, ["_mask", *[f"_{a}" for a in axes]]).select(notice_id, user_id)
-    nobody = F.lit(None).cast(users.schema[user_id].dataType).alias(user_id)
-    return pairs.unionByName(readable.where("_mask = 0").select(notice_id, nobody))
+    name = F.concat_ws("|", *[F.when(_bit(F.col("_mask"), k), F.col(f"_{a}")).otherwise("*") for k, a in enumerate(axes)])
+    members = held.where(told).select(user_id, name.alias("class")).join(sizes.where(~F.col("_open")).select("class", "notices"), "class")
+    counts = members.groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    rows = readable.join(counts, "class", "left")
+    links = F.when(F.col("_open"), F.lit(users.count())).otherwise(F.coalesce("links", F.lit(0)))
+    nobody, nothing = F.lit(None).cast(users.schema[user_id].dataType), F.lit(None).cast(notices.schema[notice_id].dataType)
+    rows = rows.select("class", notice_id, nobody.alias(user_id), links.alias("links"))
+    return rows.unionByName(members.select("class", nothing.alias(notice_id), user_id, F.col("notices").alias("links")))

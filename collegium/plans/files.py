@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from collegium.operators import documents as P
 from collegium.operators.syllabi import topics_of
+from collegium.plans import changes as C
 from collegium.plans import sql as S
 from collegium.plans.printed import column, unnested
 from collegium.registry import query
@@ -199,19 +200,30 @@ def listener_deliveries(spark, sf_dir):
     return events.where("event_type = 'purchase'").join(held, "user_id", "left").select("event_id", F.coalesce("delivered", F.lit(0)).alias("delivered"))
 
 
-@query("streamed_versions", """
-SELECT family, item, sha256(title || chr(31) || body) AS hash, day::VARCHAR AS first_seen FROM (
-  SELECT event_type AS family, user_id::VARCHAR AS item, 'Circular on ' || event_type AS title, (floor(value) % 3)::INTEGER::VARCHAR AS body, min(CASE WHEN event_id % 2 = 0 THEN DATE '2024-01-01' ELSE DATE '2024-01-02' END) AS day FROM events GROUP BY ALL)""")
+def watched(spark, sf_dir):
+    """The ledger of a monitor that has seen two captures, a file each, and was started again between them."""
+    path, ledger, progress = (new_dir(spark, name) for name in ("captures", "ledger", "progress"))
+    for version in (1, 2):
+        items = T.snapshot(spark, sf_dir, version)
+        family = F.concat(F.lit("f"), (F.floor(F.col("item") / 100) % 5).cast("string")).alias("family")
+        rows = items.select(family, F.col("item").cast("string").alias("item"), "url", "body", F.col("supersedes").cast("string").alias("supersedes"), F.lit(f"2024-01-0{version}T00:00:00Z").alias("captured"))
+        rows.withColumnRenamed("url", "title").coalesce(1).write.mode("append").json(path)
+        M.start_monitor(M.read_captures(spark, path), ledger, progress, parts=4).awaitTermination()
+    return M.read_ledger(spark, ledger)
+
+
+@query("streamed_changes", S.with_(S.SNAPSHOTS, C.MONITOR_SQL, query="""
+SELECT 'f' || (item // 100 % 5) AS family, item::VARCHAR AS item, change, capture FROM (SELECT item, 'new' AS change, 1 AS capture FROM v1 UNION ALL SELECT item, change, 2 FROM monitored)"""))
+def streamed_changes(spark, sf_dir):
+    """Two captures of the documents through the stateful monitor: new, unchanged, updated, revised and removed items."""
+    return watched(spark, sf_dir).select("family", "item", "change", F.dayofmonth("captured").alias("capture"))
+
+
+@query("streamed_versions", S.with_(S.SNAPSHOTS, query="""
+SELECT 'f' || (coalesce(b.item, a.item) // 100 % 5) AS family, coalesce(b.item, a.item)::VARCHAR AS item, CASE WHEN a.item IS NULL THEN 2 ELSE 1 END AS first_seen, b.item IS NOT NULL AS there FROM v1 a FULL OUTER JOIN v2 b ON a.item = b.item"""))
 def streamed_versions(spark, sf_dir):
-    """Captures that arrive as files, a file a batch, through the monitor's stream: each version is in the log once."""
-    path, log = new_dir(spark, "captures"), new_dir(spark, "log")
-    captured = F.when(F.col("event_id") % 2 == 0, "2024-01-01T00:00:00Z").otherwise("2024-01-02T00:00:00Z")
-    rows = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), F.col("user_id").cast("string").alias("item"), F.concat(F.lit("Circular on "), "event_type").alias("title"), (F.floor("value") % 3).cast("string").alias("body"), captured.alias("captured"))
-    for day in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"):
-        rows.where(F.col("captured") == day).coalesce(1).write.mode("append").json(path)
-    M.start_monitor(M.read_captures(spark, path), log, new_dir(spark, "progress")).awaitTermination()
-    found = spark.read.schema(M.LOG).parquet(log).groupBy("family", "item", "hash").agg(F.min("first_seen").alias("first_seen"))
-    return found.select("family", "item", "hash", F.to_date("first_seen").cast("string").alias("first_seen"))
+    """Each item as the stream's ledger leaves it: when it was seen first, and whether it is still there."""
+    return M.latest_versions(watched(spark, sf_dir)).select("family", "item", F.dayofmonth("first_seen").alias("first_seen"), "there")
 
 
 @query("captures_by_day", "SELECT event_type AS family, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS captures FROM events GROUP BY ALL")

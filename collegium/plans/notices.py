@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collegium.functions import text as X
-from collegium.operators.applicability import applicable_pairs, axis, lenient_relevance, verdict, verdict_counts
+from collegium.operators.applicability import applicable_classes, axis, lenient_relevance, verdict, verdict_counts
 from collegium.plans import sql as S
 from collegium.registry import query
 from collegium.sources import tables as T
@@ -52,13 +52,6 @@ def notice_classification(spark, sf_dir):
     return classed(spark, sf_dir).select("notice", "title", "category", "importance")
 
 
-@query("notice_signals", S.with_(S.NOTICES, query=r"SELECT notice, CASE WHEN regexp_matches(title, '(?i)\btime\s*table\b') THEN trim(regexp_replace(regexp_extract(title, '(?i)\btime\s*table\b', 0), '\s+', ' ', 'g')) WHEN regexp_matches(title, '(?i)\bresults?\s+(announced|declared|published)\b') THEN regexp_extract(title, '(?i)\bresults?\s+(announced|declared|published)\b', 0) WHEN regexp_matches(title, '(?i)\bre-?valuation\b') THEN regexp_extract(title, '(?i)\bre-?valuation\b', 0) ELSE '' END AS signal FROM notices WHERE notice % 12 IN (0, 1, 2, 10, 11)"))
-def notice_signals(spark, sf_dir):
-    """The words that fired, joined; titles of five of the twelve kinds, whose rules have one phrase each in them."""
-    rows = T.notices(spark, sf_dir).where((F.col("notice") % 12).isin(0, 1, 2, 10, 11))
-    return rows.select("notice", F.array_join(X.signals_of(F.col("title")), "; ").alias("signal"))
-
-
 def signal_sql(pattern):
     """The phrases of one rule that occur, white space folded, joined."""
     found = [rf"nullif(trim(regexp_replace(regexp_extract(title, '(?i){p}', 0), '\s+', ' ', 'g')), '')" for p in re.split(r"(?<=\\b)\|(?=\\b)", pattern)]
@@ -68,9 +61,9 @@ def signal_sql(pattern):
 ALL_SIGNALS_SQL = " ".join(signal_sql(p) for p in re.findall(r"regexp_matches\(title, '\(\?i\)(.*)'\) THEN", CATEGORY_SQL))
 
 
-@query("all_notice_signals", S.with_(S.NOTICES, query=f"SELECT notice, CASE {ALL_SIGNALS_SQL} ELSE '' END AS signal FROM notices"))
-def all_notice_signals(spark, sf_dir):
-    """The words that fired, joined, for every notice by all ten rules; notice_signals has five of the twelve kinds."""
+@query("notice_signals", S.with_(S.NOTICES, query=f"SELECT notice, CASE {ALL_SIGNALS_SQL} ELSE '' END AS signal FROM notices"))
+def notice_signals(spark, sf_dir):
+    """The words that fired, joined, for every notice by all ten rules."""
     return T.notices(spark, sf_dir).select("notice", F.array_join(X.signals_of(F.col("title")), "; ").alias("signal"))
 
 
@@ -106,17 +99,26 @@ def notice_audiences(spark, sf_dir):
     return rows.join(kinds, on).select("notice", "applicable", "unresolved", "excluded")
 
 
-@query("applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, p.student FROM notices n CROSS JOIN profiles p WHERE n.branch IS NOT NULL AND n.college IS NOT NULL AND {VERDICT_SQL} = 'applicable'"))
-def targeted_pairs(spark, sf_dir):
-    """Pairs of notices that target branch and college with the users they are for."""
-    narrow = T.notices(spark, sf_dir).where("branch IS NOT NULL AND college IS NOT NULL")
-    return applicable_pairs(narrow, T.profiles(spark, sf_dir), AXES, "notice", "student")
+@query("applicable_classes", S.with_(S.NOTICES, S.PROFILES, f"""
+c AS (SELECT *, concat_ws('|', coalesce(lower(trim(branch)), '*'), coalesce(college, '*'), coalesce(semester::VARCHAR, '*')) AS class FROM notices WHERE NOT unreadable_scope),
+links AS (SELECT n.class, n.notice, p.student FROM c n CROSS JOIN profiles p WHERE {VERDICT_SQL} = 'applicable')""", query="""
+SELECT class, notice, NULL::BIGINT AS student, (SELECT count(*) FROM links l WHERE l.notice = c.notice) AS links FROM c
+UNION ALL SELECT class, NULL, student, count(*) FROM links WHERE class <> '*|*|*' GROUP BY class, student"""))
+def applicable_classes_query(spark, sf_dir):
+    """Whom all notices are for, whichever axes they target: their classes with links, and the users' membership."""
+    return applicable_classes(T.notices(spark, sf_dir), T.profiles(spark, sf_dir), AXES, "notice", "student")
 
 
-@query("all_applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, p.student FROM notices n CROSS JOIN profiles p WHERE coalesce(n.branch, n.college, n.semester::VARCHAR) IS NOT NULL AND {VERDICT_SQL} = 'applicable' UNION ALL SELECT notice, NULL FROM notices WHERE NOT unreadable_scope AND coalesce(branch, college, semester::VARCHAR) IS NULL"))
-def all_applicable_pairs(spark, sf_dir):
-    """Pairs of all notices with the users they are for, whichever axes they target; one for everybody is a row without user."""
-    return applicable_pairs(T.notices(spark, sf_dir), T.profiles(spark, sf_dir), AXES, "notice", "student")
+@query("applicable_pairs", S.with_(S.NOTICES, S.PROFILES, query=f"""
+SELECT p.student, count(*) AS notices, count(*) FILTER (WHERE coalesce(n.branch, n.college, n.semester::VARCHAR) IS NULL) AS of_everybody FROM notices n CROSS JOIN profiles p WHERE {VERDICT_SQL} = 'applicable' GROUP BY p.student"""))
+def applicable_pairs_query(spark, sf_dir):
+    """How many notices of all are for each user, from the classes that the user is in, so that no pair is formed."""
+    users = T.profiles(spark, sf_dir)
+    found = applicable_classes(T.notices(spark, sf_dir), users, AXES, "notice", "student")
+    everybody = F.lit(found.where("student IS NULL AND class = '*|*|*'").count()).cast("long")
+    own = found.where("student IS NOT NULL").groupBy("student").agg(F.sum("links").alias("own"))
+    rows = users.select("student").join(own, "student", "left")
+    return rows.select("student", (F.coalesce("own", F.lit(0)) + everybody).alias("notices"), everybody.alias("of_everybody")).where("notices > 0")
 
 
 @query("one_user_feed", S.with_(S.NOTICES, S.PROFILES, query=f"SELECT n.notice, {VERDICT_SQL} AS verdict FROM notices n CROSS JOIN profiles p WHERE p.student = 10"))
@@ -216,20 +218,10 @@ def word_search(spark, sf_dir):
 
 
 @query("fan_out_new", S.with_(S.NOTICES, S.PROFILES, query=f"""
-SELECT n.notice, count(*) AS created FROM notices n JOIN profiles p ON lower(n.branch) = lower(p.branch) AND n.college = p.college
-WHERE {VERDICT_SQL} = 'applicable' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.student AND o.o_orderkey % 2000 = n.notice) GROUP BY n.notice"""))
-def fan_out_new(spark, sf_dir):
-    """Deliveries that are not held yet: an anti-join, so a second run creates nothing."""
-    pairs = targeted_pairs(spark, sf_dir)
-    held = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("student"), (F.col("o_orderkey") % 2000).alias("notice"))
-    return pairs.join(held, ["student", "notice"], "left_anti").groupBy("notice").agg(F.count(F.lit(1)).alias("created"))
-
-
-@query("fan_out_all", S.with_(S.NOTICES, S.PROFILES, query=f"""
 SELECT n.notice, count(*) AS created FROM notices n CROSS JOIN profiles p
 WHERE {VERDICT_SQL} = 'applicable' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.student AND o.o_orderkey % 2000 = n.notice) GROUP BY n.notice"""))
-def fan_out_all(spark, sf_dir):
-    """Deliveries of all notices that are not held yet; fan_out_new has those of notices for a branch and a college.
+def fan_out_new(spark, sf_dir):
+    """Deliveries of all notices that are not held yet, so that a second run creates nothing.
 
     Users come from counts of their kinds, less the held pairs that apply, so that no pair is formed but held ones.
     """

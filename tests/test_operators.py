@@ -11,6 +11,7 @@ from collegium.operators import applicability as A
 from collegium.operators import changes as C
 from collegium.operators import documents as D
 from collegium.operators import quality as Q
+from collegium.operators.syllabi import topics_of
 from collegium.sources import files
 from collegium.streaming import monitor
 
@@ -39,10 +40,12 @@ def test_pairs_by_pattern_equal_the_plain_loop(spark):
     u = spark.createDataFrame(users, "user int, p string, q string")
     same = lambda t, h: t is None or (h is not None and t.lower() == h.lower())
     want = {(i, j) for i, a, b, bad in notices for j, c, d in users if not bad and same(a, c) and same(b, d)}
-    got = {tuple(r) for r in A.applicable_pairs(n, u, ["p", "q"], "notice", "user").collect()}
-    everybody = {i for i, j in got if j is None}
-    assert everybody == {i for i, a, b, bad in notices if not bad and a is None and b is None}
-    assert {(i, j) for i, j in got if j is not None} | {(i, j) for i in everybody for j, _, _ in users} == want
+    rows = A.applicable_classes(n, u, ["p", "q"], "notice", "user").collect()
+    told = [(r["class"], r.notice, r.links) for r in rows if r.notice is not None]
+    members = [(r["class"], r.user) for r in rows if r.user is not None]
+    assert {i for c, i, _ in told if c == "*|*"} == {i for i, a, b, bad in notices if not bad and a is None and b is None}
+    pairs = {(i, j) for c, i, _ in told for d, j in members if c == d} | {(i, j) for c, i, _ in told if c == "*|*" for j, _, _ in users}
+    assert pairs == want and all(links == sum(i == k for k, _ in want) for _, i, links in told)
     total = A.verdict_counts(n, u, ["p", "q"]).where("verdict = 'applicable'").agg(F.sum(F.col("users") * F.col("notices"))).first()[0]
     assert total == len(want)
 
@@ -132,15 +135,32 @@ def test_stream_equals_batch_and_delivers_once(spark, tmp_path):
         rows = [{"family": "f", "item": f"i{n}", "title": f"Time Table {n % 7}", "body": f"b{(n + k) % 3}", "captured": f"2024-01-0{k + 1}T00:00:00"} for n in range(20)]
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
-    source, log = f"file://{tmp_path}/in", f"file://{tmp_path}/log"
+    source, ledger = f"file://{tmp_path}/in", f"file://{tmp_path}/ledger"
     for _ in range(2):
-        monitor.start_monitor(monitor.read_captures(spark, source), log, f"file://{tmp_path}/state").awaitTermination()
-    batch = monitor.versions(spark.read.schema(monitor.CAPTURES).json(source)).select("family", "item", "hash").distinct()
-    stored = spark.read.parquet(log)
-    assert stored.count() == batch.count() == 60 and stored.select("family", "item", "hash").exceptAll(batch).count() == 0
-    assert monitor.latest_versions(stored).count() == 20
+        monitor.start_monitor(monitor.read_captures(spark, source), ledger, f"file://{tmp_path}/state", parts=3).awaitTermination()
+    changes = [(r.item, r.change, r.captured.day) for r in monitor.read_ledger(spark, ledger).collect()]
+    assert sorted(changes) == sorted((f"i{n}", "new" if k == 0 else "updated", k + 1) for k in range(4) for n in range(20))
+    latest = monitor.latest_versions(monitor.read_ledger(spark, ledger))
+    assert latest.count() == 20 and latest.where("there AND day(first_seen) = 1 AND day(last_change) = 4").count() == 20
     with pytest.raises(ValueError):
-        monitor.start_monitor(monitor.read_captures(spark, source), log, f"file://{tmp_path}/s2", minutes=2)
+        monitor.start_monitor(monitor.read_captures(spark, source), ledger, f"file://{tmp_path}/s2", minutes=2)
+
+
+def test_second_capture_of_the_monitor(spark, tmp_path):
+    """Two captures, the monitor started again between them: one new, nine unchanged, one updated, one revised, one removed."""
+    (tmp_path / "in").mkdir()
+    item = lambda n, day, body="b", supersedes=None: {"family": "f", "item": f"i{n}", "title": "t", "body": body, "supersedes": supersedes, "captured": f"2024-01-0{day}T00:00:00"}
+    first = [item(n, 1) for n in range(11)]
+    second = [item(n, 2) for n in range(9)] + [item(9, 2, "changed"), item(11, 2), item(12, 2, supersedes="i10")]
+    third = [item(n, 3) for n in range(12)] + [item(13, 3, supersedes="i12"), item(0, 3), item(12, 3, supersedes="i3")]
+    for k, rows in enumerate((first, second, third)):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        monitor.start_monitor(monitor.read_captures(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/state", parts=5).awaitTermination()
+    counts = {(r.day, r.change): r.n for r in monitor.read_ledger(spark, f"file://{tmp_path}/out").groupBy(F.dayofmonth("captured").alias("day"), "change").agg(F.count("*").alias("n")).collect()}
+    assert {c: n for (day, c), n in counts.items() if day == 1} == {"new": 11}
+    assert {c: n for (day, c), n in counts.items() if day == 2} == {"new": 1, "unchanged": 9, "updated": 1, "revised": 1, "removed": 1}
+    # Item 10 comes back as new, 9 changes back, 12 was known and so revises nothing, 13 revises it.
+    assert {c: n for (day, c), n in counts.items() if day == 3} == {"new": 1, "unchanged": 11, "updated": 1, "revised": 1}
 
 
 def test_daily_counts(spark, tmp_path):
@@ -170,8 +190,9 @@ def test_slots_topics_and_readings(spark):
     cells = spark.createDataFrame([(1, "p", 5.0), (1, "q", 12.0), (1, "r", 40.0)], "doc int, cell string, centre double")
     slots = spark.createDataFrame([(1, "s1", 0.0, 10.0), (1, "s2", 14.0, 20.0)], "doc int, slot string, left double, right double")
     assert {r.cell: (r.slot, r.inside) for r in D.nearest_slot(cells, slots).collect()} == {"p": ("s1", True), "q": ("s1", False), "r": ("s2", False)}
-    topics = D.topics_of(spark.createDataFrame([(1, 1, "Graphs, trees; GRAPHS, x, Sorting")], "doc int, module int, text string"))
-    assert [r.topic for r in topics.orderBy("place").collect()] == ["Graphs", "trees", "Sorting"]
+    lines = ["Graphs: of all kinds", "trees, and more: prose", "TREES, WOODS: in capitals", "GRAPHS : again", "Ex. 2: a stop", "Note: none", "Sorting:", "ab: short"]
+    topics = topics_of(spark.createDataFrame([(1, n, t) for n, t in enumerate(lines)], "doc int, n int, text string"), ["doc"])
+    assert [(r.place, r.topic) for r in topics.orderBy("place").collect()] == [(1, "Graphs"), (2, "TREES, WOODS"), (3, "Sorting")]
     readings = spark.createDataFrame([(1, 1, 5, 1, 90), (1, 2, 5, 0, 80), (2, 1, 3, 0, 9), (2, 2, 3, 0, 9)], "doc int, reading int, rows int, dropped int, words int")
     assert {r.doc: r.reading for r in D.better_reading(readings).collect()} == {1: 2, 2: 1}
     words = spark.createDataFrame([(1, 1, "w", 0.0, 10.0, 5.0, 20.0, 100.0, 50.0)] * 20, "doc long, page int, text string, x0 double, y0 double, x1 double, y1 double, page_height double, confidence double")

@@ -9,7 +9,7 @@ def test_every_category_has_signals(spark):
     from collegium.sources import tables as T
 
     notices = T.notices(spark, SF).count()
-    rows = registry.queries()["all_notice_signals"](spark, SF).collect()
+    rows = registry.queries()["notice_signals"](spark, SF).collect()
     assert len(rows) == notices
     said = {r.signal.lower() for r in rows}
     assert {"academic calendar", "regulations", "scheme of teaching", "syllabus", "examination registration", "circular"} <= said
