@@ -53,6 +53,10 @@ RULE_SETS = {RULES.id: RULES}
 PERCENTAGE_FORMULAS = {"cgpa_times_10": lambda cgpa: cgpa * 10.0}
 
 
+#: The same formulas as rows: id, factor.
+FORMULAS = {"cgpa_x_10": 10.0}
+
+
 def grades_table(spark: SparkSession, rules: RuleSet = RULES) -> DataFrame:
     """The grades dimension: letter, kind, points, counts (in averages), verified."""
     rows = [(b[0], "band", b[1], True, True) for b in rules.bands] + [(s[0], "special", 0, s[2], s[1]) for s in SPECIAL]
@@ -66,6 +70,13 @@ def half_up(value: Column, decimals: int = 2) -> Column:
     return F.when(value < 0, -size).otherwise(size) + F.lit(0.0)
 
 
+def half_up_by(value: Column, places: Column) -> Column:
+    """half_up with the decimal places of a row; null for a value that is not finite, or places outside of 0 to 15."""
+    factor = F.pow(F.lit(10.0), places)
+    size = F.floor(F.abs(value) * factor + 0.5 + 1e-9) / factor
+    return F.when(finite(value) & places.between(0, 15), F.when(value < 0, -size).otherwise(size) + F.lit(0.0))
+
+
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
@@ -129,6 +140,18 @@ def heads(internal: Column, external: Column, total: Column, has_see: Column, ru
     return {"cie": cie, "see": see, "overall": overall, "passed": passed, "backlog": ~passed}
 
 
+def percentages(rows: DataFrame, formulas: DataFrame, places: int = 2) -> DataFrame:
+    """rows(cgpa, formula) with status and percentage, by a registry of formulas as rows: id, factor.
+
+    invalid_input for a value that is not finite or below 0, unsupported_formula for an id that the registry has not:
+    a row stays and says why, it is never left out.
+    """
+    known = formulas.select(F.col("id").alias("formula"), "factor")
+    found = rows.join(known, "formula", "left")
+    status = F.when(~F.coalesce(finite(F.col("cgpa")) & (F.col("cgpa") >= 0), F.lit(False)), "invalid_input").when(F.col("factor").isNull(), "unsupported_formula").otherwise("ok")
+    return found.withColumn("status", status).withColumn("percentage", F.when(F.col("status") == "ok", half_up(F.col("cgpa") * F.col("factor"), places))).drop("factor")
+
+
 def percentage_of(cgpa: Column, rules: RuleSet = RULES) -> Column:
     formula = PERCENTAGE_FORMULAS.get(rules.percentage_formula)
     return half_up(formula(cgpa), rules.decimals) if formula else F.lit(None).cast("double")

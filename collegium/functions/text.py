@@ -159,3 +159,31 @@ def initialisms(title: Column) -> Column:
 
     found = names(title) + names(F.regexp_replace(title, r"\([^)]*\)", " "))
     return F.array_distinct(F.filter(F.array(*found), lambda name: F.length(name) >= 2))
+
+
+def join_reasons(reasons: Column) -> Column:
+    """a, b or c; the usual reason where there is none."""
+    n = F.size(reasons)
+    several = F.concat(F.array_join(F.slice(reasons, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" or "), F.element_at(reasons, F.greatest(n, F.lit(1))))
+    return F.when(n == 0, "no grade or credits").when(n == 1, F.get(reasons, F.lit(0))).otherwise(several)
+
+
+RESULT_ROW = "id string, subjectCode string, subjectTitle string, internal double, external double, total double, resultStatus string, announcedOn string, gradeLetter string, gradePoint double, credits double, hasSee boolean, provenance string, catalogueCode string"
+
+
+def normalised_result(raw: Column) -> Column:
+    """An untrusted result row in JSON with every field there: a struct.
+
+    What is no number, no finite one or no text of its field is null, never zero; blank text is null; a title falls back
+    on the code; provenance is catalogue or else manual. What is no object gives a row of nulls.
+    """
+    fields = [f.split(" ") for f in RESULT_ROW.split(", ")]
+    path = lambda name: F.get_json_object(raw, f"$.{name}")
+    # Types are those of the JSON: a number in quotes is text, which is told by the quote that stands before it.
+    quoted = lambda name: raw.rlike(rf'"{name}"\s*:\s*"')
+    text = lambda name: F.when(quoted(name), F.nullif(F.trim(path(name)), F.lit("")))
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    number = lambda name: F.when(~quoted(name), finite(path(name).try_cast("double")))
+    values = {name: number(name) if kind == "double" else F.when(~quoted(name), path(name).try_cast("boolean")) if kind == "boolean" else text(name) for name, kind in fields}
+    values |= {"id": F.coalesce(F.when(quoted("id"), path("id")), F.lit("")), "subjectTitle": F.coalesce(F.when(quoted("subjectTitle"), path("subjectTitle")), text("subjectCode"), F.lit("")), "provenance": F.when(text("provenance") == "catalogue", "catalogue").otherwise("manual")}
+    return F.struct(*[values[name].alias(name) for name, _ in fields])
