@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that a Python task turns into objects at a time.
 SLICE = 512
 
+#: Bytes of texts, about, in a bucket of a keyed copy.
+BUCKET_BYTES = 256 << 20
+
 #: Buckets of a group whose sums one task adds up at a time.
 FAN = 4096
 
@@ -51,16 +54,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_copy(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """df written into the shared folder in buckets by `keys` (none of them null), one bucket for each shuffle partition.
+def keyed_copy(df: DataFrame, keys: list[str], name: str, size: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """df written into the shared folder in buckets by `keys` (none of them null).
 
     Rows with whole texts that meet several narrow tables are moved once, here; each later join on the keys moves the
-    other side only.
+    other side only. Nothing splits a bucket later, so their number follows the bytes (`size`, of a row): about
+    bucket_bytes each, and one for each shuffle partition at least, within the session's limit on buckets.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.agg(F.sum(size.cast("long"))).head()[0] or 0
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes)))
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
     keep(spark, path, table)
     return spark.table(table)
@@ -70,7 +76,7 @@ _made: list[list[tuple[str, str | None]]] = []
 
 
 def keep(spark: SparkSession, path: str, table: str | None = None) -> None:
-    atexit.register(delete, spark, path)
+    atexit.register(discard, spark, path, table)
     if _made:
         _made[-1].append((path, table))
 
@@ -87,6 +93,8 @@ def scope(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]:
 
 
 def discard(spark: SparkSession, path: str, table: str | None = None) -> None:
+    if spark.sparkContext._jsc is None:  # at exit, after the session has ended
+        return
     if table:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     delete(spark, path)

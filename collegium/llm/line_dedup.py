@@ -293,7 +293,8 @@ def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
     emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
     met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
     # A line's turn stands for its place in the order of all, so that what is shuffled by key and by pair is narrow.
-    likely = kinds.join(met.select("tag").distinct(), "tag").dropDuplicates(["tag"]).repartitionByRange("first").sortWithinPartitions("first")
+    # Different lines of one tag, should there be any, all stay: each has a turn, and words decide.
+    likely = kinds.join(met.select("tag").distinct(), "tag").repartitionByRange("first").sortWithinPartitions("first")
     likely = materialise(likely.withColumn("turn", F.monotonically_increasing_id()), "likely")
     met = materialise(met.join(likely.select("tag", "turn", "words"), "tag").drop("tag"), "turns")
     sketches = likely.select("turn", "words", "sketch")
@@ -340,7 +341,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Rows are copied once, in buckets by KEY, so that reading near lines and cutting lines out move no text again.
     """
     copied = docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.struct(*docs.columns).alias("row"))
-    copied = keyed_copy(copied, KEY, "documents")
+    copied = keyed_copy(copied, KEY, "documents", F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)))
     gone = materialise(dropped_lines(copied.select(*KEY, F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary").alias("raw")), an_edit), "dropped")
     rows = copied.join(gone.hint("shuffle_hash"), KEY, "left")
     kept = F.array_join(F.filter(F.split(F.col("row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
@@ -358,7 +359,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
     is empty, an empty table gives no rows, and other columns are ignored.
     """
-    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents")
+    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents", F.octet_length("raw"))
     by_doc = dropped_lines(rows, an_edit)
     every = materialise(rows.mapInArrow(_counts, f"{KEYS}, n_lines long"), "counts")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))

@@ -276,6 +276,6 @@ def suffix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lose all their windows. An empty table gives no rows, and other columns are ignored. Texts are copied once, in
     buckets by KEY; both joins with them move the other side only.
     """
-    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents")
+    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents", F.octet_length("raw"))
     spans = materialise(repeated_spans(rows, window, gram, size), "found")
     return rows.join(spans.hint("shuffle_hash"), KEY, "left").select("given_id", "raw", "spans").mapInArrow(_report, REPORT)
