@@ -74,15 +74,14 @@ def source_refusals(spark, sf_dir):
     return Z.refusal(registry, families.select("family"))
 
 
-@query("owned_collections", "SELECT o_custkey AS owner, o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM orders WHERE o_custkey % 3 > 0 OR o_orderkey % 2 = 0")
+@query("owned_collections", "WITH changed AS (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 2 = 0) SELECT o_custkey AS owner, o_orderkey AS id, CASE WHEN o_custkey IN (SELECT o_custkey FROM changed) THEN 2 ELSE 1 END AS version FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM changed) OR o_orderkey % 2 = 0")
 def owned_collections(spark, sf_dir):
     """A collection of which some owners' rows are replaced; the others' stay as they are."""
     path = new_dir(spark, "collection")
     rows = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"))
-    Z.write_collection(rows.withColumn("version", F.lit(1)), path)
+    Z.write_collection(rows.withColumn("version", F.lit(1)), path, folder_rows=2000)
     Z.write_collection(rows.where("owner % 3 = 0 AND id % 2 = 0").withColumn("version", F.lit(2)), path)
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path).select("owner", "id", "version").where("version = 2 OR owner % 3 > 0")
+    return Z.read_collection(spark, path).select("owner", "id", "version")
 
 
 RUNS = "runs AS (SELECT p_partkey // 40 AS doc, 1 + p_partkey // 20 % 2 AS page, p_partkey // 5 % 4 AS row, p_partkey % 5 AS col, p_name AS text, p_size FROM part)"

@@ -164,5 +164,6 @@ def slots_of_a_batch(spark, sf_dir):
     key = F.col("o_orderkey")
     code = F.when(key % 3 > 0, F.concat(F.lit("C"), (key % 20).cast("string")))
     classes = T.table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_orderpriority").alias("day"), code.alias("code"), F.when(code.isNull(), "LIB").alias("initials"), F.when(key % 7 == 0, "LAB1").alias("room"), F.when(key % 4 == 0, "B1").when(key % 4 == 1, "B2").alias("batch"))
-    dictionary = spark.range(15).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("code"), F.concat(F.lit("F"), F.col("id").cast("string")).alias("faculty"))
+    number = (key % 20).cast("string")
+    dictionary = T.table(spark, sf_dir, "orders").where(key % 20 < 15).select(F.concat(F.lit("C"), number).alias("code"), F.concat(F.lit("F"), number).alias("faculty")).distinct()
     return H.slots_for_batch(classes, dictionary, "b1", "A204")

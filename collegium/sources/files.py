@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collegium.sources.scratch import exists
+from collegium.sources.scratch import delete, exists
 
 AUDIENCE = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("scheme", "programme", "branch", "department", "stream", "college")],
@@ -70,24 +70,59 @@ def manifest(known: DataFrame, fetched: DataFrame) -> DataFrame:
     return rows.select("url", F.coalesce("sha256", "_old").alias("sha256"), outcome.alias("outcome"))
 
 
-#: Folders of a collection; an owner's rows are all in one of them.
-BUCKETS = 64
+#: Rows, about, of a folder of a collection; an owner's rows are all in one of them.
+FOLDER_ROWS = 1_000_000
 
 
-def write_collection(rows: DataFrame, path: str, owner: str = "owner") -> None:
-    """A collection in folders by a hash of the owner; of the folders that rows fall into, only these owners' rows change."""
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(version, buckets) of a collection as its last marker says; (0, 0) where there is none."""
+    markers = f"{path}/_markers"
+    if not exists(spark, markers):
+        return 0, 0
+    last = spark.read.schema("version int, buckets int").json(markers).orderBy(F.desc("version")).first()
+    return (last.version, last.buckets) if last else (0, 0)
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """A collection's rows with their bucket: of each bucket the latest version that a marker vouches for."""
+    version, _ = _state(spark, path)
+    rows = spark.read.option("basePath", path).parquet(path).where(F.col("_version") <= version)
+    latest = rows.select("bucket", "_version").groupBy("bucket").agg(F.max("_version").alias("_version"))
+    return rows.join(latest, ["bucket", "_version"], "left_semi").drop("_version")
+
+
+def write_collection(rows: DataFrame, path: str, owner: str = "owner", folder_rows: int = FOLDER_ROWS) -> None:
+    """A collection in buckets by a hash of the owner; of the buckets that rows fall into, only these owners' rows change.
+
+    A touched bucket is written anew beside the one that is held, and a marker is set when all are there: a job that dies
+    on the way leaves the collection as it was. The first writing sets the number of buckets, by the number of rows.
+    """
     spark = rows.sparkSession
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(BUCKETS)).cast("int"))
-    if exists(spark, path):
-        touched = rows.select("bucket").distinct()
-        held = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")  # 64 rows at most
+    version, buckets = _state(spark, path)
+    buckets = buckets or max(1, -(-rows.count() // folder_rows))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int"))
+    if version:
+        held = read_collection(spark, path).join(rows.select("bucket").distinct(), "bucket", "left_semi")
         rows = rows.unionByName(held.join(rows.select(owner).distinct(), owner, "left_anti"))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # Rows of a bucket are dealt over several tasks, and so are several files of its folder.
+    rows.withColumn("_version", F.lit(version + 1)).write.mode("append").partitionBy("bucket", "_version").parquet(path)
+    spark.createDataFrame([(version + 1, buckets)], "version int, buckets int").coalesce(1).write.mode("append").json(f"{path}/_markers")
+
+
+def vacuum_collection(spark: SparkSession, path: str) -> int:
+    """Deletes what newer versions of buckets have replaced, and what no marker vouches for; how many folders went."""
+    version, _ = _state(spark, path)
+    rows = spark.read.option("basePath", path).parquet(path).select("bucket", "_version").distinct()
+    latest = rows.where(F.col("_version") <= version).groupBy("bucket").agg(F.max("_version").alias("latest"))
+    stale = rows.join(latest, "bucket", "left").where(F.col("latest").isNull() | (F.col("_version") != F.col("latest"))).collect()  # a row for each folder
+    for r in stale:
+        delete(spark, f"{path}/bucket={r.bucket}/_version={r._version}")
+    return len(stale)
 
 
 def without_owners(spark: SparkSession, path: str, prefix: str, owner: str = "owner") -> DataFrame:
     """What a collection holds once every owner with a prefix is cleared."""
-    return spark.read.parquet(path).drop("bucket").where(~F.startswith(F.col(owner).cast("string"), F.lit(prefix)))
+    return read_collection(spark, path).drop("bucket").where(~F.startswith(F.col(owner).cast("string"), F.lit(prefix)))
 
 
 def refusal(registry: DataFrame, families: DataFrame) -> DataFrame:

@@ -121,7 +121,21 @@ def test_owners_are_replaced_alone(spark, tmp_path):
     path = f"file://{tmp_path}/c"
     files.write_collection(spark.createDataFrame([("a", 1), ("b", 2)], "owner string, v int"), path)
     files.write_collection(spark.createDataFrame([("b", 3)], "owner string, v int"), path)
-    assert {(r.owner, r.v) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
+    held = lambda: {(r.owner, r.v) for r in files.read_collection(spark, path).collect()}
+    assert held() == {("a", 1), ("b", 3)} and {r.owner for r in files.without_owners(spark, path, "b").collect()} == {"a"}
+    # A job that dies before its marker changes nothing; what it left goes with what was replaced.
+    spark.createDataFrame([("a", 9, 0, 7)], "owner string, v int, bucket int, _version int").write.mode("append").partitionBy("bucket", "_version").parquet(path)
+    assert held() == {("a", 1), ("b", 3)}
+    assert files.vacuum_collection(spark, path) == 2 and held() == {("a", 1), ("b", 3)}
+
+
+def test_buckets_of_a_collection_change_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/many"
+    files.write_collection(spark.createDataFrame([(f"o{k}", k) for k in range(60)], "owner string, v int"), path, folder_rows=10)
+    files.write_collection(spark.createDataFrame([("o7", 700), ("new", 1)], "owner string, v int"), path)
+    assert {(r.owner, r.v) for r in files.read_collection(spark, path).collect()} == {(f"o{k}", 700 if k == 7 else k) for k in range(60)} | {("new", 1)}
+    assert len({p.name for p in (tmp_path / "many").iterdir() if p.name.startswith("bucket=")}) == 6
+    assert len(list((tmp_path / "many").glob("bucket=*/_version=2"))) <= 2
 
 
 def test_gates(spark):
