@@ -133,7 +133,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A fingerprint is the 128-bit xxhash of the canonical text; where that stands for different bytes, the SHA-256
     of the canonical text follows it. The digest is exact: its likeness is 1 for equal canonical texts, else 0.
-    Null text is empty, and a single row is its own next one. An empty table gives no rows.
+    Null text is empty, and a single row is its own next one. An empty table gives no rows; other columns, whatever their
+    names, are ignored. Ranges of ids are dealt to tasks, so all rows of one id, or of none, are one task's.
     """
     found = materialise(with_following(docs, id_col, text_col), "digests")
     false = materialise(false_matches(docs, found.select("doc_id", "digest"), id_col, text_col), "false")

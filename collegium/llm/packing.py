@@ -165,8 +165,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     A document is cut at multiples of length only; its remainder stays whole. Lengths are rounded up to the grid,
     so that patterns cover length / grid classes whatever the table's size, and only their histogram reaches the
     driver. Pieces of a class are ranked by a hash, in buckets that split a class of any share, and a piece's rank
-    tells its pattern and sequence. Rows that repeat a doc_id are documents of their own. An empty table gives no
-    rows.
+    tells its pattern and sequence. Rows that repeat a doc_id, or have none, are documents of their own; null text is
+    empty and gives the end id alone; other columns, whatever their names, are ignored. An empty table gives no rows.
     """
     cut = pieces(docs, tokenizer, length, end, id_col, text_col, special)
     shuffled = F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 1)

@@ -1,4 +1,8 @@
-"""The queries of the operators, with the contracts' columns, and their SQL."""
+"""The queries of the operators, with the contracts' columns, and their SQL.
+
+What null values, empty texts, repeated rows, empty tables and clashing columns give is said by the operator that each
+query calls.
+"""
 
 from __future__ import annotations
 

@@ -196,7 +196,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id never names a component unless
     it is alone there (then null). Rows that repeat a doc_id have a row each. Copies share a fingerprint, and only
-    distinct fingerprints are compared; an empty table gives no rows.
+    distinct fingerprints are compared; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -273,7 +273,7 @@ def suffix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Every byte goes that a window covers which also starts anywhere else, in the same text or another. Null text is
     empty; texts shorter than a window stay as they are. Rows that repeat id and text recur in each other, so they
-    lose all their windows. An empty table gives no rows, and other columns are ignored. Texts are copied once, in
+    lose all their windows. An empty table gives no rows, and other columns, whatever their names, are ignored. Texts are copied once, in
     buckets by KEY; both joins with them move the other side only.
     """
     rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents", F.octet_length("raw"))

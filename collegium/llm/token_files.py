@@ -72,7 +72,8 @@ def token_report(docs: DataFrame, special: bool = False) -> DataFrame:
     """Writes the token files into the shared folder, reads them and gives doc_id, start, n_tokens and ids_crc32.
 
     One row per row of docs: null text is empty, null ids come first, rows that repeat an id have a row each, other
-    columns are ignored, an empty table gives no rows. The files go when the driver's Python ends.
+    columns (whatever their names) are ignored, an empty table gives no rows. Ranges of ids are the unit that is dealt to
+    tasks, so all rows of one id, or of none, are one task's and one file. The files go when the driver's Python ends.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

@@ -201,7 +201,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus
     Cross-fitted, so that every row teaches all three and none is judged by what it taught: a part's features come
     from the lexicon of the other parts, and its raw scores, which the calibration is fitted to, from trees of the
     other parts. The lexicon and the trees of all parts score other texts. Null text is empty; without both labels the
-    score is constant (the share of label 1); parts without both labels in the others don't calibrate.
+    score is constant (the share of label 1); parts without both labels in the others don't calibrate. Rows that repeat
+    an id are all labelled by it, and stand in one part.
     """
     rows = materialise(labelled(docs, labels, "toxic", modulus, held_out, bound).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(folds))), "toxic")
     zeros, ones = both_labels(rows)
