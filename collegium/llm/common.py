@@ -26,6 +26,9 @@ BUCKET_BYTES = 256 << 20
 #: Buckets of a group whose sums one task adds up at a time.
 FAN = 4096
 
+#: Longs of a map of bits: 33 million bits, some 12 MB when broadcast, whatever the number of keys.
+MAP_LONGS = 1 << 19
+
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -100,6 +103,32 @@ def discard(spark: SparkSession, path: str, table: str | None = None) -> None:
     delete(spark, path)
 
 
+def may_be_among(rows: DataFrame, wanted: DataFrame, keys: list[str], longs: int = MAP_LONGS) -> DataFrame:
+    """The rows whose keys may be those of a row of wanted: all that are, and by chance some that are not.
+
+    The keys are a map of 64 * longs bits of their hashes, and only that is broadcast, so its size follows neither
+    table. Rows stay where they are, and a key that many of them hold is no task's alone. The more keys there are, the
+    more rows are let through, up to all; whoever calls this decides on what is left.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(64 * longs))
+    marked = {"_long": F.shiftright(bit, 6), "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))}
+    bits = wanted.withColumns(marked).groupBy("_long").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumns(marked).join(F.broadcast(bits), "_long").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return found.select(*rows.columns)
+
+
+def by_id(rows: DataFrame, descending: bool = False) -> DataFrame:
+    """Rows (doc_id, text) in ranges of ids, sorted within; rows of one id, or of none, by a hash of their text.
+
+    The ids of a range's ends may go on in the next one: equal ids are dealt by that hash, and rows that repeat both
+    by chance, as nothing tells these apart. So no id, however many rows it has, is one task's.
+    """
+    way = F.desc if descending else F.asc
+    dealt = rows.withColumns({"_hash": F.xxhash64("text"), "_deal": F.rand(0)})
+    order = [way("doc_id"), F.asc("_hash"), F.asc("_deal")]
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select(*rows.columns)
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str, fan: int = FAN) -> DataFrame:
     """Adds `out`: the sum of value over the rows before this one in its group (a long, 0 for the first).
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise
+from collegium.llm.common import MAP_LONGS, materialise, may_be_among
 
 #: Code points of a text's start that the second pass hashes.
 PREFIX = 256
-#: Pairs of length and prefix hash (two longs each) that may be broadcast.
-BROADCAST_ROWS = 300_000
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,29 +16,25 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1").drop("count")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, map_longs: int = MAP_LONGS) -> DataFrame:
     """The groups of equal texts with two or more rows: digest, keep_id, group_size.
 
     Three passes, each over the rows that the one before left: byte length, hash of the first `prefix` code
     points, SHA-256 of the whole text; null counts as the empty text. Whole texts are hashed only where length and
-    prefix recur. The repeated (length, prefix hash) pairs, two longs each, are counted: up to broadcast_rows of them
-    go to the scan, so that no text is shuffled; beyond that, the texts whose length recurs are shuffled to them, and a
-    pair that many rows hold is split by adaptive skew handling.
+    prefix recur. What recurs goes to the scan as a map of 64 * map_longs bits, at every size, so that no text is
+    shuffled; a row that the map lets through by chance shares length, prefix and digest with no other and drops out.
 
     The row with the largest id stays; if all ids of a group are null, keep_id is null. Copies of one text are
     counted before the shuffle, so a group of any size is one row for each task. Columns other than the two named
     are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.octet_length("text").alias("n_bytes"), F.xxhash64(F.substring("text", 1, prefix)).alias("head"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("n_bytes"))
     lengths = materialise(_repeated(rows, ["n_bytes"]), "lengths")
-    heads = materialise(_repeated(rows.join(lengths, "n_bytes"), ["n_bytes", "head"]), "heads")
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    if heads.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        left = rows.join(F.broadcast(heads), ["n_bytes", "head"])
-    else:
-        left = rows.join(lengths, "n_bytes").join(heads.hint("shuffle_hash"), ["n_bytes", "head"])
-    left = left.select("id", "n_bytes", "head", digest)
+    rows = may_be_among(rows, lengths, ["n_bytes"], map_longs).withColumn("head", F.xxhash64(F.substring("text", 1, prefix)))
+    heads = materialise(_repeated(rows, ["n_bytes", "head"]), "heads")
+    left = may_be_among(rows, heads, ["n_bytes", "head"], map_longs)
+    left = left.select("id", "n_bytes", "head", F.unhex(F.sha2("text", 256)).alias("digest"))
     same = left.groupBy("n_bytes", "head", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return same.where("group_size > 1").select("digest", "keep_id", "group_size")
 

@@ -39,14 +39,14 @@ def test_odd_rows(spark):
     assert found(spark, rows) == plain(rows)
 
 
-@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
-def test_random_rows_by_both_joins(spark, broadcast_rows):
+@pytest.mark.parametrize("map_longs", [1 << 19, 16, 1])
+def test_random_rows_by_maps_of_all_sizes(spark, map_longs):
     pick = random.Random(3)
     rows = [(i, pick.choice(["ab", "ba", "abc", "", None, "hot", "hot", "hot"]) if pick.random() < 0.7 else f"text {i // 2}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     from collegium.llm.exact_dedup import exact_groups
 
-    groups = {r.digest: (r.keep_id, r.group_size) for r in exact_groups(docs, prefix=2, broadcast_rows=broadcast_rows).collect()}
+    groups = {r.digest: (r.keep_id, r.group_size) for r in exact_groups(docs, prefix=2, map_longs=map_longs).collect()}
     want = {bytes.fromhex(sha): (keep, size) for _, keep, size, _, sha in plain(rows) if size > 1}
     assert {bytes(k): v for k, v in groups.items()} == want
 
