@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from collegium.llm.common import materialise, slices
-
-#: Ids (longs) that may be broadcast.
-BROADCAST_ROWS = 300_000
+from collegium.llm.common import MAP_LONGS, by_id, materialise, may_be_among, slices
 
 
 def canonical(text: str) -> bytes:
@@ -91,11 +88,11 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are shuffled once, into ranges of ids. Within a range each row meets the next one; a range's last row
     meets the first of the range that follows (the last row of all the first of all) afterwards, for which one text
-    or two of each range are kept. Null ids come last; rows that repeat an id are ordered by text.
+    or two of each range are kept. Null ids come last; rows that repeat an id are ordered by a
+    hash of their text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
-    inside = materialise(ordered.mapInArrow(_in_turn, EDGES), "inside")
+    inside = materialise(by_id(rows, descending=True).mapInArrow(_in_turn, EDGES), "inside")
     firsts = inside.where("first IS NOT NULL").select("part", F.col("first").alias("following"))
     lasts = inside.where("last IS NOT NULL").select("doc_id", "part", "last")
     # One narrow row for each range of ids goes through this window.
@@ -110,20 +107,20 @@ def _canonicals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(x) for x in texts], pa.string()), pa.array(texts, pa.binary())], names=["digest", "canonical"])
 
 
-def false_matches(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def false_matches(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", map_longs: int = MAP_LONGS) -> DataFrame:
     """The digests under which canonical texts differ, by comparing the bytes of all rows that share one.
 
     digests has doc_id and digest. Equal bytes have equal least and greatest, which are combined before the shuffle,
-    so that no group of copies, however large, comes together. Only texts whose digest recurs are read again; their
-    ids are broadcast up to broadcast_rows of them, and joined beyond.
+    so that no group of copies, however large, comes together. Only texts whose digest recurs are read again, and by
+    chance some others: digests, then ids, are looked up in a map of 64 * map_longs bits, so that nothing is joined on
+    a digest or an id that many rows hold.
     """
-    again = digests.groupBy("digest").count().where("count > 1").select("digest")
-    # Ids may repeat here, so that nothing follows the join in its stage and a digest with many rows can be split.
-    ids = materialise(digests.join(again, "digest").select(F.col("doc_id").alias("_id")), "recurring")
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    again = materialise(digests.groupBy("digest").count().where("count > 1").select("digest"), "recurring")
+    ids = may_be_among(digests, again, ["digest"], map_longs).select("doc_id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = may_be_among(rows, ids, ["doc_id"], map_longs)
     texts = rows.select("text").mapInArrow(_canonicals, "digest string, canonical binary")
+    texts = may_be_among(texts, again, ["digest"], map_longs)
     ends = texts.groupBy("digest").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
     return ends.where("low <> high").select("digest")
 
@@ -134,7 +131,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A fingerprint is the 128-bit xxhash of the canonical text; where that stands for different bytes, the SHA-256
     of the canonical text follows it. The digest is exact: its likeness is 1 for equal canonical texts, else 0.
     Null text is empty, and a single row is its own next one. An empty table gives no rows; other columns, whatever their
-    names, are ignored. Ranges of ids are dealt to tasks, so all rows of one id, or of none, are one task's.
+    names, are ignored.
     """
     found = materialise(with_following(docs, id_col, text_col), "digests")
     false = materialise(false_matches(docs, found.select("doc_id", "digest"), id_col, text_col), "false")

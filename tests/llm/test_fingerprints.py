@@ -3,7 +3,10 @@
 import hashlib
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from collegium.llm import fingerprints
+from collegium.llm.common import by_id, may_be_among
 from collegium.llm.fingerprints import canonical, document_fingerprints, false_matches
 
 ODD = [None, "", "a", "ab", "abc", "ABC", " a\t\nB ", "a b", "É", "É", "ﬁx", "FIX", "Straße", "STRASSE", "x" * 5000, "🙂🙂🙂", "é" * 7]
@@ -54,8 +57,8 @@ def test_equal_digests_of_different_bytes_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
     digests = spark.createDataFrame([(1, "d"), (2, "d"), (3, "e")], "doc_id long, digest string")
     assert false_matches(docs, digests).count() == 0
-    for limit in (1_000_000, 0):
-        assert false_matches(docs, spark.createDataFrame([(i, "d") for i in (1, 2, 3)], "doc_id long, digest string"), broadcast_rows=limit).count() == 0
+    for longs in (1 << 19, 1):
+        assert false_matches(docs, spark.createDataFrame([(i, "d") for i in (1, 2, 3)], "doc_id long, digest string"), map_longs=longs).count() == 0
 
     def short(batches):
         import pyarrow as pa
@@ -66,3 +69,28 @@ def test_equal_digests_of_different_bytes_are_told_apart(spark, monkeypatch):
 
     monkeypatch.setattr(fingerprints, "_canonicals", short)
     assert [r.digest for r in false_matches(docs, spark.createDataFrame([(i, "d") for i in (1, 2, 3)], "doc_id long, digest string")).collect()] == ["d"]
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows without an id, and rows of one id, are dealt to several tasks; each still meets the next one."""
+    rows = [(None, f"none {i % 900}") for i in range(3000)] + [(5, f"five {i % 700}") for i in range(3000)] + [(9, "same text")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tables as small as this end up in one task
+    try:
+        assert by_id(docs, descending=True).groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] < 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = document_fingerprints(docs).collect()
+    assert len(found) == len(rows) and len({r.fingerprint for r in found}) == 1601
+    # Of equal rows in a row, all but the last are like the next one.
+    assert sum(r.near_next for r in found) == 8000 - 1601
+
+
+def test_map_lets_no_wanted_row_go(spark):
+    rows = spark.range(5000).select((F.col("id") % 1000).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("b"))
+    wanted = rows.where("a < 40").distinct()
+    for longs in (1 << 19, 64, 1):
+        kept = may_be_among(rows, wanted, ["a", "b"], longs)
+        assert kept.columns == ["a", "b"] and kept.where("a < 40").count() == 200
+    assert may_be_among(rows, wanted, ["a", "b"]).count() == 200
+    assert may_be_among(rows, wanted.where("false"), ["a", "b"]).count() == 0
