@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from collegium.llm.common import keep, shared_dir, slices
+from collegium.llm.common import by_id, keep, shared_dir, slices
 from collegium.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 #: Appended to each document.
@@ -39,11 +39,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     Texts are range-partitioned by doc_id and encoded where they land, so that ids are not shuffled; each partition
     becomes a file, numbered in the order. Stripes can be read in parallel; their indexes and the Bloom filter on
-    doc_id prune look-ups. Null text is empty, null ids come first, rows that repeat an id are ordered by text.
+    doc_id prune look-ups. Null text is empty, null ids come first, rows that repeat an id are ordered by a hash of
+    their text and may go on in the next file.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer or tokenizer_path(BYTE_BPE), end, special), SCHEMA)
+    encoded = by_id(rows).mapInArrow(_encode(tokenizer or tokenizer_path(BYTE_BPE), end, special), SCHEMA)
     options = {"compression": "lz4", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes)}
     encoded.write.options(**options).orc(path)
 
@@ -72,8 +72,7 @@ def token_report(docs: DataFrame, special: bool = False) -> DataFrame:
     """Writes the token files into the shared folder, reads them and gives doc_id, start, n_tokens and ids_crc32.
 
     One row per row of docs: null text is empty, null ids come first, rows that repeat an id have a row each, other
-    columns (whatever their names) are ignored, an empty table gives no rows. Ranges of ids are the unit that is dealt to
-    tasks, so all rows of one id, or of none, are one task's and one file. The files go when the driver's Python ends.
+    columns (whatever their names) are ignored, an empty table gives no rows. The files go when the driver's Python ends.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

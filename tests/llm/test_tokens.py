@@ -134,3 +134,9 @@ def test_packing_minds_no_other_columns(spark):
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 4), (1, 4)] and pack(docs.where("false")).count() == 0
     places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
     assert [p[1] for p in places] == [0, places[0][2], places[0][2] + places[1][2]]
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(None, f"none {i % 800}") for i in range(2500)] + [(5, f"five {i}") for i in range(2500)]
+    found = sorted((r.start, r.n_tokens) for r in token_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert len(found) == 5000 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:]))
