@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from collegium.functions.text import bound
+
 # The patterns of links, documents, calendars and sessions as they are printed.
 RANGE = r"(?i)\b([1-8])\s*(?:st|nd|rd|th)?\s*(?:-|to|–|—)\s*([1-8])\b"
 FIRST_YEAR = r"(?i)\bI\s*(?:&|and)\s*II\b|\bfirst\s*year\b"
@@ -129,13 +131,23 @@ def clock_of(hour: Column, minute: Column, marked: Column) -> Column:
 def slot_times(text: Column) -> tuple[Column, Column]:
     """(start, end) of a class: a start without am or pm is the later of both readings that comes before the end."""
     said = F.regexp_replace(text, r"\s+", " ")
-    number = lambda k: first(said, SLOT, k).cast("int")
-    mark = lambda k: F.replace(F.lower(first(said, SLOT, k)), F.lit("."), F.lit(""))
-    end = clock_of(number(4), number(5), mark(6))
-    plain = F.array(clock_of(number(1), number(2), F.lit("am")), clock_of(number(1), number(2), F.lit("pm")))
-    start = F.when(mark(3).isNotNull(), clock_of(number(1), number(2), mark(3))).otherwise(F.array_max(F.filter(plain, lambda t: t < end)))
-    fits = F.coalesce(start < end, F.lit(False))
-    return F.when(fits, start), F.when(fits, end)
+    said = bound(said, lambda said: F.array(*[F.regexp_extract(said, SLOT, k) for k in range(1, 7)]))
+
+    def read(groups: Column) -> Column:
+        group = lambda k: F.when(groups[k - 1] != "", groups[k - 1])
+        number = lambda k: group(k).cast("int")
+        mark = lambda k: F.replace(F.lower(group(k)), F.lit("."), F.lit(""))
+        begins = lambda marked: clock_of(number(1), number(2), marked)
+        return F.struct(begins(mark(3)).alias("said"), F.array(begins(F.lit("am")), begins(F.lit("pm"))).alias("either"), mark(3).isNotNull().alias("marked"), clock_of(number(4), number(5), mark(6)).alias("end"))
+
+    def chosen(r: Column) -> Column:
+        start = F.when(r["marked"], r["said"]).otherwise(F.array_max(F.filter(r["either"], lambda t: t < r["end"])))
+        return F.struct(start.alias("start"), r["end"].alias("end"))
+
+    found = bound(bound(said, read), chosen)
+    fits = lambda r: F.when(r["start"] < r["end"], r)
+    found = bound(found, fits)
+    return found["start"], found["end"]
 
 
 def is_weekday(value: Column) -> Column:

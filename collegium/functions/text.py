@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ IMPORTANCE = {"high": ["exam_timetable", "result", "revaluation", "registration"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for a row however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_case(pattern: str) -> str:
     return f"(?i){pattern}"
 
