@@ -38,12 +38,14 @@ def with_rows(runs: DataFrame, by: list[str], share: float, level: str = "y") ->
     Rows begin at the levels that lie farther than that below the row before, found in one pass over a group's levels.
     """
     heights = F.coalesce(upper_median(F.when(F.col("height") > 0, F.col("height"))), F.lit(USUAL_HEIGHT))
-    groups = runs.groupBy(*by).agg(heights.alias("high"), F.sort_array(F.collect_set(level), asc=False).alias("levels"))
+    held = F.collect_list(F.struct(*[c for c in runs.columns if c not in by])).alias("held")
+    groups = runs.dropna(subset=by).groupBy(*by).agg(heights.alias("high"), F.sort_array(F.collect_set(level), asc=False).alias("levels"), held)
     far = lambda tops, y: (F.size(tops) == 0) | (F.element_at(tops, -1) - y > share * F.col("high"))
     tops = F.aggregate("levels", F.array().cast("array<double>"), lambda tops, y: F.when(far(tops, y), F.concat(tops, F.array(y))).otherwise(tops))
-    groups = groups.select(*by, "high", tops.alias("tops"))
+    # A group's runs travel with it and are dealt out again: joined to it, a small table's groups would be broadcast.
+    rows = groups.select(*by, "high", tops.alias("tops"), "held").select(*by, "high", "tops", F.inline("held"))
     own = F.size(F.filter("tops", lambda top: top >= F.col(level))) - 1
-    return runs.join(groups, by).withColumn("row", own).drop("tops")
+    return rows.select(*runs.columns, "high", own.alias("row"))
 
 
 def spaced(text: Column) -> Column:
@@ -64,31 +66,32 @@ def lines_of_runs(runs: DataFrame) -> DataFrame:
     the line above (see continued()). Runs of a line follow each other by place, then downwards; a space divides those
     that stand apart or were printed in different rows. Blank runs are none.
     """
-    rows = with_rows(runs.where(F.trim("text") != ""), ["doc", "page"], LEVEL)
-    rows = rows.join(continued(rows), ["doc", "page", "row"])
-    line = ["doc", "page", "head"]
-    high = rows.groupBy(*line).agg(F.coalesce(upper_median(F.when(F.col("height") > 0, F.col("height"))), F.lit(USUAL_HEIGHT)).alias("line_high"))
-    rows = rows.join(high, line)
-    across = W.partitionBy(*line).orderBy("x", F.desc("y"), "text")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(across)
-    apart = (gap > SPACE * F.col("line_high")) | (F.abs(F.col("y") - F.lag("y").over(across)) > LEVEL * F.col("high"))
-    rows = rows.withColumn("piece", F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text"))).withColumn("turn", F.row_number().over(across))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("turn", "piece"))), lambda c: c["piece"])
-    lines = rows.groupBy(*line).agg(F.trim(F.array_join(pieces, "")).alias("text"), F.max("y").alias("y"), F.count(F.lit(1)).cast("int").alias("runs"))
+    rows = continued(with_rows(runs.where(F.trim("text") != ""), ["doc", "page"], LEVEL))
+    across = F.struct("x", F.col("y").isNull().alias("lost"), (-F.col("y")).alias("down"), "text", "width", "y")
+    line_high = F.coalesce(upper_median(F.when(F.col("height") > 0, F.col("height"))), F.lit(USUAL_HEIGHT)).alias("line_high")
+    lines = rows.groupBy("doc", "page", "head").agg(F.sort_array(F.collect_list(across)).alias("cells"), line_high, F.max("high").alias("high"), F.max("y").alias("y"))
+
+    def piece(cell: Column, i: Column) -> Column:
+        before = F.get("cells", i - 1)
+        apart = (cell["x"] - (before["x"] + before["width"]) > SPACE * F.col("line_high")) | (F.abs(cell["y"] - before["y"]) > LEVEL * F.col("high"))
+        return F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), cell["text"])
+
     number = F.row_number().over(W.partitionBy("doc", "page").orderBy("head")) - 1
-    return lines.select("doc", "page", number.alias("line"), "text", "y", "runs")
+    text = F.trim(F.array_join(F.transform("cells", piece), ""))
+    return lines.select("doc", "page", number.alias("line"), text.alias("text"), "y", F.size("cells").alias("runs"))
 
 
 def continued(rows: DataFrame) -> DataFrame:
-    """doc, page, row, head: the row that each row of runs belongs to, itself unless it is the rest of a wrapped one.
+    """rows with head: the row that each row of runs belongs to, itself unless it is the rest of a wrapped one.
 
     A row is the rest of the line above if its first run stands beside that line's first one, and all its runs stand
     in columns that the line already uses, give or take a share of its height. Rows of a page are taken in order, as
     each widens what the next may stand under.
     """
     cells = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "height")))
-    lines = rows.groupBy("doc", "page", "row").agg(cells.alias("cells"))
-    pages = lines.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("lines"))
+    held = F.collect_list(F.struct(*[c for c in rows.columns if c not in ("doc", "page", "row")]))
+    lines = rows.groupBy("doc", "page", "row").agg(cells.alias("cells"), held.alias("held"))
+    pages = lines.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("row", "cells", "held"))).alias("lines"))
     line = "struct<head:int,cells:array<struct<down:double,x:double,height:double>>,heads:array<int>>"
 
     def step(above: Column, row: Column) -> Column:
@@ -101,9 +104,11 @@ def continued(rows: DataFrame) -> DataFrame:
         return F.struct(head.alias("head"), F.when(rest, F.concat(above["cells"], row["cells"])).otherwise(row["cells"]).alias("cells"), F.concat(above["heads"], F.array(head)).alias("heads"))
 
     none = F.struct(F.lit(None).cast("int").alias("head"), F.array().alias("cells"), F.array().alias("heads")).cast(line)
-    found = pages.select("doc", "page", "lines", F.aggregate("lines", none, step, lambda x: x["heads"]).alias("heads"))
-    found = found.select("doc", "page", F.inline(F.arrays_zip(F.transform("lines", lambda x: x["row"]).alias("row"), F.col("heads").alias("head"))))
-    return found.toDF("doc", "page", "row", "head")
+    printed = F.transform("lines", lambda x: F.struct(x["row"].alias("row"), x["cells"].alias("cells")))
+    found = pages.select("doc", "page", "lines", F.aggregate(printed, none, step, lambda x: x["heads"]).alias("heads"))
+    found = found.select("doc", "page", F.inline(F.arrays_zip(F.col("heads").alias("head"), F.transform("lines", lambda x: x["row"]).alias("row"), F.transform("lines", lambda x: x["held"]).alias("held"))))
+    found = found.toDF("doc", "page", "head", "row", "held").select("doc", "page", "head", "row", F.inline("held"))
+    return found.select(*rows.columns, "head")
 
 
 def words_to_runs(words: DataFrame) -> DataFrame:
