@@ -106,3 +106,35 @@ def applicable_classes(notices: DataFrame, users: DataFrame, axes: list[str], no
     nobody, nothing = F.lit(None).cast(users.schema[user_id].dataType), F.lit(None).cast(notices.schema[notice_id].dataType)
     rows = rows.select("class", notice_id, nobody.alias(user_id), links.alias("links"))
     return rows.unionByName(members.select("class", nothing.alias(notice_id), user_id, F.col("notices").alias("links")))
+
+
+def applicable_pairs(notices: DataFrame, users: DataFrame, axes: list[str], notice_id: str, user_id: str) -> DataFrame:
+    """Every pair of a notice and a user whom it is for, as pairs of classes with membership: kind, notice_class,
+    user_class, notice, user, links.
+
+    Notices of the same targets are one class, users who hold the same another; a class is named by its smallest id. A
+    row of kind pair says that each notice of the one is for each user of the other, and how many pairs that makes; a row
+    of kind notice or user puts one in its class, and says how many users or notices it meets. Notices that nobody can
+    read have no class. Classes meet by equi-joins, once for each pattern of axes, so no pair of rows is formed.
+    """
+    targets, held = ([_norm(a).alias(a) for a in axes] for _ in range(2))
+    readable = notices.where(~F.col("unreadable_scope")).select(F.col(notice_id), F.struct(*targets).alias("_key"))
+    people = users.select(F.col(user_id), F.struct(*held).alias("_held"))
+    asked = readable.groupBy("_key").agg(F.min(notice_id).alias("notice_class"), F.count(F.lit(1)).alias("notices"))
+    kinds = people.groupBy("_held").agg(F.min(user_id).alias("user_class"), F.count(F.lit(1)).alias("users"))
+    met = kinds.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in range(1 << len(axes))])))
+    told = reduce(lambda x, y: x & y, [~_bit(F.col("_mask"), k) | F.col("_held")[a].isNotNull() for k, a in enumerate(axes)])
+    key = F.struct(*[F.when(_bit(F.col("_mask"), k), F.col("_held")[a]).alias(a) for k, a in enumerate(axes)])
+    pairs = met.where(told).select("user_class", "users", key.alias("_key")).join(asked, "_key").select("notice_class", "user_class", "notices", "users")
+    of_notice = pairs.groupBy("notice_class").agg(F.sum("users").alias("links"))
+    of_user = pairs.groupBy("user_class").agg(F.sum("notices").alias("links"))
+    notice_rows = readable.join(asked.join(of_notice, "notice_class", "left"), "_key")
+    user_rows = people.join(kinds.join(of_user, "user_class", "left"), "_held")
+    none = {n: F.lit(None).cast(df.schema[n].dataType) for df, n in ((notices, notice_id), (users, user_id))}
+    links = F.coalesce("links", F.lit(0)).alias("links")
+    row = lambda df, kind, *columns: df.select(F.lit(kind).alias("kind"), *columns)
+    return (
+        row(pairs, "pair", "notice_class", "user_class", none[notice_id].alias(notice_id), none[user_id].alias(user_id), (F.col("notices") * F.col("users")).alias("links"))
+        .unionByName(row(notice_rows, "notice", "notice_class", none[user_id].alias("user_class"), notice_id, none[user_id].alias(user_id), links))
+        .unionByName(row(user_rows, "user", none[notice_id].alias("notice_class"), "user_class", none[notice_id].alias(notice_id), user_id, links))
+    )
