@@ -104,8 +104,9 @@ def write_collection(rows: DataFrame, path: str, owner: str = "owner", folder_ro
     if version:
         held = read_collection(spark, path).join(rows.select("bucket").distinct(), "bucket", "left_semi")
         rows = rows.unionByName(held.join(rows.select(owner).distinct(), owner, "left_anti"))
-    # Rows of a bucket are dealt over several tasks, and so are several files of its folder.
-    rows.withColumn("_version", F.lit(version + 1)).write.mode("append").partitionBy("bucket", "_version").parquet(path)
+    # A bucket's rows come together first, so that its folder gets one file and not one from every task; a bucket that is
+    # too large for a task is split again.
+    rows.withColumn("_version", F.lit(version + 1)).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", "_version").parquet(path)
     spark.createDataFrame([(version + 1, buckets)], "version int, buckets int").coalesce(1).write.mode("append").json(f"{path}/_markers")
 
 
