@@ -22,6 +22,13 @@ def store_partials(rows: DataFrame, path: str, batch: str, keys: list[str], coun
     rows.groupBy(*keys).agg(*[F.count_if(hit).alias(name) for name, hit in counts.items()]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def store_batches(rows: DataFrame, path: str, batch: str, keys: list[str], counts: dict[str, Column]) -> None:
+    """store_partials for every batch that a column of the rows names, in one pass over them. A batch that is stored again
+    replaces its part; one that has no rows here keeps it."""
+    parts = rows.withColumnRenamed(batch, "batch").groupBy("batch", *keys).agg(*[F.count_if(hit).alias(name) for name, hit in counts.items()])
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def merged_partials(spark: SparkSession, path: str, keys: list[str], counts: list[str]) -> DataFrame:
     """The sums of all stored parts: what one count over all batches' rows would give."""
     rows = spark.read.option("basePath", path).parquet(path)

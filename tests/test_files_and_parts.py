@@ -1,4 +1,4 @@
-"""Folders of a collection hold a file or a few, whatever the number of tasks."""
+"""Folders of a collection hold a file or a few, whatever the number of tasks; parts of all batches are stored in one pass."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from collegium.operators import folds
 from collegium.sources import files
 
 
@@ -18,3 +19,12 @@ def test_a_bucket_gets_one_file(spark, tmp_path):
     assert len(folders) >= 10 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
     got = sorted(r.id for r in files.read_collection(spark, path).collect())
     assert got == [i for i in range(4000) if i % 499 >= 100 or i % 2 == 0]
+
+
+def test_batches_in_one_pass(spark, tmp_path):
+    path, counts = f"file://{tmp_path}/parts", {"n": F.col("v") > 1}
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "a", 3), (2, "b", 0), (3, "b", 5)], "step int, k string, v int")
+    folds.store_batches(rows, path, "step", ["k"], counts)
+    folds.store_partials(rows.where("step = 3"), path, "3", ["k"], counts)
+    folds.store_batches(rows.where("step = 2 AND k = 'b'"), path, "step", ["k"], counts)
+    assert {r.k: r.n for r in folds.merged_partials(spark, path, ["k"], ["n"]).collect()} == {"a": 1, "b": 1}
