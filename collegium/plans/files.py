@@ -200,13 +200,13 @@ def listener_deliveries(spark, sf_dir):
 
 
 def watched(spark, sf_dir):
-    """The ledger of a monitor that has seen two captures, a file each, and was started again between them."""
+    """The ledger of a monitor that has seen two captures, each in files of many tasks, and was started again between them."""
     path, ledger, progress = (new_dir(spark, name) for name in ("captures", "ledger", "progress"))
     for version in (1, 2):
         items = T.snapshot(spark, sf_dir, version)
         family = F.concat(F.lit("f"), (F.floor(F.col("item") / 100) % 5).cast("string")).alias("family")
         rows = items.select(family, F.col("item").cast("string").alias("item"), "url", "body", F.col("supersedes").cast("string").alias("supersedes"), F.lit(f"2024-01-0{version}T00:00:00Z").alias("captured"))
-        rows.withColumnRenamed("url", "title").coalesce(1).write.mode("append").json(path)
+        rows.withColumnRenamed("url", "title").write.mode("append").json(path)
         M.start_monitor(M.read_captures(spark, path), ledger, progress, parts=4).awaitTermination()
     return M.read_ledger(spark, ledger)
 

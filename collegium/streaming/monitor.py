@@ -25,8 +25,14 @@ PARTS = 32
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_captures(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", files_per_batch).json(path)
+def read_captures(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Captures, each in any number of files, as a stream; a batch takes all files that are there.
+
+    With a number, a batch takes so many, which is for captures of one file each only: a capture that is cut by batches
+    would be missing items in each, and files of nearly one time come in no certain order.
+    """
+    rows = spark.readStream.schema(CAPTURES)
+    return (rows if files_per_batch is None else rows.option("maxFilesPerTrigger", files_per_batch)).json(path)
 
 
 def with_ends(captures: DataFrame, parts: int = PARTS) -> DataFrame:

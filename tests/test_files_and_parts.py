@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from collegium.operators import folds
 from collegium.sources import files
+from collegium.streaming import monitor
 
 
 def test_a_bucket_gets_one_file(spark, tmp_path):
@@ -28,3 +29,13 @@ def test_batches_in_one_pass(spark, tmp_path):
     folds.store_partials(rows.where("step = 3"), path, "3", ["k"], counts)
     folds.store_batches(rows.where("step = 2 AND k = 'b'"), path, "step", ["k"], counts)
     assert {r.k: r.n for r in folds.merged_partials(spark, path, ["k"], ["n"]).collect()} == {"a": 1, "b": 1}
+
+
+def test_a_capture_in_many_files_is_one_capture(spark, tmp_path):
+    path, ledger = f"file://{tmp_path}/in", f"file://{tmp_path}/ledger"
+    for day in (1, 2):
+        items = spark.range(0, 40 - day, 1, 4).select(F.lit("f").alias("family"), F.col("id").cast("string").alias("item"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit(f"2024-01-0{day}T00:00:00Z").alias("captured"))
+        items.write.mode("append").json(path)
+        monitor.start_monitor(monitor.read_captures(spark, path), ledger, f"file://{tmp_path}/state", parts=2).awaitTermination()
+    found = monitor.read_ledger(spark, ledger).groupBy(F.dayofmonth("captured").alias("day"), "change").count().collect()
+    assert {(r.day, r.change): r["count"] for r in found} == {(1, "new"): 39, (2, "unchanged"): 38, (2, "removed"): 1}
