@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collegium.functions.text import bound
+
 #: Pages of a document lie so far below each other.
 PAGE_DOWN = 10_000.0
 #: The height of a group without any.
@@ -128,9 +130,13 @@ CODE, STATUS, DATE = r"^\s*([A-Z]{1,5}[A-Z0-9]*\d{3}[A-Z]?)\b", r"\b([PFAWXN]|NE
 
 def consistent_triple(numbers: Column) -> Column:
     """The rightmost three neighbours (array of ints) of which the third is the sum of the others, else null."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(numbers) - 2)), lambda i: F.try_element_at(numbers, i) + F.try_element_at(numbers, i + 1) == F.try_element_at(numbers, i + 2))
-    at = F.array_max(places)
-    return F.when(at.isNotNull(), F.slice(numbers, F.coalesce(at, F.lit(1)), F.lit(3)))
+
+
+    def rightmost(numbers: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(numbers) - 2)), lambda i: F.try_element_at(numbers, i) + F.try_element_at(numbers, i + 1) == F.try_element_at(numbers, i + 2))
+        return bound(F.array_max(places), lambda at: F.when(at.isNotNull(), F.slice(numbers, F.coalesce(at, F.lit(1)), F.lit(3))))
+
+    return bound(numbers, rightmost)
 
 
 def card_rows(lines: DataFrame) -> DataFrame:
@@ -139,20 +145,31 @@ def card_rows(lines: DataFrame) -> DataFrame:
     Adds code, title, internal, external, total, result, announced, readable. A row whose numbers hold no triple
     that adds up stays, unreadable, with nulls.
     """
-    text = F.regexp_replace("text", r"[|_]+", " ")
-    rows = lines.withColumn("code", F.nullif(F.regexp_extract(text, CODE, 1), F.lit(""))).where("code IS NOT NULL")
-    rest = F.regexp_replace(F.regexp_replace(text, CODE, ""), DATE, "")
-    numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![\w.])(\d{1,3})(?![\w.])"), F.lit(1)), lambda x: x.cast("int"))
-    rows = rows.withColumn("marks", consistent_triple(numbers))
-    printed = F.nullif(F.regexp_extract(text, DATE, 1), F.lit(""))
-    announced = F.coalesce(F.try_to_date(printed, "yyyy-MM-dd"), F.try_to_date(printed, "dd-MM-yyyy"))
-    title = F.trim(F.regexp_extract(rest, r"^(.*?)(?:\s\d{1,3}(?![\w.])|$)", 1))
+    plain = F.regexp_replace("text", r"[|_]+", " ")
+    number = F.lit(r"(?<![\w.])(\d{1,3})(?![\w.])")
+
+    def read(text: Column) -> Column:
+        return F.struct(F.regexp_extract(text, CODE, 1).alias("code"), F.regexp_extract(text, DATE, 1).alias("date"), F.regexp_replace(F.regexp_replace(text, CODE, ""), DATE, "").alias("rest"))
+
+    def fields(r: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(r["rest"], number, F.lit(1)), lambda x: x.cast("int"))
+        return F.struct(
+            r["code"].alias("code"),
+            F.trim(F.regexp_extract(r["rest"], r"^(.*?)(?:\s\d{1,3}(?![\w.])|$)", 1)).alias("title"),
+            consistent_triple(numbers).alias("marks"),
+            F.regexp_extract(F.regexp_replace(r["rest"], r"^.*\d", ""), STATUS, 1).alias("result"),
+            r["date"].alias("date"),
+        )
+
+    read_row = bound(bound(plain, read), lambda r: F.when(r["code"] != "", F.array(fields(r))).otherwise(F.array()))
+    rows = lines.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(lines.columns)], F.inline(read_row))
+    announced = F.coalesce(F.try_to_date(F.nullif("date", F.lit("")), "yyyy-MM-dd"), F.try_to_date(F.nullif("date", F.lit("")), "dd-MM-yyyy"))
     return rows.select(
-        *lines.columns,
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(lines.columns)],
         "code",
-        F.nullif(title, F.lit("")).alias("title"),
+        F.nullif("title", F.lit("")).alias("title"),
         *[F.col("marks")[i].alias(n) for i, n in enumerate(("internal", "external", "total"))],
-        F.nullif(F.regexp_extract(F.regexp_replace(rest, r"^.*\d", ""), STATUS, 1), F.lit("")).alias("result"),
+        F.nullif("result", F.lit("")).alias("result"),
         announced.alias("announced"),
         F.col("marks").isNotNull().alias("readable"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from collegium.functions import declarations as D
+from collegium.operators import documents as P
 
 
 def patterns(df, name="regexp_extract("):
@@ -19,3 +20,11 @@ def test_slot_times_match_a_group_once_for_each_result(spark):
     assert patterns(found) <= 12
     want = [("09:00", "10:00"), ("13:30", "14:30"), ("12:00", "13:00"), ("11:15", "12:10"), ("08:00", "19:00"), ("07:59", "08:00"), (None, None), (None, None), (None, None), (None, None)]
     assert [(r.start, r.end) for r in found.collect()] == want
+
+
+def test_card_rows_read_a_line_once(spark):
+    df = spark.createDataFrame([(1, "BCS301 Some Title 20 | 30 50 P 2024-02-01"), (2, "none 1 2 3"), (3, None), (4, "BCS302 9 20 30 51 F")], "n int, text string")
+    found = P.card_rows(df)
+    assert patterns(found) <= 6 and patterns(found, "regexp_extract_all(") <= 1
+    got = [(r.n, r.code, r.title, r.internal, r.total, r.result, str(r.announced), r.readable) for r in found.orderBy("n").collect()]
+    assert got == [(1, "BCS301", "Some Title", 20, 50, "P", "2024-02-01", True), (4, "BCS302", None, None, None, "F", "None", False)]
