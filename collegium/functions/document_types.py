@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from collegium.functions.text import bound
+
 # Fixed values: (pattern, weight) of the signals of each kind, the signal that a scheme needs, the least total, the margin.
 SIGNALS = {
     "result": [(r"(?i)university\s+seat\s+number", 3), (r"(?i)provisional\s+results?", 3), (r"(?i)internal\s+marks", 3), (r"(?i)external\s+marks", 3), (r"(?i)announced\s*/?\s*updated", 2), (r"(?i)\bP\s*->\s*PASS\b", 2)],
@@ -32,14 +34,25 @@ def document_type(text: Column) -> tuple[Column, Column]:
 
     An examination's timetable settles it once it reaches the floor, as its signals occur nowhere else.
     """
-    scores = {k: score(text, k) for k in SIGNALS}
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(scores[k].alias("total"), F.lit(-i).alias("earlier"), F.lit(k).alias("kind")) for i, k in enumerate(READ)])))
-    best, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
+    held = bound(F.struct(F.trim(text).alias("text"), *[score(text, k).alias(k) for k in SIGNALS]), ranked)
+    held = bound(held, decided)
+    return held["type"], held["reason"]
+
+
+def ranked(scores: Column) -> Column:
+    """scores (a struct, with the text) with the best two of the kinds that are read; of equal ones the one listed first."""
+    order = F.reverse(F.array_sort(F.array(*[F.struct(scores[k].alias("total"), F.lit(-i).alias("earlier"), F.lit(k).alias("kind")) for i, k in enumerate(READ)])))
+    return F.struct(scores.alias("scores"), F.slice(order, 1, 2).alias("order"))
+
+
+def decided(held: Column) -> Column:
+    scores, best, second = held["scores"], F.get(held["order"], F.lit(0)), F.get(held["order"], F.lit(1))
     reason = (
-        F.when(F.trim(text) == "", "empty")
+        F.when(scores["text"] == "", "empty")
         .when(scores["exam_timetable"] >= LEAST, F.lit(None))
         .when(scores["question_paper"] >= LEAST, "question_paper")
         .when(best["total"] < LEAST, "too_little")
         .when(best["total"] - second["total"] < MARGIN, "too_close")
     )
-    return F.when(reason.isNotNull(), "unsupported").when(scores["exam_timetable"] >= LEAST, "exam_timetable").otherwise(best["kind"]), reason
+    kind = F.when(scores["exam_timetable"] >= LEAST, "exam_timetable").otherwise(best["kind"])
+    return F.struct(F.when(reason.isNotNull(), "unsupported").otherwise(kind).alias("type"), reason.alias("reason"))

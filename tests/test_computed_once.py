@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from collegium.functions import declarations as D
+from collegium.functions import document_types as K
 from collegium.operators import documents as P
 
 
@@ -28,3 +29,12 @@ def test_card_rows_read_a_line_once(spark):
     assert patterns(found) <= 6 and patterns(found, "regexp_extract_all(") <= 1
     got = [(r.n, r.code, r.title, r.internal, r.total, r.result, str(r.announced), r.readable) for r in found.orderBy("n").collect()]
     assert got == [(1, "BCS301", "Some Title", 20, 50, "P", "2024-02-01", True), (4, "BCS302", None, None, None, "F", "None", False)]
+
+
+def test_document_types_look_for_a_signal_once(spark):
+    df = spark.createDataFrame([("Provisional Results and University Seat Number",), ("",), ("USN",), (None,)], "text string")
+    kind, reason = K.document_type(F.col("text"))
+    found = df.select(kind.alias("kind"), reason.alias("reason"))
+    signals = sum(map(len, K.SIGNALS.values())) + 1
+    assert patterns(found, "rlike(") + patterns(found, " rlike ") <= 2 * signals
+    assert [tuple(r) for r in found.collect()] == [("result", None), ("unsupported", "empty"), ("unsupported", "too_little"), ("unsupported", "too_little")]
