@@ -5,7 +5,8 @@ A document or a page is a group while its runs are dealt to rows, so its size is
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ USUAL_HEIGHT = 10.0
 LEVEL, SPACE, BESIDE = 0.5, 0.18, 0.5
 
 
-def median_height(heights: pd.Series) -> float:
+def median_height(heights: Iterable[float]) -> float:
     """The upper middle of the positive heights, 10 if there is none."""
     known = sorted(h for h in heights if h > 0)
     return known[len(known) // 2] if known else USUAL_HEIGHT
