@@ -72,17 +72,20 @@ def printed_totals(runs: DataFrame) -> DataFrame:
 
     A page without a heading is of the semester that the one before is of.
     """
-    pages = runs.select("doc", "page").distinct().join(page_semester(runs), ["doc", "page"], "left")
-    above = W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0)  # the pages of one document
-    pages = pages.withColumn("semester", F.last("semester", ignorenulls=True).over(above)).where("semester IS NOT NULL")
     text = F.trim("text")
-    rows = runs.where(text != "").groupBy("doc", "page", F.round("y").alias("row")).agg(
-        F.min_by(text, "x").alias("head"),
-        F.min("x").alias("_left"),
-        F.max_by(F.when(text.rlike(WHOLE_NUMBER), text.try_cast("int")), F.when(text.rlike(WHOLE_NUMBER), F.col("x"))).alias("credits"),
+    named = roman_number(first(text, PAGE_SEMESTER))
+    place = F.when((F.length(text) <= HEADING_LENGTH) & named.isNotNull(), F.struct(-F.col("y"), F.col("x"), named.alias("semester")))
+    whole = text.rlike(WHOLE_NUMBER)
+    rows = runs.dropna(subset=["doc", "page"]).groupBy("doc", "page", F.round("y").alias("row")).agg(
+        F.min_by(text, F.when(text != "", F.col("x"))).alias("head"),
+        F.max_by(F.when(whole, text.try_cast("int")), F.when(whole, F.col("x"))).alias("credits"),
+        F.min(place).alias("heading"),
     )
-    rows = rows.where(F.col("head").rlike(r"(?i)^TOTAL\b") & F.col("credits").between(LEAST_CREDITS, MOST_CREDITS))
-    return rows.join(pages, ["doc", "page"]).select("doc", "page", "semester", "credits")
+    printed = F.col("head").rlike(r"(?i)^TOTAL\b") & F.col("credits").between(LEAST_CREDITS, MOST_CREDITS)
+    pages = rows.groupBy("doc", "page").agg(F.min("heading")["semester"].alias("semester"), F.collect_list(F.when(printed, F.col("credits"))).alias("credits"))
+    above = W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0)  # the pages of one document
+    pages = pages.withColumn("semester", F.last("semester", ignorenulls=True).over(above)).where("semester IS NOT NULL")
+    return pages.select("doc", "page", "semester", F.explode("credits").alias("credits"))
 
 
 def rightmost_numeric_column(runs: DataFrame) -> DataFrame:
