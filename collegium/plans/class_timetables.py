@@ -104,7 +104,7 @@ seen AS (SELECT doc, count(DISTINCT day) AS days, count(code) * 2 >= count(*) AN
 
 def planted(spark, sf_dir):
     """A sheet for each document, as positioned cells."""
-    docs = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"))
+    docs = C.dealt(T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc")))
     place = lambda t, x, y, w: F.struct(column(t).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("width"))
     return docs.select("doc", F.inline(F.array(*[place(*c) for c in CELLS]))).where("text IS NOT NULL").select("doc", F.lit(1).alias("page"), "text", "x", "y", "width", F.lit(10.0).alias("height"))
 
