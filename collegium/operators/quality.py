@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Examples that a report shows, and parts in which a check's violations are ranked.
 EXAMPLES, SALTS = 5, 64
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def violations(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -18,13 +19,17 @@ def violations(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataF
     checks has a condition, which an unknown value does not meet, and what to show of the row, by name.
     """
     broken = [F.when(condition, F.struct(F.lit(name).alias("check"), what.cast("string").alias("what"))) for name, (condition, what) in checks.items()]
-    return df.select(F.inline(F.array_compact(F.array(*broken))))
+    # Filtered first, which Spark does before it joins: what is joined and sorted are the rows that break a check.
+    some = reduce(Column.__or__, [condition for condition, _ in checks.values()])
+    return df.where(some).select(F.inline(F.array_compact(F.array(*broken))))
 
 
 def duplicates(df: DataFrame, check: str, keys: list[str]) -> DataFrame:
     """check, what of the keys that more than one row holds; nulls count as empty."""
-    named = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]
-    return df.groupBy(*named).count().where("count > 1").select(F.lit(check).alias("check"), F.concat_ws("|", *keys).alias("what"))
+    text = {k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
+    # Whole numbers are one text each, and narrower to group by.
+    named = [F.col(k) if kind in WHOLE else text[k].alias(k) for k, kind in df.select(*keys).dtypes]
+    return df.groupBy(*named).count().where("count > 1").select(F.lit(check).alias("check"), F.concat_ws("|", *text.values()).alias("what"))
 
 
 def report(checks: list[str], found: list[DataFrame], salts: int = SALTS) -> DataFrame:
@@ -36,8 +41,10 @@ def report(checks: list[str], found: list[DataFrame], salts: int = SALTS) -> Dat
     spark = found[0].sparkSession
     rows = reduce(DataFrame.unionByName, found).groupBy("check", "what").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("what"), F.lit(salts)))
-    total = F.sum("n").over(W.partitionBy("check", "salt"))
-    first = F.row_number().over(W.partitionBy("check", "salt").orderBy("what"))
+    # In one order, so that rows are sorted once for both.
+    inside = W.partitionBy("check", "salt").orderBy("what")
+    total = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = F.row_number().over(inside)
     parts = rows.withColumns({"part": total, "r": first}).where(F.col("r") <= EXAMPLES)
     # At most `salts` times EXAMPLES rows of a check are left.
     ranked = parts.withColumn("r_all", F.row_number().over(W.partitionBy("check").orderBy("what")))
