@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import keyed_copy, materialise, slices
-from collegium.llm.lines import BINS, Block, blocks
+from collegium.llm.common import MAP_LONGS, materialise, slices
+from collegium.llm.lines import BINS, FACTORS, Block, blocks, mixed, sketch_distance
 
 #: Words of a line for near matches at least; shorter lines match when equal only.
 LEAST_WORDS = 5
@@ -22,6 +22,11 @@ WORDS_AN_EDIT, ONE_EDIT = 5, 0
 SAMPLE, COMMON = 2_000, 20_000
 #: Lines that a task remembers to have emitted.
 REMEMBERED = 200_000
+#: Bits of a shingle's id and of a line's tag, whole bytes; a row of packed keys is both and the line's words.
+KEY_BITS, TAG_BITS = 40, 48
+ROW = KEY_BITS // 8 + TAG_BITS // 8 + 2
+#: Keys, about, that a task packs at a time, and parts of packed keys for each shuffle partition.
+PACKED, PARTS = 1 << 20, 4
 
 #: What tells rows apart: whether there is an id, the id (0 for none) and a hash of the text.
 KEY = ["given", "_id", "copy"]
@@ -47,13 +52,18 @@ def copy_of(raw: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _short(tags: np.ndarray) -> np.ndarray:
+    """Tags as they are stored and shuffled."""
+    return (tags >> np.uint64(64 - TAG_BITS)).view(np.int64)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in KEY]
         for block in blocks(batch.column("raw").to_pylist()):
             digests = [xxhash.xxh3_128_digest(block.content(i)) for i in range(len(block.doc))]
-            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(block.doc), [None, pa.py_buffer(block.sketches().tobytes())])
-            columns = [*(pa.array(x[block.doc]) for x in keys), pa.array(block.line.astype(np.int32)), pa.array(block.words.astype(np.int32)), pa.array(block.tags().view(np.int64))]
+            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 4), len(block.doc), [None, pa.py_buffer(block.sketches().tobytes())])
+            columns = [*(pa.array(x[block.doc]) for x in keys), pa.array(block.line.astype(np.int32)), pa.array(block.words.astype(np.int32)), pa.array(_short(block.tags()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), sketches.cast(pa.binary())], names=[*KEY, "line", "words", "tag", "digest", "sketch"])
 
 
@@ -78,22 +88,37 @@ def edits_to_harm(chosen: np.ndarray, first: np.ndarray, words: np.ndarray, most
     return edits
 
 
+def shingle_ids(found: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Ids of KEY_BITS bits in one order for all lines: shingles in `common` (sorted) last by their ranks, else by hash.
+
+    Different shingles may share an id; all that follows takes them for one, which adds pairs and loses none.
+    """
+    least = (1 << KEY_BITS) - COMMON
+    ids = np.minimum(found >> np.uint64(64 - KEY_BITS), np.uint64(least - 1))
+    if len(common):
+        some = np.zeros(1 << 20, bool)
+        some[common >> np.uint64(44)] = True
+        maybe = np.flatnonzero(some[found >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(common, found[maybe]), len(common) - 1)
+        same = common[at] == found[maybe]
+        place = np.empty(len(common), np.int64)
+        place[np.argsort(ranks, kind="stable")] = np.arange(len(common))
+        ids[maybe[same]] = (place[at[same]] + least).astype(np.uint64)
+    return ids
+
+
 def keys(block: Block, common: np.ndarray, ranks: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> tuple[np.ndarray, np.ndarray]:
     """(keys, lines): the least shingles of each line that reach() edits can't harm all; near lines share one.
 
-    Shingles are in one order for all lines: those in `common` (sorted) last by their ranks, else by hash. Of two
-    near lines, take the one whose keys end first in this order. One of its keys is unharmed, so it is a shingle of
-    the other line and comes before the end of that line's keys: it is one of them.
+    Shingles are in the order of their ids. Of two near lines, take the one whose keys end first in this order. One of
+    its keys is unharmed, so it is a shingle of the other line and comes before the end of that line's keys: it is one
+    of them.
     """
     words, first = block.words, block.first
     most = words // (an_edit - 1) if an_edit else np.ones_like(words)
-    found = block.shingles()
+    found = shingle_ids(block.shingles(), common, ranks)
     line = np.repeat(np.arange(len(words)), words)
-    rank = np.zeros(len(found), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        rank = np.where(common[at] == found, ranks[at], 0)
-    order = np.lexsort((found, rank, line))
+    order = np.argsort(line.astype(np.uint64) << np.uint64(KEY_BITS) | found)
     turn = np.empty(len(found), np.int64)
     turn[order] = np.arange(len(found)) - np.repeat(first, words)
     # Any number of least shingles that the edits can't harm all will do; few steps find one near the least such number.
@@ -135,39 +160,74 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block.shingles().view(np.int64))], names=["key"])
 
 
-def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int):
+def packed(key: np.ndarray, tag: np.ndarray, words: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, keys): keys with their tags and words, ROW bytes each, those of a part in one value.
+
+    Single rows of a key would take some 17 bytes shuffled and as many steps of a sort; parts are by hash.
+    """
+    part = (((mixed(key) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    low = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+    rows = np.concatenate([low(key, KEY_BITS // 8), low(tag, TAG_BITS // 8), low(np.minimum(words, 65535), 2)], axis=1)[order]
+    counts = np.bincount(part, minlength=parts)
+    given = np.flatnonzero(counts)
+    ends = np.concatenate([[0], np.cumsum(counts[given])]) * ROW
+    values = pa.Array.from_buffers(pa.binary(), len(given), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(given.astype(np.int32)), values], names=["part", "keys"])
+
+
+def unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, tags, words) of packed rows; words are 65535 at most, which near lines' words stay near with."""
+    rows = np.frombuffer(b"".join(values), np.uint8).reshape(-1, ROW)
+    ends, out = np.cumsum([0, KEY_BITS // 8, TAG_BITS // 8, 2]), []
+    for a, b in zip(ends[:-1], ends[1:]):
+        wide = np.zeros((len(rows), 8), np.uint8)
+        wide[:, : b - a] = rows[:, a:b]
+        out.append(wide.view("<i8").ravel())
+    return tuple(out)
+
+
+def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for block, tags in _new_lines(batches):
             found, line = keys(block, common, ranks, an_edit)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(tags[line].view(np.int64))], names=["key", "tag"])
+            held.append((found, _short(tags)[line], block.words[line]))
+            size += len(found)
+            if size >= PACKED:
+                yield packed(*(np.concatenate(x) for x in zip(*held)), parts)
+                held, size = [], 0
+        if size:
+            yield packed(*(np.concatenate(x) for x in zip(*held)), parts)
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, tag) sorted by both, each once, those whose key has more than one tag.
+def _met(an_edit: int):
+    """Of a part's keys and tags, each once, those whose key has another tag with words that let their lines be near."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, tag, words = unpacked(table.column("keys").to_pylist())
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        again = np.zeros(len(key), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        order = order[again]
+        key, tag, words = key[order], tag[order], words[order]
+        order = np.lexsort((tag, words, key))
+        key, tag, words = key[order], tag[order], words[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+        key, tag, words = key[once], tag[once], words[once]
+        # Of a key's lines by their words, none is nearer in words than a neighbour.
+        fits = (key[1:] == key[:-1]) & (words[1:] - words[:-1] <= (words[1:] // an_edit if an_edit else 1))
+        found = np.zeros(len(key), bool)
+        found[1:] |= fits
+        found[:-1] |= fits
+        return pa.table({"key": key[found], "tag": tag[found]})
 
-    A key may run over any number of batches: only its last row, and whether it has been given, is carried on.
-    """
-    held: tuple[int, int, bool] | None = None  # the last row of the batch before, and whether it was given
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, tag = (batch.column(n).to_numpy() for n in ("key", "tag"))
-        if held:
-            key, tag = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], tag])
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-        key, tag = key[first], tag[first]
-        several = np.zeros(len(key), bool)
-        several[1:] |= key[1:] == key[:-1]
-        several[:-1] |= key[1:] == key[:-1]
-        given = several.copy()
-        if held and held[2]:
-            given[0] = False
-        last = bool(several[-1]) or bool(held and held[2] and len(key) == 1)
-        held = (int(key[-1]), int(tag[-1]), last)
-        yield pa.RecordBatch.from_arrays([pa.array(key[given]), pa.array(tag[given])], names=["key", "tag"])
+    return run
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -221,22 +281,34 @@ def near_lines(a: list[bytes], b: list[bytes], an_edit: int = WORDS_AN_EDIT) ->
     return distance(a, b) <= most
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines; rows that repeat a document give them once, as far as a task remembers."""
-    seen: set[tuple] = set()
-    for batch in slices(batches):
-        turns, contents = [], []
-        for raw, wanted, *key in zip(*(batch.column(n).to_pylist() for n in ("raw", "wanted", *KEY))):
-            if tuple(key) in seen:
-                continue
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            seen.add(tuple(key))
-            lines = raw.split(b"\n")
-            for w in wanted:
-                turns.append(w["turn"])
-                contents.append(b" ".join(lines[w["line"]].split()))
-        yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int64()), pa.array(contents, pa.binary())], names=["turn", "content"])
+def _place_bits(keys: list[np.ndarray], line: np.ndarray) -> np.ndarray:
+    """The bits that stand for lines of rows (columns of KEY) in a map of MAP_LONGS longs."""
+    given, one, copy = (x.astype(np.int64).view(np.uint64) for x in keys)
+    return mixed((one + given) * FACTORS[1] + copy * FACTORS[0] + line.astype(np.uint64)) & np.uint64(64 * MAP_LONGS - 1)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = np.unique(_place_bits([batch.column(n).to_numpy(zero_copy_only=False) for n in KEY], batch.column("line").to_numpy()))
+        at, first = np.unique(bit >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else bit
+        yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+
+def _texts(shared):
+    """The lines that a map of bits lets through, with their places: all that are wanted, and by chance some that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in slices(batches):
+            keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in KEY]
+            for block in blocks(batch.column("raw").to_pylist()):
+                bit = _place_bits([x[block.doc] for x in keys], block.line)
+                some = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                columns = [*(pa.array(x[block.doc[some]]) for x in keys), pa.array(block.line[some].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([block.content(i) for i in some], pa.binary())], names=[*KEY, "line", "content"])
+
+    return run
 
 
 def _alike(an_edit: int):
@@ -244,10 +316,10 @@ def _alike(an_edit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for n in ("sketch", "other_sketch"))
+            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, BINS // 4) for n in ("sketch", "other_sketch"))
             longer = np.maximum(batch.column("words").to_numpy(), batch.column("other_words").to_numpy())
             most = longer // an_edit if an_edit else 1
-            found = pa.array(np.abs(a - b).sum(axis=1) <= 2 * most)
+            found = pa.array(sketch_distance(a, b) <= 2 * most)
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(found) for n in ("turn", "other_turn")], names=["turn", "other_turn"])
 
     return run
@@ -272,26 +344,34 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contents(rows: DataFrame, likely: DataFrame, pairs: DataFrame) -> DataFrame:
-    """turn, content (words joined by a space) of the lines in pairs, each read in the document that has it first."""
+    """turn, content (words joined by a space) of the lines in pairs, each read in the document that has it first.
+
+    Texts are read again where they are, and what a map of bits of fixed size lets through is all that moves.
+    """
     turns = pairs.select("turn").unionByName(pairs.select(F.col("other_turn").alias("turn"))).distinct()
-    line = F.struct(F.col("first.line").alias("line"), "turn")
-    wanted = likely.select("turn", "first").join(turns, "turn").groupBy(*[F.col(f"first.{c}").alias(c) for c in KEY]).agg(F.collect_list(line).alias("wanted"))
-    met = rows.join(materialise(wanted, "wanted").hint("shuffle_hash"), KEY)
-    return materialise(met.select(*KEY, "raw", "wanted").mapInArrow(_texts, "turn long, content binary"), "contents")
+    wanted = materialise(likely.select("turn", "first").join(turns, "turn").select("first.*", "turn"), "wanted")
+    marks = wanted.select(*KEY, "line").mapInArrow(_marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(MAP_LONGS, np.int64)
+    bits[marks.column("at").to_numpy()] = marks.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+    met = rows.mapInArrow(_texts(shared), f"{KEYS}, line int, content binary").join(wanted.hint("shuffle_hash"), [*KEY, "line"])
+    found = materialise(met.dropDuplicates([*KEY, "line"]).select("turn", "content"), "contents")
+    shared.destroy()
+    return found
 
 
 def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
     """All lines with a word of rows with the columns of KEY and raw: KEY, line, digest and `dropped`.
 
-    Texts are scanned twice and met twice, by KEY, which moves none of them if rows are a keyed_copy. See line_report
-    for what is dropped.
+    Texts are scanned four times where they are; see line_report for what is dropped.
     """
+    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = materialise(rows.mapInArrow(_lines, LINES), "lines")
     place = F.struct(*KEY, "line")
     kinds = lines.groupBy("digest").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in ("words", "tag", "sketch")])
     kinds = materialise(kinds, "kinds")
-    emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit), "key long, tag long")
-    met = materialise(emitted.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_met, "key long, tag long"), "met")
+    emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit, parts), "part int, keys binary")
+    met = materialise(emitted.groupBy("part").applyInArrow(_met(an_edit), "key long, tag long"), "met")
     # A line's turn stands for its place in the order of all, so that what is shuffled by key and by pair is narrow.
     # Different lines of one tag, should there be any, all stay: each has a turn, and words decide.
     likely = kinds.join(met.select("tag").distinct(), "tag").repartitionByRange("first").sortWithinPartitions("first")
@@ -338,12 +418,11 @@ def dropped_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an_edit: int = ONE_EDIT) -> DataFrame:
     """docs with the lines cut out of the texts that line_report drops; other columns and rows stay as they are.
 
-    Rows are copied once, in buckets by KEY, so that reading near lines and cutting lines out move no text again.
+    docs are read several times where they are; rows move once, to meet the numbers of the lines that go.
     """
-    copied = docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.struct(*docs.columns).alias("row"))
-    copied = keyed_copy(copied, KEY, "documents", F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)))
-    gone = materialise(dropped_lines(copied.select(*KEY, F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary").alias("raw")), an_edit), "dropped")
-    rows = copied.join(gone.hint("shuffle_hash"), KEY, "left")
+    gone = materialise(dropped_lines(_rows(docs, id_col, text_col), an_edit), "dropped")
+    keyed = docs.withColumns(identity(F.col(id_col).cast("long"), F.col(text_col))).select(*KEY, F.struct(*docs.columns).alias("row"))
+    rows = keyed.join(gone.hint("shuffle_hash"), KEY, "left")
     kept = F.array_join(F.filter(F.split(F.col("row")[text_col], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
     text = F.when(F.col("dropped").isNull(), F.col("row")[text_col]).otherwise(kept)
     return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
@@ -359,7 +438,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document with several rows; if only the id repeats, a hash of the text orders them. Null text
     is empty, an empty table gives no rows, and other columns are ignored.
     """
-    rows = keyed_copy(_rows(docs, id_col, text_col), KEY, "documents", F.octet_length("raw"))
+    rows = _rows(docs, id_col, text_col)
     by_doc = dropped_lines(rows, an_edit)
     every = materialise(rows.mapInArrow(_counts, f"{KEYS}, n_lines long"), "counts")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
