@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +12,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collegium.llm.common import MAP_LONGS, materialise, slices
+from collegium.llm.common import MAP_LONGS, materialise, scope, slices
 from collegium.llm.lines import BINS, FACTORS, Block, blocks, mixed, sketch_distance
 
 #: Words of a line for near matches at least; shorter lines match when equal only.
 LEAST_WORDS = 5
 #: Words of the longer line for each edit that two near lines may be apart, a likeness of 0.8; ONE_EDIT: one in all.
 WORDS_AN_EDIT, ONE_EDIT = 5, 0
-#: Documents, about, whose common shingles are counted, and how many of these are put last.
-SAMPLE, COMMON = 2_000, 20_000
+#: Of so many documents one, or of a smaller table about so many, has its shingles counted; cells of the map of counts.
+SHARE, SAMPLE, CELLS = 16, 2_000, 1 << 23
 #: Lines that a task remembers to have emitted.
 REMEMBERED = 200_000
-#: Bits of a shingle's id and of a line's tag, whole bytes; a row of packed keys is both and the line's words.
+#: Bits of a shingle's id and of a line's tag with a flag, whole bytes; a row of packed keys is both and the line's words.
 KEY_BITS, TAG_BITS = 40, 48
 ROW = KEY_BITS // 8 + TAG_BITS // 8 + 2
+#: Bits of a shingle's count in the map; with KEY_BITS they leave 19 for the lines of a block, which has less than 1 MB.
+COUNT_BITS = 5
 #: Keys, about, that a task packs at a time, and parts of packed keys for each shuffle partition.
-PACKED, PARTS = 1 << 20, 4
+PACKED, PARTS = 1 << 18, 4
+
+#: Earlier lines of a key, besides the earliest, that a line is held against first, and pairs compared at a time.
+DRAWN, COMPARED = 3, 1 << 16
 
 #: What tells rows apart: whether there is an id, the id (0 for none) and a hash of the text.
 KEY = ["given", "_id", "copy"]
@@ -54,7 +60,7 @@ def copy_of(raw: bytes) -> int:
 
 def _short(tags: np.ndarray) -> np.ndarray:
     """Tags as they are stored and shuffled."""
-    return (tags >> np.uint64(64 - TAG_BITS)).view(np.int64)
+    return (tags >> np.uint64(65 - TAG_BITS)).view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,53 +94,56 @@ def edits_to_harm(chosen: np.ndarray, first: np.ndarray, words: np.ndarray, most
     return edits
 
 
-def shingle_ids(found: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Ids of KEY_BITS bits in one order for all lines: shingles in `common` (sorted) last by their ranks, else by hash.
+def shingle_ids(found: np.ndarray) -> np.ndarray:
+    """Ids of KEY_BITS bits; different shingles may share one, and all that follows takes them for one shingle."""
+    return found >> np.uint64(64 - KEY_BITS)
 
-    Different shingles may share an id; all that follows takes them for one, which adds pairs and loses none.
-    """
-    least = (1 << KEY_BITS) - COMMON
-    ids = np.minimum(found >> np.uint64(64 - KEY_BITS), np.uint64(least - 1))
-    if len(common):
-        some = np.zeros(1 << 20, bool)
-        some[common >> np.uint64(44)] = True
-        maybe = np.flatnonzero(some[found >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(common, found[maybe]), len(common) - 1)
-        same = common[at] == found[maybe]
-        place = np.empty(len(common), np.int64)
-        place[np.argsort(ranks, kind="stable")] = np.arange(len(common))
-        ids[maybe[same]] = (place[at[same]] + least).astype(np.uint64)
-    return ids
-
-
-def keys(block: Block, common: np.ndarray, ranks: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lines): the least shingles of each line that reach() edits can't harm all; near lines share one.
-
-    Shingles are in the order of their ids. Of two near lines, take the one whose keys end first in this order. One of
-    its keys is unharmed, so it is a shingle of the other line and comes before the end of that line's keys: it is one
-    of them.
+
+def rarest_first(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers that put ids in one order for all lines: by the counts of their cells, then by themselves."""
+    return counts[(ids & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(KEY_BITS) | ids
+
+
+def keys(block: Block, counts: np.ndarray, an_edit: int = WORDS_AN_EDIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, lines, early): the least shingles of each line that reach() edits can't harm all; near lines share one.
+
+    Shingles are in the order of rarest_first(). Of two near lines, take the one whose keys end first in this order. One
+    of its keys is unharmed, so it is a shingle of the other line and comes before the end of that line's keys: it is one
+    of them. Early are those that bound() edits of the line itself can't harm all. By the same reason, near lines share
+    one that is early in each of them whose own bound is the pair's.
     """
     words, first = block.words, block.first
     most = words // (an_edit - 1) if an_edit else np.ones_like(words)
-    found = shingle_ids(block.shingles(), common, ranks)
+    own = words // an_edit if an_edit else most
+    found = shingle_ids(block.shingles())
     line = np.repeat(np.arange(len(words)), words)
-    order = np.argsort(line.astype(np.uint64) << np.uint64(KEY_BITS) | found)
+    order = np.argsort(line.astype(np.uint64) << np.uint64(KEY_BITS + COUNT_BITS) | rarest_first(found, counts))
     turn = np.empty(len(found), np.int64)
     turn[order] = np.arange(len(found)) - np.repeat(first, words)
-    # Any number of least shingles that the edits can't harm all will do; few steps find one near the least such number.
+    size = least_enough(turn, first, words, most, words > 0)
+    fewer = own < most
+    size_early = np.where(fewer, least_enough(turn, first, words, own, fewer), size)
+    taken = order[turn[order] < np.repeat(size, words)[order]]
+    keys, line, early = found[taken], line[taken], turn[taken] < np.repeat(size_early, words)[taken]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    return keys[once], line[once], early[once]
+
+
+def least_enough(turn: np.ndarray, first: np.ndarray, words: np.ndarray, most: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted line, how many of its first shingles (by turn) there are to be for `most` edits not to harm all.
+
+    Any number that the edits can't harm will do; a few steps find one near the least.
+    """
     enough = np.minimum(words, 3 * most + 1)
-    size, open_ = np.minimum(enough, most + 1 + (STEPS[0] * most).astype(np.int64)), np.ones(len(words), bool)
+    size, open_ = np.minimum(enough, most + 1 + (STEPS[0] * most).astype(np.int64)), wanted.copy()
     for step in STEPS[1:]:
         spared = edits_to_harm(turn < np.repeat(size, words), first, words, most, open_ & (size < enough)) > most
         open_ &= ~spared & (size < enough)
         if not open_.any():
             break
         size = np.where(open_, np.minimum(enough, most + 1 + (step * most).astype(np.int64)), size)
-    taken = order[turn[order] < np.repeat(size, words)[order]]
-    keys, line = found[taken], line[taken]
-    once = np.ones(len(keys), bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    return keys[once], line[once]
+    return size
 
 
 def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
@@ -157,7 +166,7 @@ def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.nd
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, _ in _new_lines(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(block.shingles().view(np.int64))], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle_ids(block.shingles()).view(np.int64))], names=["key"])
 
 
 def packed(key: np.ndarray, tag: np.ndarray, words: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -187,12 +196,13 @@ def unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def _keys(common: np.ndarray, ranks: np.ndarray, an_edit: int, parts: int):
+def _keys(shared, an_edit: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(shared.value, np.uint8)
         held, size = [], 0
         for block, tags in _new_lines(batches):
-            found, line = keys(block, common, ranks, an_edit)
-            held.append((found, _short(tags)[line], block.words[line]))
+            found, line, early = keys(block, counts, an_edit)
+            held.append((found, _short(tags)[line] << 1 | early, block.words[line]))
             size += len(found)
             if size >= PACKED:
                 yield packed(*(np.concatenate(x) for x in zip(*held)), parts)
@@ -230,14 +240,19 @@ def _met(an_edit: int):
     return run
 
 
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ranks) of those that recur most in a sample of documents, sorted; they only set an order."""
-    share = max(1, rows.count() // SAMPLE)
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """How often shingles recur in a share of the documents, in powers of two, for each cell that ids are hashed to.
+
+    It only sets an order, in which chance may put a rare shingle late. The share is fixed, so that what counts as
+    common doesn't become more as the table grows; the map's size is fixed too.
+    """
+    share = max(1, min(SHARE, rows.count() // SAMPLE))
     some = rows.where(F.pmod(F.xxhash64("raw"), F.lit(share)) == 0).mapInArrow(_shingles, "key long")
-    found = some.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
-    common = np.array([r.key for r in found], np.int64).view(np.uint64)
-    order = np.argsort(common)
-    return common[order], np.array([r["count"] for r in found], np.int64)[order]
+    found = some.groupBy("key").count().where("count > 1").groupBy(F.col("key").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
+    found = found.agg(F.least(F.floor(F.log2(F.max("count"))), F.lit((1 << COUNT_BITS) - 1)).cast("byte").alias("log")).toArrow()
+    counts = np.zeros(CELLS, np.uint8)
+    counts[found.column("cell").to_numpy()] = found.column("log").to_numpy()
+    return counts
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -311,20 +326,104 @@ def _texts(shared):
     return run
 
 
+def _bounds(words: np.ndarray, an_edit: int) -> np.ndarray:
+    return words // an_edit if an_edit else np.ones_like(words)
+
+
 def _alike(an_edit: int):
-    """Of pairs, those whose sketches allow them to be near."""
+    """Of pairs given with their sketches, those that may be near; what Held does with the lines of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, BINS // 4) for n in ("sketch", "other_sketch"))
             longer = np.maximum(batch.column("words").to_numpy(), batch.column("other_words").to_numpy())
-            most = longer // an_edit if an_edit else 1
-            found = pa.array(sketch_distance(a, b) <= 2 * most)
+            found = pa.array(sketch_distance(a, b) <= 2 * _bounds(longer, an_edit))
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(found) for n in ("turn", "other_turn")], names=["turn", "other_turn"])
 
     return run
 
 
+@dataclass
+class Held:
+    """The lines of a part's keys, by key and turn; start is where a line's key begins."""
+
+    key: np.ndarray
+    turn: np.ndarray
+    words: np.ndarray
+    early: np.ndarray
+    open_: np.ndarray
+    sketch: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Held:
+        columns = [table.column(n).to_numpy() for n in ("key", "turn", "words", "early", "open")]
+        order = np.lexsort((columns[1], columns[0]))
+        key = columns[0][order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS // 4)[order]
+        return cls(*(x[order] for x in columns), sketch, np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)))
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, an_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, apart): of places of lines and of earlier ones, those whose lengths and sketches let them be near."""
+        most = _bounds(np.maximum(self.words[a], self.words[b]), an_edit)
+        fits = (np.abs(self.words[a] - self.words[b]) <= most) & (self.turn[b] < self.turn[a])
+        a, b, most = a[fits], b[fits], most[fits]
+        apart = sketch_distance(self.sketch[a], self.sketch[b])
+        found = apart <= 2 * most
+        return a[found], b[found], apart[found]
+
+    def table(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+        a, b, apart = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found) if found else [()] * 3))
+        return pa.table({"turn": self.turn[a], "other_turn": self.turn[b], "apart": apart.astype(np.int32)})
+
+
+def _few(an_edit: int):
+    """For each line the likeliest, by sketches, of the earliest line of each key and of DRAWN earlier ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held, found = Held.of(table), []
+        every = np.arange(len(held.key))
+        for at in range(0, len(every), COMPARED):
+            a = every[at : at + COMPARED]
+            a = a[a > held.start[a]]
+            before = (a - held.start[a]).astype(np.uint64)
+            for draw in range(DRAWN + 1):
+                by = mixed(held.turn[a].astype(np.uint64) * FACTORS[0] + held.key[a].astype(np.uint64) + np.uint64(draw)) if draw else np.zeros_like(before)
+                found.append(held.pairs(a, held.start[a] + (by % before).astype(np.int64), an_edit))
+        out = held.table(found)
+        order = np.lexsort((out["other_turn"].to_numpy(), out["apart"].to_numpy(), out["turn"].to_numpy()))
+        turn = out["turn"].to_numpy()[order]
+        return out.take(pa.array(order[np.concatenate([[True], turn[1:] != turn[:-1]])[: len(turn)]]))
+
+    return run
+
+
+def _every(an_edit: int):
+    """All pairs of an open line and an earlier one of its key that may be near.
+
+    The key is early in each of both whose own bound is the pair's. Lines are held against those one place earlier, two
+    places, and so on, so that memory stays bounded however many lines a key has.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        held, found = Held.of(table), []
+        own, lag, rest = _bounds(held.words, an_edit), 0, np.flatnonzero(held.open_)
+        while len(rest):
+            lag += 1
+            rest = rest[rest - lag >= held.start[rest]]
+            for at in range(0, len(rest), COMPARED):
+                a = rest[at : at + COMPARED]
+                b = a - lag
+                fits = (held.early[a] | (own[a] < own[b])) & (held.early[b] | (own[b] < own[a]))
+                found.append(held.pairs(a[fits], b[fits], an_edit))
+        out = held.table(found)
+        return out.group_by(["turn", "other_turn"]).aggregate([("apart", "min")]).rename_columns(["turn", "other_turn", "apart"])
+
+    return run
+
+
 def _verify(an_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -365,42 +464,46 @@ def repeated_lines(rows: DataFrame, an_edit: int = ONE_EDIT) -> DataFrame:
 
     Texts are scanned four times where they are; see line_report for what is dropped.
     """
-    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = materialise(rows.mapInArrow(_lines, LINES), "lines")
     place = F.struct(*KEY, "line")
     kinds = lines.groupBy("digest").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in ("words", "tag", "sketch")])
     kinds = materialise(kinds, "kinds")
-    emitted = rows.select("raw").mapInArrow(_keys(*common_shingles(rows), an_edit, parts), "part int, keys binary")
+    with scope(rows.sparkSession, but_last=True):
+        near = materialise(_near(rows, kinds, an_edit), "near")
+    firsts = kinds.select("digest", "first").join(near, "digest", "left")
+    dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
+    return lines.select(*KEY, "line", "digest").join(firsts, "digest").select(*KEY, "line", "digest", dropped.alias("dropped"))
+
+
+def _near(rows: DataFrame, kinds: DataFrame, an_edit: int) -> DataFrame:
+    """digest and near (true) of the kinds of lines that a near one precedes."""
+    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows).tobytes())
+    emitted = rows.select("raw").mapInArrow(_keys(shared, an_edit, parts), "part int, keys binary")
     met = materialise(emitted.groupBy("part").applyInArrow(_met(an_edit), "key long, tag long"), "met")
+    shared.destroy()
+    met = met.select("key", F.shiftright("tag", 1).alias("tag"), (F.col("tag").bitwiseAND(1) == 1).alias("early"))
     # A line's turn stands for its place in the order of all, so that what is shuffled by key and by pair is narrow.
     # Different lines of one tag, should there be any, all stay: each has a turn, and words decide.
     likely = kinds.join(met.select("tag").distinct(), "tag").repartitionByRange("first").sortWithinPartitions("first")
     likely = materialise(likely.withColumn("turn", F.monotonically_increasing_id()), "likely")
-    met = materialise(met.join(likely.select("tag", "turn", "words"), "tag").drop("tag"), "turns")
-    sketches = likely.select("turn", "words", "sketch")
-    # Most near lines are near to the earliest that shares a key. Those that can't be, and those that turn out not to
-    # be, are held against all earlier ones.
-    least = met.groupBy("key").agg(F.min(F.struct("turn", "words")).alias("least")).select("key", F.col("least.turn").alias("other_turn"), F.col("least.words").alias("other_words"))
-    every = met.select("key", F.col("turn").alias("other_turn"), F.col("words").alias("other_words"))
-    pairs = _pairs(met, least, sketches, an_edit)
-    tried = materialise(pairs.select("turn").distinct(), "tried")
-    pairs = pairs.unionByName(_pairs(met.join(tried, "turn", "left_anti"), every, sketches, an_edit))
-    near = _verified(rows, likely, pairs, an_edit)
-    rest = met.join(tried.join(near, "turn", "left_anti"), "turn", "left_semi")
-    near = near.unionByName(_verified(rows, likely, _pairs(rest, every, sketches, an_edit), an_edit))
-    near = likely.join(near, "turn", "left_semi").select("digest", F.lit(True).alias("near"))
-    firsts = kinds.select("digest", "first").join(near, "digest", "left")
-    dropped = (place != F.col("first")) | F.coalesce("near", F.lit(False))
-    return lines.select(*KEY, "line", "digest").join(firsts, "digest").select(*KEY, "line", "digest", dropped.alias("dropped"))
+    # Most near lines are near to the likeliest of a few that their keys draw. What is not is held against all earlier ones.
+    few = _held(met, likely.withColumn("open", F.lit(True)), _few(an_edit), parts).groupBy("turn").agg(F.min(F.struct("apart", "other_turn")).alias("other"))
+    near = _verified(rows, likely, materialise(few.select("turn", "other.other_turn"), "pairs"), an_edit)
+    rest = likely.join(near.withColumn("near", F.lit(True)), "turn", "left").withColumn("open", F.col("near").isNull())
+    every = _held(met, rest, _every(an_edit), parts).select("turn", "other_turn").distinct()
+    near = near.unionByName(_verified(rows, likely, materialise(every, "pairs"), an_edit))
+    return likely.join(near, "turn", "left_semi").select("digest", F.lit(True).alias("near"))
 
 
-def _pairs(met: DataFrame, others: DataFrame, sketches: DataFrame, an_edit: int) -> DataFrame:
-    """(turn, other_turn) of lines that share a key with an earlier one and whose lengths and sketches let them be near."""
-    most = F.floor(F.greatest("words", "other_words") / an_edit) if an_edit else F.lit(1)
-    fits = (F.col("other_turn") < F.col("turn")) & (F.abs(F.col("words") - F.col("other_words")) <= most)
-    pairs = met.join(others, "key").where(fits).select("turn", "other_turn").distinct()
-    pairs = pairs.join(sketches, "turn").join(sketches.select(*[F.col(c).alias(f"other_{c}") for c in sketches.columns]), "other_turn")
-    return materialise(pairs.mapInArrow(_alike(an_edit), "turn long, other_turn long"), "pairs")
+def _held(met: DataFrame, likely: DataFrame, compare, parts: int) -> DataFrame:
+    """(turn, other_turn, apart) of pairs that compare finds among the lines of a key; a pair may come once for each key.
+
+    Pairs are made and dropped by the block where a part's keys are; only those that sketches let through are rows.
+    """
+    lines = met.join(likely.select("tag", "turn", "words", "sketch", "open"), "tag").drop("tag")
+    dealt = lines.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").applyInArrow(compare, "turn long, other_turn long, apart int")
 
 
 def _verified(rows: DataFrame, likely: DataFrame, pairs: DataFrame, an_edit: int) -> DataFrame:
